@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import leakage, lookalike, mojibake, tokens
+from factlake.llm import leakage, lookalike, markup, mojibake, tokens
 from factlake.tables import table
 
 
@@ -19,6 +19,16 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike(table(spark, d, "wd_term"), "term_id", "lang", "text", fold=True).select(F.col("key").alias("term_id"), F.col("part").alias("lang"), "form")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "wp_dump").where("redirect is null")
+    return markup.page_elements(pages, "page_id", "wiki_text").select(F.col("key").alias("page_id"), "kind", "seq")
+
+
+def p5_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The clean text of every row of wp_dump."""
+    return markup.clean_pages(table(spark, d, "wp_dump"), "page_id", "wiki_text").withColumnRenamed("key", "page_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
 
@@ -46,5 +56,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p8_ids, p9_found, p9_spans, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_clean, p8_ids, p9_found, p9_spans, p10_found, p10_restored)}
 ORACLE: dict[str, str] = {}
