@@ -20,9 +20,9 @@ def get_date(c: Column) -> Column:
 
 def size_text(c: Column) -> Column:
     """Bytes as text in steps of 1024 with one decimal."""
-    out = F.format_string("%.1f TB", c / F.lit(1024.0**4))
+    out = F.format_string("%.1f TB", F.bround(c / F.lit(1024.0**4), 1))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(c < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", c / F.lit(1024.0**k))).otherwise(out)
+        out = F.when(c < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(c / F.lit(1024.0**k), 1))).otherwise(out)
     return out
 
 

@@ -53,7 +53,7 @@ def jaro(a: str, b: str) -> float:
     if not ma:
         return 0.0
     mb = [b[j] for j, u in enumerate(used) if u]
-    m, half = len(ma), sum(x != y for x, y in zip(ma, mb)) / 2
+    m, half = len(ma), sum(x != y for x, y in zip(ma, mb)) // 2  # a swap is two places; an odd one is none
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factlake.functions import ids, numbers, similarity, text
 from factlake.operators import graph, labels, mapping, ranking, store
 from factlake.plans import views as V
-from factlake.sources import files, sql_dump
+from factlake.sources import entities, files, sql_dump, wikitext
 from factlake.tables import table
 
 QUERIES: dict = {}
@@ -59,9 +59,9 @@ def multi_get(spark: SparkSession, d: str) -> DataFrame:
     return store.multi_get(V.items(spark, d), keys, "id").select("id", "label", "kind")
 
 
-@query(V.sql("lb", "select id, lang, label from lb where id = 'Q311'"))
+@query(V.sql("lb", "select id, lang, label from lb where id = 'Q102126'"))
 def get_label(spark: SparkSession, d: str) -> DataFrame:
-    return store.prefix_get(V.terms(spark, d, "label"), id="Q311")
+    return store.prefix_get(V.terms(spark, d, "label"), id="Q102126")
 
 
 @query(V.sql("lb", "select id, min(label) as label from lb where lang = 'de' group by id"))
@@ -397,7 +397,7 @@ def delete_keys(spark: SparkSession, d: str) -> DataFrame:
     return store.delete_keys(V.claims(spark, d), gone, ["head"])
 
 
-@query("with w as (select string_split(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g'), ' ') as t from eval_item where passage is not null), g as (select unnest(list_transform(generate_series(1, len(t) - 1), i -> t[i] || ' ' || t[i + 1])) as gram from w where len(t) > 1) select gram, count(*) as n from g group by gram")
+@query("with w as (select string_split(regexp_replace(lower(passage), '[^a-z0-9]+', ' ', 'g'), ' ') as t from eval_item where passage is not null), g as (select unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) as gram from w where len(t) > 1) select gram, count(*) as n from g group by gram")
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "eval_item").where("passage is not null").select(F.split(F.regexp_replace(F.lower("passage"), "[^a-z0-9]+", " "), " ").alias("t"))
     return t.select(F.explode(text.ngrams(F.col("t"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -417,8 +417,8 @@ def _norm_sql(x: str, punctuation: bool) -> str:
         t = f"regexp_replace({t}, '{c}{{3,}}', '{c}{c}', 'g')"
     if punctuation:
         bare = f"regexp_replace({t}, '[[:punct:]]', '', 'g')"
-        t = f"case when trim({bare}) <> '' then {bare} else {t} end"
-    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+        t = f"case when trim({bare}, ' ') <> '' then {bare} else {t} end"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' ')"
 
 
 @query(f"select doc_id, md5({_norm_sql('text', False)}) as norm from documents where text is not null")
@@ -472,6 +472,23 @@ def sql_rows(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("tbl", "fault", F.size("cells").alias("n_cells")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def page_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Infobox arguments and section links of every page."""
+    return wikitext.facts(table(spark, d, "wp_dump"), "page_id", "wiki_text").distinct().withColumnRenamed("key", "page_id")
+
+
+@query()
+def wiki_plain_text(spark: SparkSession, d: str) -> DataFrame:
+    return wikitext.plain_pages(table(spark, d, "wp_dump"), "page_id", "wiki_text").withColumnRenamed("key", "page_id")
+
+
+@query()
+def entity_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, descriptions, aliases, sitelinks and typed claims of the entity dump."""
+    return entities.read_entities(table(spark, d, "entity_dump"))
+
+
 @query("select c_custkey, case when contains(trim(regexp_replace(c_name, '#', ' ')), ' ') then c_name[1] || '. ' || array_to_string(string_split(regexp_replace(trim(replace(c_name, '#', ' ')), ' +', ' ', 'g'), ' ')[2:], ' ') end as short from customer")
 def name_abbrev(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.abbreviate(F.translate("c_name", "#", " ")).alias("short"))
@@ -645,7 +662,7 @@ def delete_posting(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ASK = [("a", "narrow lighthouse castle"), ("b", "quarry"), ("c", "the knowledge base links")]
-_BM = """ts as (select doc_id as doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') as t from documents where text is not null),
+_BM = """ts as (select doc_id as doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as t from documents where text is not null),
 dd as (select doc, t, len(t) as len from ts where len(t) > 0), sz as (select count(*) as n, avg(len) as mean from dd),
 tm as (select doc, len, unnest(t) as term from dd),
 q as (select distinct query, unnest(string_split(text, ' ')) as term from (values ('a', 'narrow lighthouse castle'), ('b', 'quarry'), ('c', 'the knowledge base links')) v(query, text)),
