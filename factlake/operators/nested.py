@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factlake.session import cut
 from factlake.sources.entity_json import read_entity
 
-#: A node of the tree in one task's memory: object hashes already written by it, forgotten beyond this number.
+#: Hashes a task remembers of the objects it has written; beyond this number it forgets them all.
 SEEN = 200_000
 _COLUMNS = [
     ("rec", pa.string()), ("line_no", pa.int64()), ("child", pa.string()), ("k", pa.string()), ("pos", pa.int32()), ("sub", pa.int32()), ("k2", pa.string()), ("pos2", pa.int32()),
@@ -26,21 +26,15 @@ _COLUMNS = [
 ]
 _ARROW = pa.schema(_COLUMNS)
 SCHEMA = "rec string, line_no bigint, child string, k string, pos int, sub int, k2 string, pos2 int, hash binary, parent binary, has_value boolean, body string"
-_TAGS = {dict: b"{", list: b"[", str: b"s", bool: b"b", int: b"i", float: b"f", type(None): b"n"}
+_canonical = json.JSONEncoder(ensure_ascii=True, sort_keys=True, separators=(",", ":")).encode
 
 
-def node_hash(x) -> bytes:
-    """128 bits that are equal for equal JSON values: members in any order, arrays in order, 1 and 1.0 differ."""
-    t = type(x)
-    if t is dict:
-        data = b"".join([k.encode("utf-8", "surrogatepass") + b"\0" + node_hash(x[k]) for k in sorted(x)])
-    elif t is list:
-        data = b"".join([node_hash(v) for v in x])
-    elif t is str:
-        data = x.encode("utf-8", "surrogatepass")
-    else:
-        data = repr(x).encode()
-    return blake2b(_TAGS[t] + data, digest_size=16).digest()
+def node_hash(kind: str, body: str, children: list[tuple] = ()) -> bytes:
+    """128 bits of a node: its kind, its own members in canonical form and, for every child, group, places and hash."""
+    h = blake2b(f"{kind} {body}".encode(), digest_size=16)
+    for place in sorted(children):  # members of an object may come in any order
+        h.update(repr(place).encode())
+    return h.digest()
 
 
 def _entries(x) -> list:
@@ -53,39 +47,61 @@ def _groups(x):
 
 
 def walk(entity: dict) -> Iterator[tuple]:
-    """(child, k, pos, sub, k2, pos2, object, parent object, has_value) of every child of an entity, in order."""
-    for kind, name, key in (("label", "labels", "value"), ("sitelink", "sitelinks", "title")):
-        for k, e in _groups(entity.get(name)):
-            if isinstance(e, dict):
-                yield kind, k, 0, -1, "", -1, e, entity, e.get(key) is not None
+    """(child, k, object, has_value) of the labels, sitelinks, aliases and claims of an entity."""
+    for child, name, key in (("label", "labels", "value"), ("sitelink", "sitelinks", "title"), ("alias", "aliases", "value"), ("claim", "claims", None)):
+        for k, es in _groups(entity.get(name)):
+            for e in _entries(es) if child in ("alias", "claim") else [es]:
+                if isinstance(e, dict):
+                    yield child, k, e, e.get(key) is not None if key else _valued(e.get("mainsnak"))
+
+
+def _valued(snak) -> bool:
+    return isinstance(snak, dict) and snak.get("datavalue") is not None
+
+
+def identify(entity: dict) -> list[tuple]:
+    """(child, k, pos, sub, k2, pos2, hash, parent's hash, has_value, body) of an entity and all its children.
+
+    Hashes are made bottom-up: a leaf's from its canonical JSON, a parent's from its own members and its children's
+    hashes, groups by name and entries in order. Absent, null and empty groups are the same.
+    """
+    rows: list[tuple] = []
+    below: list[tuple] = []
+
+    def leaf(child, places, obj, key) -> tuple:
+        body = _canonical(obj)
+        return (child, *places, node_hash(child, body), body, key(obj) if callable(key) else obj.get(key) is not None)
+
+    for name, child, key in (("labels", "label", "value"), ("sitelinks", "sitelink", "title")):
+        below += [leaf(child, (k, 0, -1, "", -1), e, key) for k, e in _groups(entity.get(name)) if isinstance(e, dict)]
     for k, es in _groups(entity.get("aliases")):
-        for i, e in enumerate(_entries(es)):
-            if isinstance(e, dict):
-                yield "alias", k, i, -1, "", -1, e, entity, e.get("value") is not None
+        below += [leaf("alias", (k, i, -1, "", -1), e, "value") for i, e in enumerate(_entries(es)) if isinstance(e, dict)]
     for k, es in _groups(entity.get("claims")):
         for i, s in enumerate(_entries(es)):
             if not isinstance(s, dict):
                 continue
-            valued = _valued(s.get("mainsnak"))
-            yield "claim", k, i, -1, "", -1, s, entity, valued
-            if not valued:
-                continue
+            valued, inner = _valued(s.get("mainsnak")), []
             for k2, qs in _groups(s.get("qualifiers")):
-                for j, q in enumerate(_entries(qs)):
-                    if isinstance(q, dict):
-                        yield "qualifier", k, i, -1, k2, j, q, s, _valued(q)
+                inner += [leaf("qualifier", (k, i, -1, k2, j), q, _valued) for j, q in enumerate(_entries(qs)) if isinstance(q, dict)]
             for r, ref in enumerate(_entries(s.get("references"))):
                 if not isinstance(ref, dict):
                     continue
-                yield "reference", k, i, r, "", -1, ref, s, True
-                for k2, ns in _groups(ref.get("snaks")):
-                    for j, q in enumerate(_entries(ns)):
-                        if isinstance(q, dict):
-                            yield "refsnak", k, i, r, k2, j, q, ref, _valued(q)
-
-
-def _valued(snak) -> bool:
-    return isinstance(snak, dict) and snak.get("datavalue") is not None
+                snaks = [leaf("refsnak", (k, i, r, k2, j), q, _valued) for k2, ns in _groups(ref.get("snaks")) for j, q in enumerate(_entries(ns)) if isinstance(q, dict)]
+                body = _canonical({x: v for x, v in ref.items() if x != "snaks"})
+                h = node_hash("reference", body, [(x[4], x[5], x[6]) for x in snaks])
+                inner.append(("reference", k, i, r, "", -1, h, body, True))
+                if valued:
+                    rows += [(*x[:7], h, x[8], x[7]) for x in snaks]
+            body = _canonical({x: v for x, v in s.items() if x not in ("qualifiers", "references")})
+            h = node_hash("claim", body, [(x[0], x[3], x[4], x[5], x[6]) for x in inner])
+            below.append(("claim", k, i, -1, "", -1, h, body, valued))
+            if valued:
+                rows += [(*x[:7], h, x[8], x[7]) for x in inner]
+    body = _canonical({x: v for x, v in entity.items() if x not in ("labels", "sitelinks", "aliases", "claims")})
+    root = node_hash("entity", body, [(x[0], x[1], x[2], x[6]) for x in below])
+    rows += [(*x[:7], root, x[8], x[7]) for x in below]
+    rows.append(("entity", entity["id"], 0, -1, "", -1, root, None, True, body))
+    return rows
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,18 +112,11 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entity, reason = read_entity(raw)
             if entity is None or reason or entity["id"][0] not in "QqPp":
                 continue
-            known: dict[int, bytes] = {}  # by identity of the object, which lives as long as the entity
-            root = known[id(entity)] = node_hash(entity)
-            rows.append(("b", no, "entity", entity["id"], 0, -1, "", -1, root, None, None, None))
-            if root not in seen:
-                seen.add(root)
-                rows.append(("o", None, "entity", None, None, None, None, None, root, None, True, entity["id"]))
-            for child, k, pos, sub, k2, pos2, obj, parent, valued in walk(entity):
-                h = known[id(obj)] = node_hash(obj)
-                rows.append(("b", no, child, k, pos, sub, k2, pos2, h, known[id(parent)], None, None))
-                if (h, child) not in seen:
-                    seen.add((h, child))
-                    rows.append(("o", None, child, None, None, None, None, None, h, None, valued, json.dumps(obj, ensure_ascii=True, sort_keys=True, separators=(",", ":"))))
+            for child, k, pos, sub, k2, pos2, h, parent, valued, body in identify(entity):
+                rows.append(("b", no, child, k, pos, sub, k2, pos2, h, parent, None, None))
+                if h not in seen:
+                    seen.add(h)
+                    rows.append(("o", None, child, None, None, None, None, None, h, None, valued, body))
             if len(seen) > SEEN:
                 seen.clear()
             if len(rows) > 20_000:

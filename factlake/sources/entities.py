@@ -44,7 +44,7 @@ def entity_facts(entity: dict) -> Iterator[tuple]:
     for k, e in d.items() if isinstance(d, dict) else ():
         if isinstance(e, dict) and e.get("value") is not None:
             yield "description", k, None, str(e["value"]), None
-    for child, k, _, _, _, _, obj, _, valued in walk(entity):
+    for child, k, obj, valued in walk(entity):
         if not valued:
             continue
         if child in ("label", "alias"):
