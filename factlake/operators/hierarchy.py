@@ -26,17 +26,19 @@ CORE = 20_000
 RESOLVED = "g string, node string, root string, depth int, n_below bigint, path array<string>"
 
 
-def parent_links(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
-    """(g, node, parent) of the links, one row a node; rows with a null are left out, repeated ones merged.
+def _clean(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
+    return edges.select(F.col(group).alias("g"), F.col(child).alias("node"), F.col(parent).alias("parent")).dropna()
 
-    A node with several parents keeps the smallest by length and text, so that the result is a forest.
-    """
-    e = edges.select(F.col(group).alias("g"), F.col(child).alias("node"), F.col(parent).alias("parent")).dropna()
-    return e.groupBy("g", "node").agg(F.min(F.struct(F.length("parent").alias("n"), F.col("parent").alias("p"))).alias("m")).select("g", "node", F.col("m.p").alias("parent"))
+
+def parent_links(links: DataFrame) -> DataFrame:
+    """One row (g, node, parent) a node: of several parents the smallest by length and text, so that it is a forest."""
+    return links.groupBy("g", "node").agg(F.min(F.struct(F.length("parent").alias("n"), F.col("parent").alias("p"))).alias("m")).select("g", "node", F.col("m.p").alias("parent"))
 
 
-def _start(links: DataFrame, paths: bool) -> DataFrame:
-    kids = links.groupBy("g", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("nk"))
+def _start(every: DataFrame, paths: bool) -> DataFrame:
+    links = parent_links(every)
+    # parents that no child kept are nodes too
+    kids = links.select("g", F.col("parent").alias("node"), F.lit(1).alias("n")).unionByName(every.select("g", F.col("parent").alias("node"), F.lit(0).alias("n"))).groupBy("g", "node").agg(F.sum("n").alias("nk"))
     via = F.expr("cast(array() as array<string>)") if paths else F.lit(None).cast("array<string>")
     return links.join(kids, ["g", "node"], "full").select(
         "g", "node", "parent", F.lit(1).alias("dist"), F.lit(0).cast("bigint").alias("skip"), F.lit(0).cast("bigint").alias("acc"),
@@ -109,7 +111,7 @@ def hierarchy(edges: DataFrame, group: str, child: str, parent: str, paths: bool
     smallest counts, a row that links a node to itself is a cycle. No rows give no rows. Other columns are ignored.
     path is as long as the node is deep; leave it off where trees may be deep and only the figures are wanted.
     """
-    a = cut(_start(parent_links(edges, group, child, parent), paths))
+    a = cut(_start(_clean(edges, group, child, parent), paths))
     hot = hot_hashes(a.where("parent is not null").select("g", F.col("parent").alias("node")), ["g", "node"])
     rounds = [a]
     while len(rounds) <= max_rounds:
