@@ -75,17 +75,24 @@ def build_automaton(items: list[tuple[int, str]], min_words: int = MIN_WORDS):
 
 
 def scan(text: str, automaton, sizes: dict[int, int], min_words: int = MIN_WORDS) -> dict[int, tuple[int, list[tuple[int, int]]]]:
-    """item -> (its words that are covered, spans in bare(text))."""
+    """item -> (its words that are covered, spans in the text as written). Hits must begin and end where words do."""
+    flat = bare(text)
+    at: list[int] | None = None
     covered: dict[int, set[int]] = {}
     spans: dict[int, list[tuple[int, int]]] = {}
-    for end, (n, at) in automaton.iter(bare(text)):
-        for item, i in at:
+    for last, (n, places) in automaton.iter(flat):
+        if at is None:
+            at = bare_offsets(text)
+        first = last - n + 1
+        if first and at[first] - at[first - 1] < 2 or last + 1 < len(at) and at[last + 1] - at[last] < 2:
+            continue
+        for item, i in places:
             covered.setdefault(item, set()).update(range(i, i + min_words))
             s = spans.setdefault(item, [])
-            if s and end - n + 1 <= s[-1][1]:
-                s[-1] = (s[-1][0], end + 1)
+            if s and at[first] <= s[-1][1]:
+                s[-1] = (s[-1][0], at[last] + 1)
             else:
-                s.append((end - n + 1, end + 1))
+                s.append((at[first], at[last] + 1))
     return {k: (len(c), spans[k]) for k, c in covered.items()}
 
 
@@ -101,10 +108,8 @@ def _scanner(shared, min_words: int):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not text:
                     continue
-                if hits := scan(text, automaton, sizes, min_words):
-                    at = bare_offsets(text)
-                    for item, (n, spans) in hits.items():
-                        rows.append((doc, item, sizes[item], n, [at[s] for s, _ in spans], [at[e - 1] + 1 for _, e in spans]))
+                for item, (n, spans) in scan(text, automaton, sizes, min_words).items():
+                    rows.append((doc, item, sizes[item], n, [s for s, _ in spans], [e for _, e in spans]))
             cols = list(zip(*rows)) or [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _ARROW.types)], schema=_ARROW)
 

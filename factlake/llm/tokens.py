@@ -80,23 +80,20 @@ def encode_text(text: str | None, enc, limit: int = LONG) -> list[int]:
         return []
     if len(text) <= limit:
         return enc.encode_ordinary(text)
-    out: list[int] = []
-    start = at = 0
-    for m in _splitter().finditer(text):
-        if m.end() - m.start() > limit:
-            if at > start:
-                out += enc.encode_ordinary(text[start:at])
-            out += encode_piece(m[0].encode(), enc, limit)
-            start = m.end()
-        at = m.end()
-    return out + enc.encode_ordinary(text[start:]) if start < len(text) else out
+    pieces = _splitter().findall(text)
+    if max(map(len, pieces)) <= limit:
+        return enc.encode_ordinary(text)
+    return [t for p in pieces for t in encode_piece(p.encode(), enc, limit)]
 
 
 def split_text(text: str, size: int = PART) -> list[str]:
-    """Parts of about `size` characters that end where the pattern splits whatever follows; a longer piece stays whole."""
+    """Parts of about `size` characters that split by the pattern as the whole does; a longer piece stays whole.
+
+    A part ends where the pattern splits and not in white space: how white space splits depends on what follows it.
+    """
     parts, start = [], 0
     for m in _splitter().finditer(text):
-        if m.end() - start >= size:
+        if m.end() - start >= size and not m[0][-1].isspace():
             parts.append(text[start : m.end()])
             start = m.end()
     if start < len(text):
