@@ -161,5 +161,5 @@ def dis_levenshtein(a: Column, b: Column) -> Column:
 def sim_change(a: Column, b: Column) -> Column:
     """1 - |a-b| / max(|a|, |b|); both 0 give 1; what is no number gives 0."""
     x, y = a.try_cast("double"), b.try_cast("double")
-    top = F.greatest(F.abs(x), F.abs(y))
+    top = F.when(x.isNotNull() & y.isNotNull(), F.greatest(F.abs(x), F.abs(y)))
     return F.coalesce(F.when(top == 0, F.lit(1.0)).otherwise(1 - F.abs(x - y) / top), F.lit(0.0))

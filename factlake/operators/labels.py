@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.ids import ENTITY_ID
 from factlake.functions.similarity import sim_ratio
-from factlake.functions.text import delete_edits, norm_text
+from factlake.functions.text import delete_edits, norm_text, squeeze
 from factlake.operators.mapping import build_dictionary
 
 #: Entities kept of each kind in a label's ranking; hits kept of a full-text match. Both are features of the search.
@@ -119,7 +119,7 @@ def query_variants(queries: DataFrame) -> DataFrame:
     """(query, text, weight): each text as it is; without its parentheses and brackets too, the latter at 0.99."""
     t = F.col("text")
     asis = queries.select("query", "text", F.lit(1.0).alias("weight"))
-    paren = queries.where(t.contains("(")).select("query", F.trim(F.regexp_replace(t, r"\([^()]*\)", " ")).alias("text"), F.lit(1.0).alias("weight"))
+    paren = queries.where(t.contains("(")).select("query", squeeze(F.regexp_replace(t, r"\([^()]*\)", " ")).alias("text"), F.lit(1.0).alias("weight"))
     inside = queries.where(t.contains("(")).select("query", F.regexp_extract(t, r"\(([^()]*)\)", 1).alias("text"), F.lit(1.0).alias("weight"))
-    bracket = queries.where(t.contains("[")).select("query", F.trim(F.regexp_replace(t, r"\[[^\[\]]*\]", " ")).alias("text"), F.lit(0.99).alias("weight"))
+    bracket = queries.where(t.contains("[")).select("query", squeeze(F.regexp_replace(t, r"\[[^\[\]]*\]", " ")).alias("text"), F.lit(0.99).alias("weight"))
     return asis.unionByName(paren).unionByName(inside).unionByName(bracket).where("text <> ''").distinct()

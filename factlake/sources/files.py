@@ -43,7 +43,7 @@ def ignored(title: Column) -> Column:
 def parse_triples(lines: DataFrame, value: str = "value") -> DataFrame:
     """(head, prop, tail) of N-Triples lines, terms as written; comments, blank and short lines are left out."""
     p = F.split(F.trim(F.col(value)), " ", 3)
-    t = lines.where(~F.trim(F.col(value)).startswith("#")).select(p[0].alias("head"), p[1].alias("prop"), F.regexp_replace(p[2], r"\s*\.\s*$", "").alias("tail"))
+    t = lines.where(~F.trim(F.col(value)).startswith("#")).select(F.get(p, F.lit(0)).alias("head"), F.get(p, F.lit(1)).alias("prop"), F.regexp_replace(F.get(p, F.lit(2)), r"\s*\.\s*$", "").alias("tail"))
     return t.where("tail is not null and tail <> ''")
 
 
