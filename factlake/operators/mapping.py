@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.skew import ranked
 
-def build_dictionary(ids: DataFrame, col: str) -> DataFrame:
-    """(id, lid): dense numbers from 0 in the order of the ids. Nulls are left out, repeated ids count once.
 
-    Numbers come from a range partition by id, so no task sorts everything: positions inside a partition are shifted by
-    the sizes of the partitions before it (one small row a partition).
-    """
+def build_dictionary(ids: DataFrame, col: str) -> DataFrame:
+    """(id, lid): dense numbers from 0 in the order of the ids. Nulls are left out, repeated ids count once."""
     d = ids.select(F.col(col).alias("id")).dropna().distinct()
-    n = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = d.repartitionByRange(n, "id").sortWithinPartitions("id").select("id", F.spark_partition_id().alias("p"))
-    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1)
-    sizes = ranked.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start"))
-    return ranked.join(F.broadcast(starts), "p").select("id", (F.col("r") + F.col("start")).cast("bigint").alias("lid"))
+    return ranked(d, [], [F.col("id")], "lid").select("id", (F.col("lid") - 1).cast("bigint").alias("lid"))
 
 
 def encode(rows: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.operators.skew import ranked
+
 
 def softmax(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """Adds `p`: exp(score) over its sum in the group; shifted by the largest score, so large scores don't overflow."""
@@ -14,13 +16,17 @@ def softmax(rows: DataFrame, by: list[str], score: str) -> DataFrame:
 
 
 def rank_to_p(rows: DataFrame, by: str, item: str, score: str, max_rank: int = 50, limit: int | None = None) -> DataFrame:
-    """(by, item, rank, p): ranks by falling score (ties by item), as scores max(max_rank, length) - position, softmaxed."""
-    order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(item))
-    r = rows.select(by, item, F.row_number().over(order).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("_n"))
+    """(by, item, rank, p): ranks by falling score (ties by item), as scores max(max_rank, length) - position, softmaxed.
+
+    Neighbouring scores differ by one, so p is exp(1 - rank) over a geometric sum of the list's length; max_rank cancels.
+    Lists of any length are ranked in parts; items of a list must differ.
+    """
+    r = ranked(rows.select(by, item, score), [by], [F.col(score).desc(), F.col(item)])
     if limit:
         r = r.where(F.col("rank") <= limit)
-    r = r.withColumn("_s", (F.greatest(F.lit(max_rank), F.col("_n")) - F.col("rank") + 1).cast("double"))
-    return softmax(r, [by], "_s").select(by, item, "rank", "p")
+    n = r.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    total = (1 - F.exp(-F.col("_n").cast("double"))) / (1 - F.exp(F.lit(-1.0)))
+    return r.join(n, by).select(by, item, F.col("rank").cast("int").alias("rank"), (F.exp(1 - F.col("rank").cast("double")) / total).alias("p"))
 
 
 def merge_rankings(lists: DataFrame, weights: dict, by: str, item: str, score: str) -> DataFrame:

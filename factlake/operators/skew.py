@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.session import cut
+
 #: A key is hot if it holds more than one in SHARE rows; so there are at most SHARE hot keys at any size of input.
 SHARE = 200
 #: Parts into which the rows of a hot key are split.
@@ -34,3 +36,27 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     left = left.withColumn("_salt", F.when(is_hot, (F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
     right = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the position (from 1) of each row in its group, in an order without ties, however large a group is.
+
+    Rows are laid out by range of (group, order) and written once; a row's position is its place in its part plus the
+    rows of the group in earlier parts. With by=[] the whole table is one group.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = cut(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    cond = [*by, "_part"]
+    if by:  # null groups are groups too
+        starts = starts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_part").alias("_gp"), "_start")
+        test = F.col("_part") == F.col("_gp")
+        for i, c in enumerate(by):
+            test = test & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        out = local.join(starts, test).drop("_gp", *[f"_g{i}" for i in range(len(by))])
+    else:
+        out = local.join(starts, cond)
+    return out.withColumn(name, F.col("_r") + F.col("_start")).drop("_r", "_start", "_part")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.skew import ranked
+
 
 def multi_get(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of the keys asked for; misses and null keys give nothing, repeated keys in `keys` don't repeat rows."""
@@ -79,8 +81,8 @@ def group_set(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def positions(table: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """Rows at positions low (from 0) up to high in key order."""
-    return table.withColumn("_n", F.row_number().over(Window.orderBy(key))).where(F.col("_n").between(low + 1, high)).drop("_n")
+    """Rows at positions low (from 0) up to, not including, high in the order of a unique key."""
+    return ranked(table, [], [F.col(key)], "_n").where(F.col("_n").between(low + 1, high)).drop("_n")
 
 
 def posting_set(rows: DataFrame, where: Column, item: str) -> DataFrame:
