@@ -51,7 +51,7 @@ _OPEN = re.compile(
 _INLINE_DOLLAR = re.compile(r"\$(?=[^\s$])(?:\\.|[^\\$\n]|\n(?!\s*\n))*?(?<=[^\s\\])\$(?!\d)", re.DOTALL)
 _TEX = re.compile(r"\\(?:(?:sub)*section|chapter|part|paragraph|emph|textbf|textit|cite|footnote|item|documentclass|begin)\b")
 _WIKI = re.compile(r"\[\[|'''?|\{\{|^=+[^=\n].*=\s*$|^\{\||<ref|</?small>|^[:;*#]+[^\s#*]|^[*#]*(?:#\*|\*#|##|\*\*)[^\n*]*$", re.MULTILINE)
-_MARKDOWN = re.compile(r"\]\(|\*\*\S|(?<!_)__\S|(?<!`)`[^`\n]+`|^\s*(?:```|~~~)|^> |^\d+[.)] |^ *[+-] |^\S[^\n]*\n(?:={2,}|-{2,})\s*$|(?<![*\w])\*[^\s*][^*\n]*\*(?!\*)|^#{1,6} .*#$", re.MULTILINE)
+_MARKDOWN = re.compile(r"\]\(|\*\*[^\s*](?:[^*\n]*[^\s*])?\*\*|(?<!_)__[^\s_][^_\n]*__|(?<!`)`[^`\n]+`|^\s*(?:```|~~~)|^> |^\d+[.)] |^ *[+-] |^\S[^\n]*\n(?:={2,}|-{2,})\s*$|(?<![*\w])\*[^\s*][^*\n]*\*(?!\*)|^#{1,6} .*#$", re.MULTILINE)
 _WIKI_ONLY = re.compile(r"\[\[|'''|(?<!')''(?!')|\{\{|^=+[^=\n].*=\s*$|^\{\||<ref|</?small>", re.MULTILINE)
 _REDIRECT = re.compile(r"\s*#(?:redirect|weiterleitung|redirection|redirección|redirecci[oó]n)\b", re.IGNORECASE)
 
