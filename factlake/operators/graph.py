@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.session import cut, drop_cut
+from factlake.session import cut_observed, drop_cut
 
 
 def claims_of(claims: DataFrame, heads: DataFrame | None = None, prop: str | None = None) -> DataFrame:
@@ -72,17 +72,16 @@ def reachable(edges: DataFrame, max_steps: int = 40) -> DataFrame:
 
     Cycles are safe: pairs are distinct, and it ends when no pair is new. Rows with a null are left out.
     """
-    r = cut(edges.select("src", "dst").dropna().distinct())
-    n = r.count()
+    size = F.count(F.lit(1))
+    r, seen = cut_observed(edges.select("src", "dst").dropna().distinct(), n=size)
     for _ in range(max_steps):
         a, b = r.select("src", F.col("dst").alias("mid")), r.select(F.col("src").alias("mid"), "dst")
-        more = cut(r.unionByName(a.join(b, "mid").select("src", "dst")).distinct())
-        m = more.count()
+        before = seen["n"]
+        more, seen = cut_observed(r.unionByName(a.join(b, "mid").select("src", "dst")).distinct(), n=size)
         drop_cut(r)
         r = more
-        if m == n:
+        if seen["n"] == before:
             return r
-        n = m
     raise RuntimeError(f"not closed after {max_steps} steps")
 
 
@@ -114,16 +113,19 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = Non
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     e = e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    x = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.lit(1.0).alias("score"), F.coalesce("gives", F.lit(False)).alias("gives")))
-    n = x.count()
+    lost = F.sum(F.when(~F.col("gives"), F.col("score")))
+    first = nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.lit(1.0).alias("score"), F.coalesce("gives", F.lit(False)).alias("gives"))
+    x, seen = cut_observed(first, n=F.count(F.lit(1)), dangling=lost)
+    n = seen["n"] or 0
     for _ in range(iterations or max_iter):
-        dangling = x.where("not gives").agg(F.sum("score")).first()[0] or 0.0
+        dangling = seen["dangling"] or 0.0
         rest = ((1 - alpha) * (n - dangling) + dangling) / n if n else 0.0
         got = e.join(x.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = cut(x.select("id", "gives", F.col("score").alias("was")).join(got, "id", "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + rest).alias("score"), "gives", "was"))
+        step = x.select("id", "gives", F.col("score").alias("was")).join(got, "id", "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + rest).alias("score"), "gives", "was")
+        new, seen = cut_observed(step, dangling=lost, change=F.sum(F.pow(F.col("score") - F.col("was"), 2)))
         drop_cut(x)
         x = new
-        if iterations is None and (x.agg(F.sqrt(F.sum(F.pow(F.col("score") - F.col("was"), 2)))).first()[0] or 0.0) <= tol:
+        if iterations is None and (seen["change"] or 0.0) ** 0.5 <= tol:
             break
     e.unpersist()
     return x.select("id", (F.col("score") / n).alias("score"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.skew import hot_hashes, salted_join
-from factlake.session import cut, drop_cut
+from factlake.session import cut, cut_observed, drop_cut
 
 #: Nodes with a parent that one task finishes in memory. A bound, not a share: larger inputs take more rounds first.
 CORE = 20_000
@@ -111,13 +111,14 @@ def hierarchy(edges: DataFrame, group: str, child: str, parent: str, paths: bool
     smallest counts, a row that links a node to itself is a cycle. No rows give no rows. Other columns are ignored.
     path is as long as the node is deep; leave it off where trees may be deep and only the figures are wanted.
     """
-    a = cut(_start(_clean(edges, group, child, parent), paths))
+    climbing = F.count(F.when(F.expr("parent is not null and parent <> node"), 1))
+    a, seen = cut_observed(_start(_clean(edges, group, child, parent), paths), n=climbing)
     hot = hot_hashes(a.where("parent is not null").select("g", F.col("parent").alias("node")), ["g", "node"])
     rounds = [a]
     while len(rounds) <= max_rounds:
-        if a.where("parent is not null and parent <> node").limit(core + 1).count() <= core:
+        if (seen["n"] or 0) <= core:
             break
-        a = cut(_round(a, len(rounds), paths))
+        a, seen = cut_observed(_round(a, len(rounds), paths), n=climbing)
         rounds.append(a)
     else:
         raise RuntimeError(f"not contracted after {max_rounds} rounds")

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOT: list[str] = []
 
@@ -55,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """cut() and aggregates of the rows, taken while they are written: no further pass for a stop test."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+    return out, seen.get
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Delete what cut() wrote, once nothing reads it any more."""
     for df in frames:
