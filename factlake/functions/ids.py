@@ -18,7 +18,8 @@ def outer_trim(c: Column) -> Column:
 
 def plain_id(c: Column, prefix: str = ENTITY_PREFIX) -> Column:
     """`q12 `, `http://.../Q12` -> `Q12`. Null stays null; anything else is only trimmed and put in capitals."""
-    return F.upper(F.regexp_replace(outer_trim(c), "(?i)^" + prefix.replace(".", r"\."), ""))
+    other = F.upper(F.regexp_replace(outer_trim(c), "(?i)^" + prefix.replace(".", r"\."), ""))
+    return F.when(c.rlike("^[QPL][0-9]+$"), c).otherwise(other)  # most are plain already
 
 
 def plain_title(c: Column) -> Column:
