@@ -91,7 +91,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per head: its number of attributes of each type and the sum of its first quantities."""
+    """One row per head: its number of attributes of each type."""
     w = widen.wide(widen.compact(widen.sparse_deltas(table(spark, d, "dp_triple"))))
     n = lambda c: F.size(c).alias(f"n_{c}")
     return w.select("head", n("entity"), n("quantity"), n("time"), n("string"))
@@ -129,7 +129,55 @@ judged as (
     case when coalesce(p.k, i.k) is null then 'missing' when coalesce(p.c, i.c) > r.t then 'late' when coalesce(p.d, i.d) <= r.t then 'deleted' end as reason
   from keyed r left join pages p on r.page and p.k = r.k left join items i on not r.page and i.k = r.k)"""
 
+_CHILDREN = r"""with raw as (select line_no, regexp_replace(trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)), ',$', '') as l from entity_dump where raw_line is not null),
+ok as (select line_no, l from raw where case when json_valid(l) and starts_with(l, '{') and not regexp_matches(l, ',\s*\}\s*$') then regexp_full_match(coalesce(case when json_type(l, '$.id') = 'VARCHAR' then json_extract_string(l, '$.id') end, ''), '[QqPp][0-9]+') else false end),
+lab as (select line_no, 'label' as child, e.key as k, 0 as pos, -1 as sub, '' as k2, -1 as pos2 from ok, json_each(ok.l, '$.labels') e where json_type(ok.l, '$.labels') = 'OBJECT' and json_type(e.value) = 'OBJECT' and json_type(e.value, '$.value') <> 'NULL'),
+sit as (select line_no, 'sitelink', e.key, 0, -1, '', -1 from ok, json_each(ok.l, '$.sitelinks') e where json_type(ok.l, '$.sitelinks') = 'OBJECT' and json_type(e.value) = 'OBJECT' and json_type(e.value, '$.title') <> 'NULL'),
+alg as (select line_no, e.key as k, case json_type(e.value) when 'OBJECT' then json_array(e.value) else e.value end as v from ok, json_each(ok.l, '$.aliases') e where json_type(ok.l, '$.aliases') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')),
+ali as (select line_no, 'alias', k, cast(a.key as integer), -1, '', -1 from alg, json_each(alg.v) a where json_type(a.value) = 'OBJECT' and json_type(a.value, '$.value') <> 'NULL'),
+clg as (select line_no, e.key as k, case json_type(e.value) when 'OBJECT' then json_array(e.value) else e.value end as v from ok, json_each(ok.l, '$.claims') e where json_type(ok.l, '$.claims') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')),
+cl as (select line_no, k, cast(a.key as integer) as pos, a.value as s from clg, json_each(clg.v) a where json_type(a.value) = 'OBJECT' and json_type(a.value, '$.mainsnak') = 'OBJECT' and json_type(a.value, '$.mainsnak.datavalue') <> 'NULL'),
+qug as (select line_no, k, pos, e.key as k2, case json_type(e.value) when 'OBJECT' then json_array(e.value) else e.value end as v from cl, json_each(cl.s, '$.qualifiers') e where json_type(cl.s, '$.qualifiers') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')),
+qua as (select line_no, 'qualifier', k, pos, -1, k2, cast(a.key as integer) from qug, json_each(qug.v) a where json_type(a.value) = 'OBJECT' and json_type(a.value, '$.datavalue') <> 'NULL'),
+rfg as (select line_no, k, pos, case json_type(s, '$.references') when 'OBJECT' then json_array(json_extract(s, '$.references')) else json_extract(s, '$.references') end as v from cl where json_type(s, '$.references') in ('OBJECT', 'ARRAY')),
+rf as (select line_no, k, pos, cast(a.key as integer) as sub, a.value as r from rfg, json_each(rfg.v) a where json_type(a.value) = 'OBJECT'),
+sng as (select line_no, k, pos, sub, e.key as k2, case json_type(e.value) when 'OBJECT' then json_array(e.value) else e.value end as v from rf, json_each(rf.r, '$.snaks') e where json_type(rf.r, '$.snaks') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')),
+sn as (select line_no, 'refsnak', k, pos, sub, k2, cast(a.key as integer) from sng, json_each(sng.v) a where json_type(a.value) = 'OBJECT' and json_type(a.value, '$.datavalue') <> 'NULL')
+select * from lab union all select * from sit union all select * from ali union all select line_no, 'claim', k, pos, -1, '', -1 from cl union all select * from qua union all select line_no, 'reference', k, pos, sub, '', -1 from rf union all select * from sn"""
+
+_REJECTED = r"""with raw as (select line_no, trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)) as t from entity_dump where raw_line is not null),
+ent as (select line_no, regexp_replace(t, '\s*,$', '') as l from raw where t not in ('', '[', ']')),
+jud as (select line_no, case when json_valid(l) and starts_with(l, '{') and not regexp_matches(l, ',\s*\}\s*$') then case when json_type(l, '$.id') = 'VARCHAR' and regexp_full_match(json_extract_string(l, '$.id'), '[QqPpLl][0-9]+') then null else 'id' end else 'json' end as reason from ent),
+ins as (select line_no, regexp_extract(raw_line, '^\s*INSERT INTO `(\w+)` VALUES', 1) as tbl, regexp_extract(raw_line, '^\s*INSERT INTO `\w+` VALUES\s*(.*)$', 1) as v from sql_dump where regexp_matches(raw_line, '^\s*INSERT INTO `(page|redirect|page_props)` VALUES')),
+quo as (select *, regexp_full_match(v, '(?:\((?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*)(?:,(?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*))*\)\s*,\s*)*\((?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*)(?:,(?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*))*\)\s*;?\s*') as fine from ins),
+lst as (select line_no, tbl, regexp_extract_all(v, '\((?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*)(?:,(?:\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*))*\)') as ts from quo where fine),
+tup as (select line_no, tbl, cast(unnest(range(1, len(ts) + 1)) as integer) as tuple_no, unnest(ts) as t from lst),
+cel as (select line_no, tbl, tuple_no, list_transform(regexp_extract_all(t[2:length(t) - 1], '(?:^|,)(\s*(?:''(?:[^''\\]|\\.)*''|[^'',()]*)\s*)', 1), lambda x: trim(x)) as c from tup),
+tst as (select line_no, tbl, tuple_no, len(c) = case tbl when 'page' then 6 when 'redirect' then 5 else 4 end as shape, c,
+  list_transform(c, lambda x: case when starts_with(x, '''') then x[2:length(x) - 1] when upper(x) = 'NULL' then null else x end) as u from cel),
+bad as (select line_no, tuple_no, shape, case when not shape then true else not coalesce(
+  regexp_full_match(c[1], '[0-9]*[1-9][0-9]*') and case tbl
+    when 'page' then regexp_full_match(c[2], '[0-9]+') and coalesce(u[3], '') <> '' and c[4] in ('0', '1') and regexp_full_match(c[5], '[0-9]+') and regexp_full_match(coalesce(u[6], ''), '[0-9]{14}') and try_strptime(u[6], '%Y%m%d%H%M%S') is not null
+    when 'redirect' then regexp_full_match(c[2], '[0-9]+') and coalesce(u[3], '') <> ''
+    else coalesce(u[2], '') <> '' and (u[2] <> 'wikibase_item' or regexp_full_match(coalesce(u[3], ''), '[Qq][0-9]+')) end, false) end as wrong from tst)
+select 'entity_dump' as tab, line_no, 0 as tuple_no, reason from jud where reason is not null
+union all select 'sql_dump', line_no, 0, 'quoting' from quo where not fine
+union all select 'sql_dump', line_no, tuple_no, case when shape then 'value' else 'columns' end from bad where wrong"""
+
+_CELLS = r"""with t as (select trim(head) as h, trim(prop) as p, trim(tail) as t from dp_triple where head is not null and prop is not null and trim(tail) <> ''),
+s as (select (upper(url_decode(regexp_replace(case when contains(h, '://') then regexp_extract(regexp_replace(h, '^<|>$', '', 'g'), '[^/#]*$') else h end, '_', ' ', 'g'))[1]) || url_decode(regexp_replace(case when contains(h, '://') then regexp_extract(regexp_replace(h, '^<|>$', '', 'g'), '[^/#]*$') else h end, '_', ' ', 'g'))[2:]) as head, case when contains(p, '://') then regexp_extract(regexp_replace(p, '^<|>$', '', 'g'), '[^/#]*$') else p end as p, t,
+  regexp_full_match(t, '(?s)"(.*)"(?:@[A-Za-z0-9-]+|\^\^<?[^<>"\s]+>?)?') as lit, regexp_extract(t, '(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<?[^<>"\s]+>?)?$', 1) as x, regexp_extract(t, '\^\^<?(?:[^<>"\s]*[:/#])?([A-Za-z]+)>?$', 1) as d from t),
+u as (select head, lower(p[1]) || p[2:] as prop, t, lit, d, replace(replace(parts[1] || coalesce(array_to_string(list_transform(parts[2:], lambda y: chr(cast('0x' || y[1:4] as integer)) || y[5:]), ''), ''), '\"', '"'), '\\', '\') as x from (select *, string_split(x, '\u') as parts from s)),
+c as (select head, prop, case when not lit then 'entity'
+    when d in ('integer', 'int', 'nonNegativeInteger') and regexp_full_match(x, '[+-]?[0-9]+') or d in ('double', 'decimal', 'float') and regexp_full_match(x, '[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?') then 'quantity'
+    when d = 'gYear' and regexp_full_match(x, '-?[0-9]{4,}') or d = 'date' and regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(x as date) is not null or d = 'dateTime' and regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}') and try_cast(replace(x, 'T', ' ') as timestamp) is not null and x[12:13] < '24' then 'time'
+    else 'string' end as dtype, t, x from u)
+select head, prop, dtype, cast(count(distinct case dtype when 'entity' then (upper(url_decode(regexp_replace(case when contains(t, '://') then regexp_extract(regexp_replace(t, '^<|>$', '', 'g'), '[^/#]*$') else t end, '_', ' ', 'g'))[1]) || url_decode(regexp_replace(case when contains(t, '://') then regexp_extract(regexp_replace(t, '^<|>$', '', 'g'), '[^/#]*$') else t end, '_', ' ', 'g'))[2:]) when 'quantity' then cast(cast(x as double) as varchar) else x end) as integer) as n_values from c group by head, prop, dtype"""
+
 ORACLE = {
+    "p1_found": _CHILDREN,
+    "p6_found": _REJECTED,
+    "p7_found": _CELLS,
     "p2_found": f"with recursive {_LINKS} select n.prop, n.node, coalesce(e.root, '') as root, cast(coalesce(e.depth, -1) as integer) as depth, cast(case when e.root is null then -1 else b.n end as integer) as n_below from nodes n left join ends e on e.prop = n.prop and e.node = n.node join below b on b.prop = n.prop and b.node = n.node",
     "p2_paths": f"with recursive {_LINKS} select u.prop, u.node, string_agg(u.anc, '/' order by u.dist desc) as path from up u join ends e on e.prop = u.prop and e.node = u.node group by u.prop, u.node",
     "p2_descendants": f"with recursive {_LINKS} select u.prop, u.anc as ancestor, u.node, u.dist as distance from up u join ends e on e.prop = u.prop and e.node = u.node where u.dist > 0",

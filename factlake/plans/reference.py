@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factlake.functions import ids, numbers, similarity, text
 from factlake.operators import graph, labels, mapping, ranking, store
 from factlake.plans import views as V
+from factlake.session import cut
 from factlake.sources import entities, files, sql_dump, wikitext
 from factlake.tables import table
 
@@ -273,9 +274,9 @@ def posting_except(spark: SparkSession, d: str) -> DataFrame:
     return c.where("prop = 'P31'").select("head").subtract(c.where("prop = 'P361'").select("head"))
 
 
-def _hot(spark: SparkSession, d: str) -> str:
+def _hot(claims: DataFrame) -> str:
     """The most frequent tail; its posting is the largest there is."""
-    return V.claims(spark, d).groupBy("tail").count().orderBy(F.desc("count"), "tail").first()[0]
+    return claims.groupBy("tail").count().orderBy(F.desc("count"), "tail").first()[0]
 
 
 _TOP = "top as (select tail from cl group by tail order by count(*) desc, tail limit 1)"
@@ -283,24 +284,26 @@ _TOP = "top as (select tail from cl group by tail order by count(*) desc, tail l
 
 @query(V.sql("cl", "select head from cl where tail = (select tail from top) intersect select head from cl where prop = 'P31' and tail in (select tail from mostp)", _TOP + ", mostp as (select tail from cl where prop = 'P31' and tail <> (select tail from top) group by tail order by count(*) desc, tail limit 1)"))
 def bool_and(spark: SparkSession, d: str) -> DataFrame:
-    c, top = V.claims(spark, d), _hot(spark, d)
+    c = cut(V.claims(spark, d))
+    top = _hot(c)
     other = c.where((F.col("prop") == "P31") & (F.col("tail") != top)).groupBy("tail").count().orderBy(F.desc("count"), "tail").first()[0]
     return graph.boolean_search(c, [(graph.AND, None, top), (graph.AND, "P31", other)])
 
 
 @query(V.sql("cl", "select head from cl where prop = 'P31' and tail = 'Q3' union select head from cl where prop = 'P31' and tail = 'Q7' union select head from cl where tail = 'Q11'"))
 def bool_or(spark: SparkSession, d: str) -> DataFrame:
-    return graph.boolean_search(V.claims(spark, d), [(graph.AND, "P31", "Q3"), (graph.OR, "P31", "Q7"), (graph.OR, None, "Q11")], order="declared")
+    return graph.boolean_search(cut(V.claims(spark, d)), [(graph.AND, "P31", "Q3"), (graph.OR, "P31", "Q7"), (graph.OR, None, "Q11")], order="declared")
 
 
 @query(V.sql("cl", "select head from cl where tail = (select tail from top) except select head from cl where prop = 'P31' and tail = 'Q3'", _TOP))
 def bool_not(spark: SparkSession, d: str) -> DataFrame:
-    return graph.boolean_search(V.claims(spark, d), [(graph.AND, None, _hot(spark, d)), (graph.NOT, "P31", "Q3")], order="declared")
+    c = cut(V.claims(spark, d))
+    return graph.boolean_search(c, [(graph.AND, None, _hot(c)), (graph.NOT, "P31", "Q3")], order="declared")
 
 
 @query(V.sql("cl", "select distinct head from cl where tail = 'Q3'"))
 def bool_any_prop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.boolean_search(V.claims(spark, d), [(graph.AND, None, "Q3"), (graph.AND, "P31", "Q_unknown")], missing="ignore")
+    return graph.boolean_search(cut(V.claims(spark, d)), [(graph.AND, None, "Q3"), (graph.AND, "P31", "Q_unknown")], missing="ignore")
 
 
 @query(V.sql("cl it", "select distinct i.id from it i where i.id in (select tail from cl where prop = 'P279')"))
@@ -310,7 +313,7 @@ def is_a_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.sql("cl", "select distinct c.head, u.a as type from cl c join (select node, anc as a from up) u on u.node = c.tail where c.prop = 'P31'", "up as (select tail as node, tail as anc from cl where prop in ('P31', 'P279') union select u.node, c.tail from up u join cl c on c.prop = 'P279' and c.head = u.anc)", recursive=True))
 def type_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.type_closure(V.claims(spark, d))
+    return graph.type_closure(cut(V.claims(spark, d)))
 
 
 _EDGES = "ew as (select src, dst, cast(sum(w) as bigint) as w from (select head as src, tail as dst, count(*) * 3 as w from cl group by all union all select a.item, b.item, count(*) from rd r join xm a on a.title = r.src join xm b on b.title = r.dst group by all) group by src, dst)"
@@ -412,7 +415,7 @@ def norm_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _norm_sql(x: str, punctuation: bool) -> str:
-    t = f"lower(regexp_replace({x}, '\\p{{Cf}}', '', 'g'))"
+    t = f"lower(regexp_replace(regexp_replace({x}, '\\p{{Cf}}', '', 'g'), '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g'))"
     for c in "abcdefghijklmnopqrstuvwxyz":
         t = f"regexp_replace({t}, '{c}{{3,}}', '{c}{c}', 'g')"
     if punctuation:
