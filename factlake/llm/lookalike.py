@@ -2,7 +2,7 @@
 
 One form per text: compatibility normalisation (composed), mapped white space, default-ignorable characters removed,
 look-alike letters of other scripts mapped to one letter, full case folding on request. The form is computed once per
-distinct text, in Arrow batches.
+distinct text of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlake.operators.skew import SHARE, hot_hashes, salted_join
+from factlake.session import cut, cut_observed
+
 #: Letters of Greek and Cyrillic that are drawn as a Latin letter, and that letter.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ανοιρυϲϳ"
 GREEK_LATIN = "ABEZHIKMNOPTYX" + "avoipucj"
@@ -63,37 +66,43 @@ def look(text: str, fold: bool = False) -> str:
 def _forms(fold: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            forms = pa.array([look(t, fold) for t in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), forms], names=["part", "text", "form"])
+            coded = b.column(2).dictionary_encode()
+            forms = pa.array([look(t, fold) for t in coded.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, forms.take(coded.indices)], names=["key", "part", "text", "form"])
 
     return run
 
 
-def distinct_forms(texts: DataFrame, part: str, text: str, fold: bool = False) -> DataFrame:
-    """(part, text, form): the form of every different (part, text). Null texts are left out, empty ones have the form ""."""
-    d = texts.where(F.col(text).isNotNull()).select(F.col(part).alias("part"), F.col(text).alias("text")).distinct()
-    return d.mapInArrow(_forms(fold), "part string, text string, form string")
+def with_forms(texts: DataFrame, key: str, part: str, text: str, fold: bool = False) -> DataFrame:
+    """(key, part, text, form) of every row with a text; the form is made once per different text of a batch.
+
+    Null texts are left out, empty ones have the form "".
+    """
+    t = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(part).alias("part"), F.col(text).alias("text"))
+    return t.mapInArrow(_forms(fold), "key bigint, part string, text string, form string")
 
 
 def alike(texts: DataFrame, key: str, part: str, text: str, fold: bool = False) -> DataFrame:
     """(key, part, text, form) of all rows whose form is shared by a different text of the same part.
 
-    Forms are computed per distinct text; rows of forms that only one text has are dropped before any row is joined.
-    A null part is a part of its own. Repeated rows give one.
+    Forms are made and written once. Groups of a form are told from hashes first, so that rows of forms that only one
+    text has leave early; the few rows that stay are then compared by their texts. Keys of much repeated forms are spread
+    over tasks. A null part is a part of its own. Repeated rows give one.
     """
-    forms = distinct_forms(texts, part, text, fold)
-    shared = forms.groupBy("part", "form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    vary = forms.alias("f").join(shared.alias("s"), F.col("f.part").eqNullSafe(F.col("s.part")) & (F.col("f.form") == F.col("s.form")), "left_semi")
-    rows = texts.select(F.col(key).alias("key"), F.col(part).alias("part"), F.col(text).alias("text"))
-    r = rows.alias("r").join(vary.alias("v"), (F.col("r.text") == F.col("v.text")) & F.col("r.part").eqNullSafe(F.col("v.part")))
-    return r.select("r.key", "r.part", "r.text", "v.form").distinct()
+    hashed = [F.xxhash64("part", "form").alias("h"), F.struct(F.xxhash64("text").alias("a"), F.crc32(F.encode("text", "utf-8")).alias("b")).alias("t")]
+    rows, seen = cut_observed(with_forms(texts, key, part, text, fold).select("*", *hashed), n=F.count(F.lit(1)))
+    groups = rows.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n"))
+    some = cut(groups.select("h", "n", (F.col("low") != F.col("high")).alias("varies")).where(F.col("varies") | (F.col("n") > (seen["n"] or 0) / SHARE)))
+    hot = [r[0] for r in some.where(F.col("n") > max(10_000, seen["n"] or 0) / SHARE).select(F.xxhash64("h")).collect()]  # at most SHARE numbers
+    few = cut(salted_join(rows, some.where("varies").select("h"), ["h"], "left_semi", hot).select("key", "part", "text", "form").distinct())
+    vary = few.groupBy("part", "form").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high")
+    f, v = few.alias("f"), vary.alias("v")
+    return f.join(v, F.col("f.part").eqNullSafe(F.col("v.part")) & (F.col("f.form") == F.col("v.form")), "left_semi")
 
 
 def alike_pairs(texts: DataFrame, key: str, part: str, text: str, fold: bool = False) -> DataFrame:
     """(key_a, key_b), smaller key first: rows of one part that look the same but hold different code points."""
-    from factlake.operators.skew import hot_hashes, salted_join
-
-    r = alike(texts, key, part, text, fold).select("key", F.coalesce("part", F.lit("\0")).alias("part"), "text", "form")
+    r = cut(alike(texts, key, part, text, fold).select("key", F.coalesce("part", F.lit("\0")).alias("part"), "text", "form"))
     a = r.select("part", "form", F.col("key").alias("key_a"), F.col("text").alias("text_a"))
     b = r.select("part", "form", F.col("key").alias("key_b"), F.col("text").alias("text_b"))
     return salted_join(a, b, ["part", "form"], "inner", hot_hashes(a, ["part", "form"])).where("key_a < key_b and text_a <> text_b").select("key_a", "key_b").distinct()
