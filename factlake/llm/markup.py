@@ -28,7 +28,8 @@ _HARD = 1e6
 CODE_ENVS = "verbatim|Verbatim|lstlisting|minted|alltt"
 MATH_ENVS = "equation|align|alignat|gather|multline|flalign|eqnarray|displaymath|math"
 _OPEN = re.compile(
-    rf"""(?P<comment><!--)
+    rf"""(?=[<`~\\${{%]|^[ ]{{1,3}}[`~{{])(?:  # what a region can start with, so that most places fail at once
+    (?P<comment><!--)
     |(?P<nowiki><nowiki\b[^<>]*?(?P<void>/)?>)
     |<(?P<hidden>script|style)\b[^<>]*>
     |<(?P<code>pre|syntaxhighlight|source)\b(?P<attrs>[^<>]*)>
@@ -45,7 +46,7 @@ _OPEN = re.compile(
     |(?P<display>\$\$)|(?P<dollar>\$)
     |(?P<template>\{{\{{)
     |(?P<table>^[ ]*\{{\|)
-    |(?P<percent>%)""",
+    |(?P<percent>%))""",
     re.VERBOSE | re.MULTILINE | re.IGNORECASE,
 )
 _INLINE_DOLLAR = re.compile(r"\$(?=[^\s$])(?:\\.|[^\\$\n]|\n(?!\s*\n))*?(?<=[^\s\\])\$(?!\d)", re.DOTALL)
@@ -209,7 +210,7 @@ def dialect(text: str) -> str:
 
 def blocks(text: str) -> list[Block]:
     """The blocks of a page in order; regions stand where they were."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n").translate({0xE000: None, 0xE001: None})
+    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", "")
     tex = len(_TEX.findall(text)) >= 1
     flat, regions = lift(text, tex and not re.search(r"\[\[|<p>|\{\{", text))
     signs = {"wiki": "[[x]]", "markdown": "`x`", "": "x"}
@@ -318,6 +319,7 @@ def blocks(text: str) -> list[Block]:
 # --- labelling ------------------------------------------------------------------------------------------------------
 
 _FEATURES = 9
+_PLAIN = re.compile(r"(?:[^\W\d_]| )+")
 
 
 def features(b: Block) -> list[float]:
@@ -327,8 +329,8 @@ def features(b: Block) -> list[float]:
     return [
         1.0,
         min(len(words), 40) / 20,
-        sum(c.isalpha() or c == " " for c in t) / n,
-        sum(c in "|=[]{}<>/" for c in t) / n * 5,
+        sum(map(len, _PLAIN.findall(t))) / n,
+        sum(map(t.count, "|=[]{}<>/")) / n * 5,
         float(t.rstrip()[-1:] in ".!?:;…»”\"'"),
         t.count("[[") / max(1, len(words)) * 3,
         float(bool(re.match(r"\s*[|!]", t))),
