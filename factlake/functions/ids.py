@@ -28,6 +28,11 @@ def plain_title(c: Column) -> Column:
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
 
 
+def decoded_title(c: Column) -> Column:
+    """plain_title of a percent-encoded title; `+` is no space, and what can't be decoded stays as written."""
+    return plain_title(F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c))
+
+
 def is_entity_id(c: Column) -> Column:
     """Q or P in either case and at least one ASCII digit, nothing else; false for null."""
     return F.coalesce(c.rlike(ENTITY_ID), F.lit(False))

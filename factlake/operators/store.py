@@ -30,6 +30,16 @@ def head(table: DataFrame, key: str, n: int, skip: int = 0) -> DataFrame:
     return table.orderBy(key).offset(skip).limit(n)
 
 
+def random_rows(table: DataFrame, n: int, seed: int) -> DataFrame:
+    """n rows, each as likely as any other (a sampling operator; one small heap a task)."""
+    return table.orderBy(F.rand(seed)).limit(n)
+
+
+def compact(table: DataFrame, path: str, by: list[str], files: int) -> None:
+    """Rewrite a table as `files` files, laid out by range of `by` and sorted, so that scans of a key skip most of them."""
+    table.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def exists(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Keys that the table holds."""
     return keys.join(table.select(key), key, "left_semi")

@@ -414,6 +414,11 @@ def norm_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wp_redirect").where("src is not null").select("row_id", ids.plain_title(F.col("src")).alias("title"))
 
 
+@query("with t as (select row_id, trim(replace(url_decode(head), '_', ' ')) as t from dp_triple where head is not null and not contains(head, '://')) select row_id, upper(t[1]) || t[2:] as title from t")
+def norm_title_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dp_triple").where("head is not null and not contains(head, '://')").select("row_id", ids.decoded_title(F.col("head")).alias("title"))
+
+
 def _norm_sql(x: str, punctuation: bool) -> str:
     t = f"lower(regexp_replace(regexp_replace({x}, '\\p{{Cf}}', '', 'g'), '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g'))"
     for c in "abcdefghijklmnopqrstuvwxyz":

@@ -117,3 +117,11 @@ def test_ranked(spark):
         assert [(r.s, r.id) for r in sorted(g, key=lambda r: r.rank)] == sorted(((r.s, r.id) for r in g), key=lambda x: (-x[0], x[1])) and sorted(r.rank for r in g) == list(range(1, len(g) + 1))
     assert [r.id for r in store.positions(df, "id", 5, 8).orderBy("id").collect()] == [5, 6, 7]
     assert skew.ranked(df.where("false"), [], [skew.F.col("id")]).count() == 0
+
+
+def test_random_and_compact(spark, tmp_path):
+    t = spark.range(1000).selectExpr("id", "id % 7 as k")
+    a, b = store.random_rows(t, 5, 1), store.random_rows(t, 5, 2)
+    assert a.count() == 5 and rows(a) != rows(b)
+    store.compact(t, str(tmp_path / "t"), ["k", "id"], 3)
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == rows(t)
