@@ -25,15 +25,18 @@ def hot_hashes(df: DataFrame, keys: list[str], share: int = SHARE) -> list[int]:
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", hot: list[int] | None = None, salts: int = SALTS) -> DataFrame:
     """left JOIN right USING (keys), with the left rows of hot keys spread over `salts` tasks.
 
-    right holds few rows a key (it is repeated `salts` times for the hot keys only). Rows of left with a null key find
-    no partner and go to random tasks instead of one. how: inner, left, left_semi or left_anti.
+    right holds few rows a key (it is repeated `salts` times for the hot keys only). Rows of left with a null key, which
+    find no partner, are spread too. The salt is a hash of the whole row, so that a task run again salts alike; only rows
+    that are equal in every column stay together. how: inner, left, left_semi or left_anti.
     """
     if hot is None:
         hot = hot_hashes(left, keys)
-    if not hot:
-        return left.join(right, keys, how)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    left = left.withColumn("_salt", F.when(is_hot, (F.rand(7) * salts).cast("int")).otherwise(F.lit(0)))
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    no_key = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        no_key = no_key | F.col(k).isNull()
+    row = [c for c, kind in left.dtypes if "map<" not in kind]
+    left = left.withColumn("_salt", F.when(is_hot | no_key, F.pmod(F.xxhash64(F.lit(7), *row), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     right = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
