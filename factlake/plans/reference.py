@@ -538,6 +538,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["id", "lang"]).select(F.lower("label").alias("a"), F.lower("alias").alias("b")).distinct()
 
 
+def _top_2(pairs: DataFrame) -> DataFrame:
+    return ranking.top_k(pairs.withColumn("v", F.levenshtein("a", "b")), ["a"], [F.col("v").asc(), F.col("b").asc()], 2)
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    order = F.struct(F.levenshtein("a", "b").alias("e"), F.abs(F.length("a") - F.length("b")).alias("l"), "b")
+    return pairs.groupBy("a").agg(F.min_by("b", order).alias("closest"))
+
+
 _PAIRS = "pr as (select distinct lower(l.label) as a, lower(a.label) as b from lb l join al a on a.id = l.id and a.lang = l.lang)"
 
 
@@ -581,15 +590,46 @@ def sim_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.sql("lb al", "select a, b, v, cast(r as integer) as rank from (select a, b, v, row_number() over (partition by a order by v, b) as r from (select a, b, cast(levenshtein(a, b) as integer) as v from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*'))) where r <= 2", _PAIRS))
 def top_k_similar(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))).withColumn("v", F.levenshtein("a", "b"))
-    return ranking.top_k(p, ["a"], [F.col("v").asc(), F.col("b").asc()], 2)
+    return _top_2(_pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))))
 
 
 @query(V.sql("lb al", "select a, min_by(b, (levenshtein(a, b), abs(length(a) - length(b)), b)) as closest from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*') group by a", _PAIRS))
 def closest(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(text.is_ascii(F.concat("a", "b")))
-    order = F.struct(F.levenshtein("a", "b").alias("e"), F.abs(F.length("a") - F.length("b")).alias("l"), "b")
-    return p.groupBy("a").agg(F.min_by("b", order).alias("closest"))
+    return _closest(_pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))))
+
+
+# The six above hold what DuckDB's byte-wise functions can check, ASCII pairs; these six give every pair.
+
+
+@query()
+def dis_levenshtein_all(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", similarity.dis_levenshtein(F.col("a"), F.col("b")).alias("v"))
+
+
+@query()
+def dis_damerau_all(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", similarity.dis_damerau("a", "b").alias("v"))
+
+
+@query()
+def dis_hamming_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of unequal length too: the excess counts."""
+    return _pairs(spark, d).select("a", "b", similarity.dis_hamming("a", "b").alias("v"))
+
+
+@query()
+def sim_jaro_all(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", F.round(similarity.sim_jaro("a", "b"), 9).alias("j"), F.round(similarity.sim_jaro_winkler("a", "b"), 9).alias("w"))
+
+
+@query()
+def top_k_similar_all(spark: SparkSession, d: str) -> DataFrame:
+    return _top_2(_pairs(spark, d))
+
+
+@query()
+def closest_all(spark: SparkSession, d: str) -> DataFrame:
+    return _closest(_pairs(spark, d))
 
 
 # --- rankings ---------------------------------------------------------------------------------------------------------
