@@ -439,6 +439,19 @@ def norm_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wd_term").where("text is not null").select("term_id", text.norm_text(F.col("text"), True, compose=False).alias("norm"))
 
 
+# DuckDB's SQL has no NFKC: where a query leaves it off (compose=False) to be checked, its twin has it on.
+
+
+@query()
+def norm_text_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("norm"))
+
+
+@query()
+def norm_query_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "wd_term").where("text is not null").select("term_id", text.norm_text(F.col("text"), True).alias("norm"))
+
+
 @query("select page_id, trim(regexp_replace(regexp_replace(wiki_text, '<[^<>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from wp_dump where wiki_text is not null")
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wp_dump").where("wiki_text is not null").select("page_id", text.strip_tags(F.col("wiki_text")).alias("t"))
@@ -673,6 +686,17 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     return labels.lookup(V.items(spark, d).where("label is not null").select(F.col("label").alias("text")), ids_, compose=False)
 
 
+@query()
+def vocab_build_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return labels.vocabulary(_labels(spark, d))
+
+
+@query()
+def label_lookup_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    ids_ = labels.label_ids(labels.vocabulary(_labels(spark, d)))
+    return labels.lookup(V.items(spark, d).where("label is not null").select(F.col("label").alias("text")), ids_)
+
+
 def _degree(spark: SparkSession, d: str) -> DataFrame:
     c = V.claims(spark, d)
     return c.groupBy(F.col("tail").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
@@ -686,6 +710,11 @@ def label_rank(spark: SparkSession, d: str) -> DataFrame:
     return labels.label_ranking(labels.vocabulary(_labels(spark, d), compose=False), _degree(spark, d), graph.types_in_use(V.claims(spark, d)))
 
 
+@query()
+def label_rank_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    return labels.label_ranking(labels.vocabulary(_labels(spark, d)), _degree(spark, d), graph.types_in_use(V.claims(spark, d)))
+
+
 _DELETES = "w as (select distinct unnest(string_split(lower(p_name), ' ')) as word from part), pre as (select distinct word, word[:10] as p from w where word <> ''), de as (select word, p as del from pre union select word, p[:i - 1] || p[i + 1:] from (select word, p, unnest(generate_series(1, length(p))) as i from pre where length(p) > 1))"
 
 

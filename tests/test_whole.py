@@ -1,5 +1,10 @@
 """Queries over every row, held against brute force on small tables."""
 
+import hashlib
+import re
+import string
+import unicodedata
+
 import pytest
 from conftest import rows
 
@@ -56,3 +61,28 @@ def test_closest_of_all_pairs(spark, pairs):
     assert dict(rows(Q["closest_all"](spark, d))) == want
     top = {(a, r + 1): b for a in want for r, (_, b) in enumerate(sorted((slow_levenshtein(a, b), b) for x, b in p if x == a)[:2])}
     assert {(r["a"], r["rank"]): r["b"] for r in Q["top_k_similar_all"](spark, d).collect()} == top
+
+
+def plain_norm(t, punctuation):
+    t = "".join(c for c in t if unicodedata.category(c) != "Cf")
+    t = re.sub(r"([A-Za-z])\1{2,}", r"\1\1", unicodedata.normalize("NFKC", t).lower())
+    bare = "".join(c for c in t if c not in string.punctuation) if punctuation else ""
+    return " ".join((bare if bare.strip() else t).split())
+
+
+def test_normal_forms_are_composed(spark, tmp_path):
+    d = str(tmp_path)
+    terms = [("Q1", "en", "label", "Office Mill"), ("Q2", "en", "label", "Oﬃce  Ｍill"), ("Q3", "fr", "label", "Café (x)"), ("Q4", "fr", "alias", "Cafe\u0301 (x)"), ("Q5", "ja", "alias", "ﾘｾﾞ"), ("Q6", "ja", "label", "リゼ"), ("Q7", "en", "label", "Q12")]
+    put_terms(spark, d, terms)
+    put(spark, d, "documents", [(i, t[3]) for i, t in enumerate(terms)], "doc_id bigint, text string")
+    put(spark, d, "wd_item", [(t[0], i, t[3], "item") for i, t in enumerate(terms)], "id string, lid int, label string, kind string")
+    put(spark, d, "claims_ent", [("Q9", "P31", "Q2"), ("Q8", "P31", "Q2"), ("Q9", "P31", "Q1")], "head string, prop string, tail string")
+    assert rows(Q["norm_text_nfkc"](spark, d)) == [(i, hashlib.md5(plain_norm(t[3], False).encode()).hexdigest()) for i, t in enumerate(terms)]
+    assert rows(Q["norm_query_nfkc"](spark, d)) == [(i, plain_norm(t[3], True)) for i, t in enumerate(terms, 1)]
+    vocab = {(i, "en" if lang == "en" else "all", plain_norm(t, p)) for i, lang, _, t in terms if t != "Q12" for p in (False, True)}
+    assert rows(Q["vocab_build_nfkc"](spark, d)) == sorted(vocab, key=repr)
+    known = sorted({v[2] for v in vocab})
+    assert len(known) == 4  # each spelling has merged
+    assert dict(rows(Q["label_lookup_nfkc"](spark, d))) == {t[3]: known.index(plain_norm(t[3], False)) for t in terms[:6]}
+    ranked = {(r["label"], r["id"]): (r["score"], r["rank"]) for r in Q["label_rank_nfkc"](spark, d).collect()}
+    assert ranked["office mill", "Q2"] == (2.0, 1) and ranked["office mill", "Q1"] == (1.0, 2) and len(ranked) == len({v[::2] for v in vocab})
