@@ -738,6 +738,46 @@ def delete_posting(spark: SparkSession, d: str) -> DataFrame:
     return labels.delete_index(_words(spark, d), 1, 10).join(first, "del").select("label").distinct()
 
 
+#: Edits and prefix that the production index is built with.
+_EDITS, _PREFIX = 4, 10
+
+
+def _vocab_words(spark: SparkSession, d: str) -> DataFrame:
+    return labels.vocabulary(_labels(spark, d)).select("label").distinct()
+
+
+def _term_typos(spark: SparkSession, d: str) -> DataFrame:
+    """Normal forms of the terms with a number divisible by 100, with their second letter left out."""
+    t = table(spark, d, "wd_term").where("term_id % 100 = 0 and text is not null").select(text.norm_text(F.col("text")).alias("t"))
+    return t.select(F.expr("concat(left(t, 1), substr(t, 3))").alias("text")).where("text <> ''").distinct()
+
+
+# The four on words of parts can be checked in SQL; these run over the whole label vocabulary.
+
+
+@query()
+def delete_edits_all(spark: SparkSession, d: str) -> DataFrame:
+    return labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX).select("label", "del")
+
+
+@query()
+def delete_index_all(spark: SparkSession, d: str) -> DataFrame:
+    i = labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX)
+    return i.groupBy("del").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"))
+
+
+@query()
+def delete_posting_all(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that have the prefix of a typo among their delete edits."""
+    typos = _term_typos(spark, d).withColumn("del", F.left("text", F.lit(_PREFIX)))
+    return labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX).join(typos, "del").select("text", "label")
+
+
+@query()
+def fuzzy_search_all(spark: SparkSession, d: str) -> DataFrame:
+    return labels.fuzzy(_term_typos(spark, d), labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX), _EDITS, _PREFIX)
+
+
 _ASK = [("a", "narrow lighthouse castle"), ("b", "quarry"), ("c", "the knowledge base links")]
 _BM = """ts as (select doc_id as doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as t from documents where text is not null),
 dd as (select doc, t, len(t) as len from ts where len(t) > 0), sz as (select count(*) as n, avg(len) as mean from dd),

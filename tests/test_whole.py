@@ -1,6 +1,7 @@
 """Queries over every row, held against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import string
 import unicodedata
@@ -10,6 +11,7 @@ from conftest import rows
 
 import __spark_entry__ as E
 from factlake.functions import similarity as S
+from factlake.functions import text
 
 Q = E.queries()
 TERMS = [
@@ -86,3 +88,24 @@ def test_normal_forms_are_composed(spark, tmp_path):
     assert dict(rows(Q["label_lookup_nfkc"](spark, d))) == {t[3]: known.index(plain_norm(t[3], False)) for t in terms[:6]}
     ranked = {(r["label"], r["id"]): (r["score"], r["rank"]) for r in Q["label_rank_nfkc"](spark, d).collect()}
     assert ranked["office mill", "Q2"] == (2.0, 1) and ranked["office mill", "Q1"] == (1.0, 2) and len(ranked) == len({v[::2] for v in vocab})
+
+
+def test_delete_index_of_the_vocabulary(spark, tmp_path):
+    d = str(tmp_path)
+    r = random.Random(1)
+    base = ["".join(r.choices("abcde ф", k=r.randint(5, 14))).strip() + "x" for _ in range(40)]
+    terms = [(f"Q{i}", "en" if i % 2 else "ru", "label" if i % 3 else "alias", t) for i, t in enumerate(base)]
+    terms = [terms[i % 40] for i in range(250)]
+    put_terms(spark, d, terms)
+    vocab = {plain_norm(t, p) for t in base for p in (False, True)}
+    edits = {(v, e) for v in vocab for e in text.delete_edits(v, 4, 10)}
+    assert rows(Q["delete_edits_all"](spark, d)) == sorted(edits, key=repr)
+    index = {}
+    for v, e in edits:
+        index.setdefault(e, set()).add(v)
+    assert rows(Q["delete_index_all"](spark, d)) == sorted(((e, len(v), min(v)) for e, v in index.items()), key=repr)
+    typos = {(n := plain_norm(terms[i - 1][3], False))[:1] + n[2:] for i in (100, 200)}
+    assert rows(Q["delete_posting_all"](spark, d)) == sorted(((t, v) for t in typos for v in index.get(t[:10], ())), key=repr)
+    near = {(t, v): e for t in typos for v in vocab if (e := slow_levenshtein(t, v)) <= 4}
+    assert max(near.values()) > 2
+    assert {(x["text"], x["label"]): round(x["score"], 9) for x in Q["fuzzy_search_all"](spark, d).collect()} == {(t, v): round(1 - e / max(len(t), len(v)), 9) for (t, v), e in near.items()}
