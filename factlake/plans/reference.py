@@ -809,36 +809,46 @@ def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
     return labels.fuzzy(_typos(spark, d), labels.delete_index(_words(spark, d), 2, 10), 2, 10).withColumn("score", F.round("score", 9))
 
 
+def _label_docs(spark: SparkSession, d: str) -> DataFrame:
+    return V.terms(spark, d, "label").select(F.concat_ws("/", "id", "lang").alias("doc"), F.col("label").alias("text"))
+
+
+def _term_asks(spark: SparkSession, d: str) -> DataFrame:
+    """(query, text): the texts of all terms with a number divisible by 100."""
+    return table(spark, d, "wd_term").where("term_id % 100 = 0 and text is not null").select(F.col("term_id").alias("query"), "text")
+
+
+@query()
+def bm25_match_all(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of every hundredth term among the labels of all languages."""
+    return labels.bm25(_label_docs(spark, d), _term_asks(spark, d))
+
+
 @query()
 def label_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over item labels, with the rewrites of texts that hold parentheses or brackets."""
-    docs = V.terms(spark, d, "label").select(F.concat_ws("/", "id", "lang").alias("doc"), F.col("label").alias("text"))
-    q = spark.createDataFrame([("a", "Mount (Valley)"), ("b", "Old Mill [x]"), ("c", "Burg")], "query string, text string")
-    v = labels.query_variants(q).withColumn("variant", F.concat_ws("|", "query", "text"))
-    h = labels.bm25(docs, v.select(F.col("variant").alias("query"), "text")).withColumnRenamed("query", "variant")
-    return h.join(F.broadcast(v.select("variant", "query", "weight")), "variant").groupBy("query", "doc").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
+    """BM25 of every hundredth term over item labels, with the rewrites of texts that hold parentheses or brackets."""
+    v = labels.query_variants(_term_asks(spark, d)).withColumn("variant", F.concat_ws("|", "query", "text"))
+    h = labels.bm25(_label_docs(spark, d), v.select(F.col("variant").alias("query"), "text")).withColumnRenamed("query", "variant")
+    return h.join(v.select("variant", "query", "weight"), "variant").groupBy("query", "doc").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
 
 
 @query()
 def bm25_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Full-text match where each term may be spelled with up to one error."""
-    docs = V.terms(spark, d, "label").where("lang = 'en'").select(F.col("id").alias("doc"), F.col("label").alias("text"))
+    """Full-text match of every hundredth term where each word may be spelled with up to one error."""
+    docs = _label_docs(spark, d)
     words = docs.select(F.explode(labels.terms(F.col("text"))).alias("label")).distinct()
-    q = spark.createDataFrame([("a", "Vallley"), ("b", "Brige")], "query string, text string").withColumn("text", F.lower("text"))
+    q = _term_asks(spark, d).select("query", F.explode(labels.terms(F.col("text"))).alias("text")).distinct()
     near = labels.fuzzy(q.select("text"), labels.delete_index(words, 1, 12), 1, 12)
-    return labels.bm25(docs, q.join(near.drop("score"), "text").select("query", F.col("label").alias("text")))
+    return labels.bm25(docs, q.join(near.drop("score"), "text").groupBy("query").agg(F.array_join(F.collect_set("label"), " ").alias("text")))
 
 
 @query()
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked entities of misspelled labels: fuzzy label hits, label ranking by PageRank, likeness."""
-    en = _labels(spark, d).where("scope = 'en'")
-    vocab = labels.vocabulary(en)
-    asked = spark.createDataFrame([("old galadri mill",), ("lake pubibro",), ("mount tezu",)], "text string")
-    some = vocab.groupBy().agg(F.min("label").alias("a"), F.max("label").alias("b")).select(F.explode(F.array("a", "b")).alias("text")).select(F.expr("concat(left(text, 2), substr(text, 4))").alias("text"))
-    hits = labels.fuzzy(asked.union(some), labels.delete_index(vocab.select("label"), 2, 10), 2, 10)
+    """Ranked entities of misspelled labels in all languages: fuzzy label hits, label ranking by PageRank, likeness."""
+    vocab = labels.vocabulary(_labels(spark, d))
+    hits = labels.fuzzy(_term_typos(spark, d), labels.delete_index(vocab.select("label"), 2, 10), 2, 10)
     pr = graph.pagerank(_weights(spark, d), iterations=5)
     low, high = pr.agg(F.min("score"), F.max("score")).first()
     rank = labels.label_ranking(vocab, pr.select("id", ((F.col("score") - low) / ((high - low) or 1.0)).alias("score")), graph.types_in_use(V.claims(spark, d)))
-    main = V.terms(spark, d, "label").where("lang = 'en'").select("id", F.lower("label").alias("label"))
+    main = V.terms(spark, d, "label").select("id", F.lower("label").alias("label"))
     return labels.entity_search(hits, rank, main)

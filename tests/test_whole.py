@@ -109,3 +109,20 @@ def test_delete_index_of_the_vocabulary(spark, tmp_path):
     near = {(t, v): e for t in typos for v in vocab if (e := slow_levenshtein(t, v)) <= 4}
     assert max(near.values()) > 2
     assert {(x["text"], x["label"]): round(x["score"], 9) for x in Q["fuzzy_search_all"](spark, d).collect()} == {(t, v): round(1 - e / max(len(t), len(v)), 9) for (t, v), e in near.items()}
+
+
+def test_searches_ask_every_hundredth_term(spark, tmp_path):
+    d = str(tmp_path)
+    some = [("Q1", "en", "label", "Old Mill"), ("Q2", "ru", "label", "Старая мельница"), ("Q3", "el", "label", "Λίμνη Μύλος"), ("Q4", "en", "label", "Mill (Valley)")]
+    terms = [some[i % 4] for i in range(400)]
+    terms[99], terms[199], terms[299] = ("Q1", "en", "alias", "Mill"), ("Q2", "ru", "alias", "мельница"), ("Q4", "en", "alias", "Mils (Valley)")
+    put_terms(spark, d, terms)
+    put(spark, d, "claims_ent", [("Q1", "P31", "Q4"), ("Q2", "P31", "Q1")], "head string, prop string, tail string")
+    put(spark, d, "wp_redirect", [("a", "b", 1)], "src string, dst string, row_id bigint")
+    put(spark, d, "wp_wikidata", [("A", "Q1", 1)], "title string, wikidata_id string, row_id bigint")
+    hits = lambda name: {(r["query"], r["doc"]) for r in Q[name](spark, d).collect()}
+    exact = {(100, "Q1/en"), (100, "Q4/en"), (200, "Q2/ru"), (300, "Q4/en"), (400, "Q1/en"), (400, "Q4/en")}
+    assert hits("bm25_match_all") == hits("label_search") == exact
+    assert hits("bm25_fuzzy") == exact | {(300, "Q1/en")}  # mils is one error from mill
+    found = {(r["text"], r["id"]) for r in Q["entity_search"](spark, d).collect()}
+    assert {("mll (valley)", "Q4"), ("mls (valley)", "Q4")} <= found and {i for _, i in found} <= {"Q1", "Q2", "Q3", "Q4"}
