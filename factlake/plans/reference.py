@@ -344,7 +344,16 @@ def pagerank_10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_pagerank_sql(2, "select count(*) as n, round(max(score), 6) as top, round(min(score), 6) as low, round(stddev_pop(score), 6) as dev, round(avg(score), 6) as mean from x2"))
 def pr_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = graph.pagerank(_weights(spark, d), iterations=2)
+    return _score_stats(graph.pagerank(_weights(spark, d), iterations=2))
+
+
+@query()
+def pr_stats_converged(spark: SparkSession, d: str) -> DataFrame:
+    """As pr_stats, which SQL can check, but iterated until the change is within the tolerance."""
+    return _score_stats(graph.pagerank(_weights(spark, d)))
+
+
+def _score_stats(p: DataFrame) -> DataFrame:
     n = p.count()
     s = F.col("score") * n
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(s), 6).alias("top"), F.round(F.min(s), 6).alias("low"), F.round(F.stddev_pop(s), 6).alias("dev"), F.round(F.avg(s), 6).alias("mean"))
@@ -847,7 +856,7 @@ def entity_search(spark: SparkSession, d: str) -> DataFrame:
     """Ranked entities of misspelled labels in all languages: fuzzy label hits, label ranking by PageRank, likeness."""
     vocab = labels.vocabulary(_labels(spark, d))
     hits = labels.fuzzy(_term_typos(spark, d), labels.delete_index(vocab.select("label"), 2, 10), 2, 10)
-    pr = graph.pagerank(_weights(spark, d), iterations=5)
+    pr = graph.pagerank(_weights(spark, d))
     low, high = pr.agg(F.min("score"), F.max("score")).first()
     rank = labels.label_ranking(vocab, pr.select("id", ((F.col("score") - low) / ((high - low) or 1.0)).alias("score")), graph.types_in_use(V.claims(spark, d)))
     main = V.terms(spark, d, "label").select("id", F.lower("label").alias("label"))

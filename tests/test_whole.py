@@ -126,3 +126,20 @@ def test_searches_ask_every_hundredth_term(spark, tmp_path):
     assert hits("bm25_fuzzy") == exact | {(300, "Q1/en")}  # mils is one error from mill
     found = {(r["text"], r["id"]) for r in Q["entity_search"](spark, d).collect()}
     assert {("mll (valley)", "Q4"), ("mls (valley)", "Q4")} <= found and {i for _, i in found} <= {"Q1", "Q2", "Q3", "Q4"}
+
+
+def test_pagerank_stats_are_converged(spark, tmp_path):
+    d = str(tmp_path)
+    edges = [("Q1", "Q2"), ("Q3", "Q2"), ("Q2", "Q4"), ("Q5", "Q4"), ("Q4", "Q6")]
+    put(spark, d, "claims_ent", [(a, "P31", b) for a, b in edges], "head string, prop string, tail string")
+    put(spark, d, "wp_redirect", [("a", "b", 1)], "src string, dst string, row_id bigint")
+    put(spark, d, "wp_wikidata", [("A", "Q1", 1)], "title string, wikidata_id string, row_id bigint")
+    nodes = sorted({x for e in edges for x in e})
+    out = {x: [a for a, b in edges if b == x] for x in nodes}  # rank flows from tail to head
+    x = dict.fromkeys(nodes, 1.0)
+    for _ in range(300):
+        rest = sum(x[v] * (0.15 if out[v] else 1) for v in nodes) / len(nodes)
+        x = {v: rest + 0.85 * sum(x[u] / len(out[u]) for u in nodes if v in out[u]) for v in nodes}
+    r = Q["pr_stats_converged"](spark, d).first()
+    assert r["n"] == 6 and abs(r["top"] - max(x.values())) < 1e-5 and abs(r["low"] - min(x.values())) < 1e-5
+    assert abs(Q["pr_stats"](spark, d).first()["top"] - r["top"]) > 1e-3
