@@ -143,3 +143,8 @@ def test_pagerank_stats_are_converged(spark, tmp_path):
     r = Q["pr_stats_converged"](spark, d).first()
     assert r["n"] == 6 and abs(r["top"] - max(x.values())) < 1e-5 and abs(r["low"] - min(x.values())) < 1e-5
     assert abs(Q["pr_stats"](spark, d).first()["top"] - r["top"]) > 1e-3
+
+
+def test_numbers_that_are_both_0_are_alike(spark, tmp_path):
+    put(spark, str(tmp_path), "lineitem", [(1, 1, 0.0, 0.0), (1, 2, 0.04, 0.08)], "l_orderkey bigint, l_linenumber int, l_discount double, l_tax double")
+    assert rows(Q["sim_numeric_all"](spark, str(tmp_path))) == [(1, 1, 1.0), (1, 2, 0.5)]
