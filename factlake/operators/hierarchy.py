@@ -7,24 +7,18 @@ recorded rounds gives root, depth, size and path. A cycle shrinks to a node that
 removes: what is left when no round changes anything are the roots and the cores of the cycles.
 
 Each round is one table in the shared folder; rounds shrink geometrically, so all tables together are a small multiple
-of the input. Once at most CORE nodes still have a parent, one task contracts what is left of the trees in memory.
+of the input. Rounds go on until no node is left with a parent, at every size of input; nothing is gathered in one task.
+Joins are told to be sort-merge joins: what a round leaves may be small, but nothing proves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.skew import hot_hashes, salted_join
 from factlake.session import cut, cut_observed, drop_cut
 
-#: Nodes with a parent that one task finishes in memory. A bound, not a share: larger inputs take more rounds first.
-CORE = 20_000
-RESOLVED = "g string, node string, root string, depth int, n_below bigint, path array<string>"
-
 
 def _clean(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
     return edges.select(F.col(group).alias("g"), F.col(child).alias("node"), F.col(parent).alias("parent")).dropna()
@@ -35,6 +29,13 @@ def parent_links(links: DataFrame) -> DataFrame:
     return links.groupBy("g", "node").agg(F.min(F.struct(F.length("parent").alias("n"), F.col("parent").alias("p"))).alias("m")).select("g", "node", F.col("m.p").alias("parent"))
 
 
+def spare_links(edges: DataFrame, group: str, child: str, parent: str) -> DataFrame:
+    """(g, node, parent, kept): the links that hierarchy() leaves out because the node has a smaller parent, which is `kept`."""
+    every = _clean(edges, group, child, parent).distinct()
+    kept = parent_links(every).withColumnRenamed("parent", "kept")
+    return every.join(kept.hint("merge"), ["g", "node"]).where("parent <> kept").select("g", "node", "parent", "kept")
+
+
 def _start(every: DataFrame, paths: bool) -> DataFrame:
     links = parent_links(every)
     # parents that no child kept are nodes too
@@ -57,88 +58,52 @@ def _round(a: DataFrame, seed: int, paths: bool) -> DataFrame:
         F.count(F.when(~leaf, 1)).alias("left"),
         F.max(F.when(~leaf, F.col("node"))).alias("child"),
     )
-    b = a.where(~leaf).join(gains, ["g", "node"], "left").select("g", "node", "parent", "dist", "skip", (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc"), F.coalesce("left", F.lit(0).cast("bigint")).alias("nk"), "via", "child")
+    b = a.where(~leaf).join(gains.hint("merge"), ["g", "node"], "left").select("g", "node", "parent", "dist", "skip", (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc"), F.coalesce("left", F.lit(0).cast("bigint")).alias("nk"), "via", "child")
     rank = lambda c: F.xxhash64("g", c, F.lit(seed))
     b = b.withColumn("gone", F.coalesce((F.col("nk") == 1) & (F.col("parent") != F.col("node")) & (rank("node") > rank("parent")) & (rank("node") > rank("child")), F.lit(False)))
     v = b.where("gone").select("g", F.col("child").alias("node"), F.col("parent").alias("vp"), F.col("dist").alias("vd"), (F.col("acc") + 1 + F.col("skip")).alias("vs"), F.col("node").alias("vn"), F.col("acc").alias("va"), F.col("via").alias("vv"))
     via = F.when(F.col("vn").isNotNull(), F.concat("vv", F.array("vn"), "via")).otherwise(F.col("via")) if paths else F.col("via")
-    return b.where("not gone").join(v, ["g", "node"], "left").select(
+    return b.where("not gone").join(v.hint("merge"), ["g", "node"], "left").select(
         "g", "node", F.coalesce("vp", "parent").alias("parent"), (F.col("dist") + F.coalesce("vd", F.lit(0))).alias("dist"), (F.col("skip") + F.coalesce("vs", F.lit(0))).alias("skip"), "acc", "nk", via.alias("via"),
         F.col("vn").alias("cut_node"), F.col("va").alias("cut_acc"), F.when(F.col("vn").isNotNull(), F.col("skip")).alias("cut_skip"), F.when(F.col("vn").isNotNull(), F.col("dist")).alias("cut_dist"),
     )
 
 
-def _finish_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last rounds at once: rake leaves from the bottom up, then resolve from the top down."""
-    nodes: dict[tuple, dict] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            nodes[r["g"], r["node"]] = r
-    kids: dict[tuple, int] = {k: 0 for k in nodes}
-    up = {k: (r["g"], r["parent"]) for k, r in nodes.items() if r["parent"] is not None}
-    for p in up.values():
-        kids[p] += 1
-    leaves, order = [k for k, n in kids.items() if not n], []
-    while leaves:
-        k = leaves.pop()
-        order.append(k)
-        if p := up.get(k):
-            nodes[p]["acc"] += nodes[k]["acc"] + 1 + nodes[k]["skip"]
-            kids[p] -= 1
-            if not kids[p]:
-                leaves.append(p)
-    out: dict[tuple, tuple] = {k: ("", -1, -1, None) for k in set(nodes) - set(order)}  # the cores of cycles
-    for k in reversed(order):
-        r = nodes[k]
-        if k not in up:
-            out[k] = (k[1], 0, r["acc"], [k[1]])
-            continue
-        root, depth, _, path = out[up[k]]
-        out[k] = (root, depth + r["dist"], r["acc"], path + r["via"] + [k[1]] if r["via"] is not None else None) if depth >= 0 else ("", -1, -1, None)
-    rows = [(*k, *v) for k, v in out.items()]
-    for i in range(0, len(rows), 10_000):
-        cols = zip(*rows[i : i + 10_000])
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["g", "node", "root", "depth", "n_below", "path"])
-
-
-def hierarchy(edges: DataFrame, group: str, child: str, parent: str, paths: bool = False, core: int = CORE, max_rounds: int = 500) -> DataFrame:
+def hierarchy(edges: DataFrame, group: str, child: str, parent: str, paths: bool = False, max_rounds: int = 500) -> DataFrame:
     """(g, node, root, depth, n_below[, path]) of every node of every link.
 
     root: the topmost node; depth: links up to it; n_below: number of different nodes below; path: nodes from the root
     down to the node. Where the way up never ends (cycles and all below them) root is the empty string, depth and
     n_below are -1 and path is null. Rows with a null are left out, repeated ones count once, of several parents the
-    smallest counts, a row that links a node to itself is a cycle. No rows give no rows. Other columns are ignored.
+    smallest counts (spare_links() lists the others), a row that links a node to itself is a cycle. No rows give no rows. Other columns are ignored.
     path is as long as the node is deep; leave it off where trees may be deep and only the figures are wanted.
     """
     climbing = F.count(F.when(F.expr("parent is not null and parent <> node"), 1))
     a, seen = cut_observed(_start(_clean(edges, group, child, parent), paths), n=climbing)
     hot = hot_hashes(a.where("parent is not null").select("g", F.col("parent").alias("node")), ["g", "node"])
     rounds = [a]
-    while len(rounds) <= max_rounds:
-        if (seen["n"] or 0) <= core:
-            break
+    while seen["n"]:
+        if len(rounds) > max_rounds:
+            raise RuntimeError(f"not contracted after {max_rounds} rounds")
         a, seen = cut_observed(_round(a, len(rounds), paths), n=climbing)
         rounds.append(a)
-    else:
-        raise RuntimeError(f"not contracted after {max_rounds} rounds")
-    # Trees that are one node by now, and cycles that are one node without children, are done; so the core is bounded.
-    done = F.expr("nk = 0 and parent is null or nk = 1 and parent = node")
+    # What is left are roots, each a tree of one node by now, and cycles of one node.
     top = F.expr("parent is null")
-    single = a.where(done).select("g", "node", F.when(top, F.col("node")).otherwise("").alias("root"), F.when(top, 0).otherwise(-1).alias("depth"), F.when(top, F.col("acc")).otherwise(F.lit(-1).cast("bigint")).alias("n_below"), F.when(top, F.array("node")).alias("path"))
-    rest = a.where(~F.coalesce(done, F.lit(False))).select("g", "node", "parent", "dist", "skip", "acc", "via")
-    s = cut(single.unionByName(rest.repartition(1).mapInArrow(_finish_core, RESOLVED)).select("g", "node", "root", "depth", "n_below", *(["path"] if paths else [])))
+    s = cut(a.where(f"not ({_LEAF})").select(
+        "g", "node", F.when(top, F.col("node")).otherwise("").alias("root"), F.when(top, 0).otherwise(-1).alias("depth"), F.when(top, F.col("acc")).otherwise(F.lit(-1).cast("bigint")).alias("n_below"),
+        *([F.when(top, F.array("node")).alias("path")] if paths else []),
+    ))
     ends = F.col("root") != ""
     s0 = s
     for r in range(len(rounds) - 1, 0, -1):
-        spliced = rounds[r].where("cut_node is not null").join(s, ["g", "node"]).select(
+        spliced = rounds[r].where("cut_node is not null").join(s.hint("merge"), ["g", "node"]).select(
             "g", F.col("cut_node").alias("node"), "root", F.when(ends, F.col("depth") - F.col("cut_dist")).otherwise(-1).alias("depth"), F.when(ends, F.col("cut_acc") + F.col("cut_skip") + 1 + F.col("n_below")).otherwise(F.lit(-1).cast("bigint")).alias("n_below"),
             *([F.slice("path", F.lit(1), F.col("depth") - F.col("cut_dist") + 1).alias("path")] if paths else []),
         )
         s = s.unionByName(spliced)
         up = s.select("g", F.col("node").alias("parent"), "root", "depth", *(["path"] if paths else []))
         leaves = rounds[r - 1].where(_LEAF).select("g", F.col("node").alias("leaf"), F.col("parent"), "dist", "acc", "via")
-        raked = salted_join(leaves, up, ["g", "parent"], "inner", hot).select(
+        raked = salted_join(leaves, up.hint("merge"), ["g", "parent"], "inner", hot).select(
             "g", F.col("leaf").alias("node"), "root", F.when(ends, F.col("depth") + F.col("dist")).otherwise(-1).alias("depth"), F.when(ends, F.col("acc")).otherwise(F.lit(-1).cast("bigint")).alias("n_below"),
             *([F.concat("path", "via", F.array("leaf")).alias("path")] if paths else []),
         )

@@ -1,14 +1,16 @@
 """Deeply nested records to flat tables by Merkle subtree identities.
 
-Every JSON node gets a hash made bottom-up from its canonical form (object members by name, arrays in order), so equal
-subtrees have equal hashes whatever the order of members or the spacing. Objects are stored once per hash; a bridge row
-per occurrence ties a child to its line, its parent object and its places (ordinals) in the arrays as delivered.
+A record is taken apart as a tree of Parts says: which members hold child objects, under keys, in arrays or alone, and
+how deep. Every object gets a hash made bottom-up from its own members in canonical form and from the hashes, keys and
+ordinals of its children, so equal subtrees have equal hashes whatever the order of members or the spacing. Objects are
+stored once per hash; a bridge row per occurrence ties a child to its line, its parent object and its keys and ordinals
+in the arrays as delivered.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -16,92 +18,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.session import cut
-from factlake.sources.entity_json import read_entity
+from factlake.sources.entity_json import canonical, read_entity
 
 #: Hashes a task remembers of the objects it has written; beyond this number it forgets them all.
 SEEN = 200_000
+
+
+@dataclass(frozen=True)
+class Part:
+    """Child objects of a record: the member that holds them, their kind, and how they are held.
+
+    keyed: the member is an object whose members are the entries; many: entries are arrays of objects (one bare object is
+    an array of one); value: path of the member that must be there for the object to have a value, () if it always has.
+    """
+
+    name: str
+    child: str
+    keyed: bool = False
+    many: bool = False
+    value: tuple[str, ...] = ()
+    parts: tuple[Part, ...] = ()
+    names: frozenset = field(default=frozenset(), init=False)
+
+    def __post_init__(self):
+        object.__setattr__(self, "names", frozenset(p.name for p in self.parts))
+
+    def valued(self, obj: dict) -> bool:
+        for x in self.value:
+            obj = obj.get(x) if isinstance(obj, dict) else None
+        return obj is not None
+
+
+_DATA = (Part("datavalue", "datavalue"),)
+#: How entities of the dump are nested.
+ENTITY = Part(
+    "", "entity",
+    parts=(
+        Part("labels", "label", keyed=True, value=("value",)),
+        Part("descriptions", "description", keyed=True, value=("value",)),
+        Part("aliases", "alias", keyed=True, many=True, value=("value",)),
+        Part("sitelinks", "sitelink", keyed=True, value=("title",)),
+        Part("claims", "claim", keyed=True, many=True, value=("mainsnak", "datavalue"), parts=(
+            Part("mainsnak", "mainsnak", value=("datavalue",), parts=_DATA),
+            Part("qualifiers", "qualifier", keyed=True, many=True, value=("datavalue",), parts=_DATA),
+            Part("references", "reference", many=True, parts=(Part("snaks", "refsnak", keyed=True, many=True, value=("datavalue",), parts=_DATA),)),
+        )),
+    ),
+)
+
 _COLUMNS = [
-    ("rec", pa.string()), ("line_no", pa.int64()), ("child", pa.string()), ("k", pa.string()), ("pos", pa.int32()), ("sub", pa.int32()), ("k2", pa.string()), ("pos2", pa.int32()),
-    ("hash", pa.binary()), ("parent", pa.binary()), ("has_value", pa.bool_()), ("body", pa.string()),
+    ("rec", pa.string()), ("line_no", pa.int64()), ("child", pa.string()), ("keys", pa.list_(pa.string())), ("ords", pa.list_(pa.int32())),
+    ("hash", pa.binary()), ("parent", pa.binary()), ("live", pa.bool_()), ("has_value", pa.bool_()), ("body", pa.string()),
 ]
 _ARROW = pa.schema(_COLUMNS)
-SCHEMA = "rec string, line_no bigint, child string, k string, pos int, sub int, k2 string, pos2 int, hash binary, parent binary, has_value boolean, body string"
-_canonical = json.JSONEncoder(ensure_ascii=True, sort_keys=True, separators=(",", ":")).encode
+SCHEMA = "rec string, line_no bigint, child string, keys array<string>, ords array<int>, hash binary, parent binary, live boolean, has_value boolean, body string"
 
 
 def node_hash(kind: str, body: str, children: list[tuple] = ()) -> bytes:
-    """128 bits of a node: its kind, its own members in canonical form and, for every child, group, places and hash."""
+    """128 bits of a node: its kind, its own members in canonical form and, for every child, member, key, ordinal and hash."""
     h = blake2b(f"{kind} {body}".encode(), digest_size=16)
     for place in sorted(children):  # members of an object may come in any order
         h.update(repr(place).encode())
     return h.digest()
 
 
-def _entries(x) -> list:
-    """A group given as one bare object is a list of one; null, absent and anything else is empty."""
-    return x if isinstance(x, list) else [x] if isinstance(x, dict) else []
-
-
-def _groups(x):
-    return x.items() if isinstance(x, dict) else ()
-
-
-def walk(entity: dict) -> Iterator[tuple]:
-    """(child, k, object, has_value) of the labels, sitelinks, aliases and claims of an entity."""
-    for child, name, key in (("label", "labels", "value"), ("sitelink", "sitelinks", "title"), ("alias", "aliases", "value"), ("claim", "claims", None)):
-        for k, es in _groups(entity.get(name)):
-            for e in _entries(es) if child in ("alias", "claim") else [es]:
-                if isinstance(e, dict):
-                    yield child, k, e, e.get(key) is not None if key else _valued(e.get("mainsnak"))
-
-
-def _valued(snak) -> bool:
-    return isinstance(snak, dict) and snak.get("datavalue") is not None
-
-
-def identify(entity: dict) -> list[tuple]:
-    """(child, k, pos, sub, k2, pos2, hash, parent's hash, has_value, body) of an entity and all its children.
-
-    Hashes are made bottom-up: a leaf's from its canonical JSON, a parent's from its own members and its children's
-    hashes, groups by name and entries in order. Absent, null and empty groups are the same.
+def _entries(part: Part, held, odd: list) -> Iterator[tuple[str, int, dict]]:
+    """(key, ordinal, object); what is neither an object nor null goes to odd, so that it stays with the parent."""
+    if part.keyed:
+        if not isinstance(held, dict):
+            if held:
+                odd.append(held)
+            return
+        groups = held.items()
+    else:
+        groups = (("", held),)
+    for key, e in groups:
+        if isinstance(e, dict):
+            yield key, 0, e
+        elif part.many and isinstance(e, list):
+            for i, x in enumerate(e):
+                if isinstance(x, dict):
+                    yield key, i, x
+                elif x is not None:
+                    odd.append((key, i, x))
+        elif e is not None and e != []:
+            odd.append((key, e))
+
+
+def walk(obj: dict, part: Part = ENTITY) -> Iterator[tuple[str, str, dict, bool]]:
+    """(child, key, object, has_value) of the objects directly below a record."""
+    for p in part.parts:
+        if (held := obj.get(p.name)) is not None:
+            for key, _, e in _entries(p, held, []):
+                yield p.child, key, e, p.valued(e)
+
+
+def identify(obj: dict, part: Part = ENTITY) -> tuple[bytes, str, list[tuple]]:
+    """(hash, body, rows) of a record; rows (child, keys, ordinals, hash, parent's hash, live, has_value, body) of all below it.
+
+    Hashes are made bottom-up. Absent, null and empty groups are the same. live: every object above has its value. Each
+    occurrence has a row, whether it or those above it have a value or not.
     """
     rows: list[tuple] = []
-    below: list[tuple] = []
-
-    def leaf(child, places, obj, key) -> tuple:
-        body = _canonical(obj)
-        return (child, *places, node_hash(child, body), body, key(obj) if callable(key) else obj.get(key) is not None)
-
-    for name, child, key in (("labels", "label", "value"), ("sitelinks", "sitelink", "title")):
-        below += [leaf(child, (k, 0, -1, "", -1), e, key) for k, e in _groups(entity.get(name)) if isinstance(e, dict)]
-    for k, es in _groups(entity.get("aliases")):
-        below += [leaf("alias", (k, i, -1, "", -1), e, "value") for i, e in enumerate(_entries(es)) if isinstance(e, dict)]
-    for k, es in _groups(entity.get("claims")):
-        for i, s in enumerate(_entries(es)):
-            if not isinstance(s, dict):
+
+    def node(obj: dict, part: Part, keys: tuple, ords: tuple, live: bool) -> tuple[bytes, str]:
+        below: list[tuple] = []
+        places: list[tuple] = []
+        odd: list = []
+        for p in part.parts:
+            held = obj.get(p.name)
+            if held is None:
                 continue
-            valued, inner = _valued(s.get("mainsnak")), []
-            for k2, qs in _groups(s.get("qualifiers")):
-                inner += [leaf("qualifier", (k, i, -1, k2, j), q, _valued) for j, q in enumerate(_entries(qs)) if isinstance(q, dict)]
-            for r, ref in enumerate(_entries(s.get("references"))):
-                if not isinstance(ref, dict):
-                    continue
-                snaks = [leaf("refsnak", (k, i, r, k2, j), q, _valued) for k2, ns in _groups(ref.get("snaks")) for j, q in enumerate(_entries(ns)) if isinstance(q, dict)]
-                body = _canonical({x: v for x, v in ref.items() if x != "snaks"})
-                h = node_hash("reference", body, [(x[4], x[5], x[6]) for x in snaks])
-                inner.append(("reference", k, i, r, "", -1, h, body, True))
-                if valued:
-                    rows += [(*x[:7], h, x[8], x[7]) for x in snaks]
-            body = _canonical({x: v for x, v in s.items() if x not in ("qualifiers", "references")})
-            h = node_hash("claim", body, [(x[0], x[3], x[4], x[5], x[6]) for x in inner])
-            below.append(("claim", k, i, -1, "", -1, h, body, valued))
-            if valued:
-                rows += [(*x[:7], h, x[8], x[7]) for x in inner]
-    body = _canonical({x: v for x, v in entity.items() if x not in ("labels", "sitelinks", "aliases", "claims")})
-    root = node_hash("entity", body, [(x[0], x[1], x[2], x[6]) for x in below])
-    rows += [(*x[:7], root, x[8], x[7]) for x in below]
-    rows.append(("entity", entity["id"], 0, -1, "", -1, root, None, True, body))
-    return rows
+            for key, i, e in _entries(p, held, odd):
+                has = p.valued(e)
+                ks, os = (*keys, key), (*ords, i)
+                h, body = node(e, p, ks, os, live and has)
+                places.append((p.child, key, i, h))
+                below.append((p.child, ks, os, h, has, body))
+        own = {x: v for x, v in obj.items() if x not in part.names} if part.parts else obj
+        if odd:
+            own = {**own, "\0odd": odd}
+        body = canonical(own)
+        h = node_hash(part.child, body, places)
+        for child, ks, os, ch, has, b in below:
+            rows.append((child, ks, os, ch, h, live, has, b))
+        return h, body
+
+    return (*node(obj, part, (), (), True), rows)
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +155,13 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entity, reason = read_entity(raw)
             if entity is None or reason or entity["id"][0] not in "QqPp":
                 continue
-            for child, k, pos, sub, k2, pos2, h, parent, valued, body in identify(entity):
-                rows.append(("b", no, child, k, pos, sub, k2, pos2, h, parent, None, None))
+            root, body, below = identify(entity)
+            below.append(("entity", (entity["id"],), (0,), root, None, True, True, body))
+            for child, keys, ords, h, parent, live, has, b in below:
+                rows.append(("b", no, child, keys, ords, h, parent, live, None, None))
                 if h not in seen:
                     seen.add(h)
-                    rows.append(("o", None, child, None, None, None, None, None, h, None, valued, body))
+                    rows.append(("o", None, child, None, None, h, None, None, has, b))
             if len(seen) > SEEN:
                 seen.clear()
             if len(rows) > 20_000:
@@ -127,16 +172,21 @@ def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[]] * len(_COLUMNS)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, _COLUMNS)], schema=_ARROW)
+    try:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, _COLUMNS)], schema=_ARROW)
+    except UnicodeEncodeError:  # keys with half a surrogate pair, which no UTF-8 text can hold
+        keys = _COLUMNS.index(("keys", pa.list_(pa.string())))
+        return _batch([(*r[:keys], r[keys] and tuple(k.encode("utf-8", "replace").decode() for k in r[keys]), *r[keys + 1 :]) for r in rows])
 
 
 def shred(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") -> tuple[DataFrame, DataFrame]:
     """(bridge, objects) of the lines that load and whose id starts with Q or P.
 
-    bridge: (line_no, child, k, pos, sub, k2, pos2, hash, parent), one row per occurrence, repeated lines count each;
-    objects: (child, hash, has_value, body), once per distinct object. Lines are read and hashed once; what comes out is
-    written to the shared folder. Null, blank and broken lines give nothing, as do absent, null and empty groups.
-    Equal lines and equal subtrees of different lines share their objects. Other columns are ignored.
+    bridge: (line_no, child, keys, ords, hash, parent, live), one row per occurrence of an object, repeated lines count
+    each; keys and ords have an entry a level. objects: (child, hash, has_value, body), once per distinct object; body
+    holds the members that are no objects of their own. Lines are read and hashed once; what comes out is written to the
+    shared folder. Null, blank and broken lines give nothing, as do absent, null and empty groups. Equal lines and equal
+    subtrees of different lines share their objects. Other columns are ignored.
     """
     rows = cut(lines.select(line_no, raw).mapInArrow(_shred, SCHEMA))
     bridge = rows.where("rec = 'b'").drop("rec", "has_value", "body")
@@ -145,5 +195,5 @@ def shred(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") ->
 
 
 def children(bridge: DataFrame, objects: DataFrame) -> DataFrame:
-    """The bridge rows whose object has a value (title, datavalue), with the object's canonical text."""
-    return bridge.where("child <> 'entity'").join(objects.where("has_value"), ["child", "hash"])
+    """The bridge rows below the records whose object has a value, as all above it have, with the object's canonical text."""
+    return bridge.where("child <> 'entity' and live").join(objects.where("has_value"), ["child", "hash"])

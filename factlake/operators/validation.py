@@ -1,7 +1,7 @@
 """Rows that fail to parse.
 
-Parsed input is exploded into (row, column, value) cells, joined with a small rule table, validated by built-in
-expressions, and the errors of a row are aggregated; the valid rows are the anti-join with the rejected ones.
+Parsed input of any kind is tuples of cells. They are exploded into (row, column, value), joined with a small rule table,
+validated by built-in expressions, and the errors of a row are aggregated; the valid rows are the anti-join with these.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.sources.entity_json import read_entity
-from factlake.sources.sql_dump import sql_tuples
+from factlake.session import cut
+from factlake.sources.entity_json import canonical, read_entity
+from factlake.sources.sql_dump import CELLS_SCHEMA
 
 #: Fixed values: (table, column number, column, rule, rule holds only if that column ..., ... has this value).
-SQL_RULES = [
+RULES = [
     ("page", 0, "page_id", "positive", None, None),
     ("page", 1, "page_namespace", "digits", None, None),
     ("page", 2, "page_title", "text", None, None),
@@ -32,11 +33,14 @@ SQL_RULES = [
     ("page_props", 1, "pp_propname", "text", None, None),
     ("page_props", 2, "pp_value", "item", 1, "wikibase_item"),
     ("page_props", 3, "pp_sortkey", "any", None, None),
+    ("entity_dump", 0, "id", "entity_id", None, None),
 ]
 RULE_SCHEMA = "tbl string, col_no int, name string, rule string, if_col int, if_value string"
+#: The reason that a broken rule is reported as, where it isn't `value`.
+REASONS = {"entity_id": "id"}
 
 
-def rule_table(spark: SparkSession, rules: list[tuple] = SQL_RULES) -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
     return spark.createDataFrame(rules, RULE_SCHEMA)
 
 
@@ -56,52 +60,66 @@ def holds(rule: Column, value: Column, quoted: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def rejected_tuples(tuples: DataFrame, rules: DataFrame) -> DataFrame:
-    """(line_no, tuple_no, reason, fields) of the tuples that are no rows: `quoting`, `columns` or `value`.
+def rejected(tuples: DataFrame, rules: DataFrame) -> DataFrame:
+    """(line_no, tuple_no, reason, fields) of the parsed tuples that are no rows: their fault, `columns`, or a broken rule.
 
-    `tuples` is what sql_tuples gives; fields lists the columns whose value breaks its rule. Tables without rules are
-    not judged. rules is a small table and is broadcast: it grows with the schema, not with the data.
+    tuples: (line_no, tbl, fault, tuple_no, cells), as sql_tuples and entity_tuples give them. Cells are exploded in one
+    pass over the parsed input and joined with the rules; only broken ones are shuffled and aggregated. fields lists the
+    columns whose value breaks its rule. Tables without rules are not judged. rules is a small table and is broadcast:
+    it grows with the schema, not with the data.
     """
     width = rules.groupBy("tbl").agg(F.count(F.lit(1)).alias("width"))
-    sized = tuples.join(F.broadcast(width), "tbl")
-    cells = sized.where("fault is null and size(cells) = width").select("line_no", "tuple_no", "tbl", "cells", F.posexplode("cells").alias("col_no", "cell"))
+    shape = F.coalesce("fault", F.when(F.size("cells") != F.col("width"), F.lit("columns")))
+    sized = tuples.join(F.broadcast(width), "tbl").withColumn("shape", shape)
+    no_cell = F.expr("array(cast(null as struct<value:string,quoted:boolean>))")
+    cells = sized.select("line_no", "tuple_no", "tbl", "shape", "cells", F.posexplode(F.when(F.col("shape").isNull(), F.col("cells")).otherwise(no_cell)).alias("col_no", "cell"))
     judged = cells.join(F.broadcast(rules), ["tbl", "col_no"])
     applies = F.col("if_col").isNull() | F.coalesce(F.get("cells", F.col("if_col"))["value"] == F.col("if_value"), F.lit(False))
-    broken = judged.where(applies & ~holds(F.col("rule"), F.col("cell.value"), F.col("cell.quoted")))
-    values = broken.groupBy("line_no", "tuple_no").agg(F.sort_array(F.collect_list("name")).alias("fields")).select("line_no", "tuple_no", F.lit("value").alias("reason"), "fields")
-    shape = sized.where("fault is not null or size(cells) <> width").select("line_no", "tuple_no", F.coalesce("fault", F.lit("columns")).alias("reason"), F.expr("cast(array() as array<string>)").alias("fields"))
-    return shape.unionByName(values)
+    broken = F.col("shape").isNull() & applies & ~holds(F.col("rule"), F.col("cell.value"), F.col("cell.quoted"))
+    reason = F.lit("value")
+    for rule, name in REASONS.items():
+        reason = F.when(F.col("rule") == rule, F.lit(name)).otherwise(reason)
+    errors = judged.where(F.col("shape").isNotNull() | broken).select("line_no", "tuple_no", F.coalesce("shape", reason).alias("reason"), F.when(broken, F.col("name")).alias("name"))
+    return errors.groupBy("line_no", "tuple_no").agg(F.min("reason").alias("reason"), F.sort_array(F.collect_list("name")).alias("fields"))
 
 
-def _judge_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entity_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        no, values, quoted, faults = [], [], [], []
+        no, faults, cells = [], [], []
         for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             entity, reason = read_entity(raw)
             if entity is None and reason is None:
                 continue
             eid = entity.get("id") if entity else None
             no.append(n)
-            values.append(eid if isinstance(eid, str) else None if eid is None else repr(eid))
-            quoted.append(isinstance(eid, str))
             faults.append("json" if reason == "json" else None)
-        yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(faults, pa.string()), pa.array(values, pa.string()), pa.array(quoted, pa.bool_())], names=["line_no", "fault", "value", "quoted"])
+            cells.append([{"value": eid if isinstance(eid, str) else None if eid is None else canonical(eid), "quoted": isinstance(eid, str)}])
+        n = len(no)
+        try:
+            data = pa.array(cells, _CELLS)
+        except UnicodeEncodeError:  # ids with half a surrogate pair, which are no ids
+            data = pa.array([[{**c[0], "value": (c[0]["value"] or "").encode("utf-8", "replace").decode()}] for c in cells], _CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(["entity_dump"] * n, pa.string()), pa.array(faults, pa.string()), pa.array([0] * n, pa.int32()), data], names=["line_no", "tbl", "fault", "tuple_no", "cells"])
 
 
-def rejected_entities(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") -> DataFrame:
-    """(line_no, reason) of the lines of an entity dump that hold a record which can't be loaded: `json` or `id`.
+_CELLS = pa.list_(pa.struct([("value", pa.string()), ("quoted", pa.bool_())]))
+
+
+def entity_tuples(lines: DataFrame, line_no: str = "line_no", raw: str = "raw_line") -> DataFrame:
+    """One row per line of an entity dump that holds a record: its id as the one cell, or the fault `json`.
 
     Null and blank lines and brackets hold no record.
     """
-    cells = lines.select(line_no, raw).mapInArrow(_judge_entities, "line_no bigint, fault string, value string, quoted boolean")
-    ok = holds(F.lit("entity_id"), F.col("value"), F.col("quoted"))
-    return cells.select("line_no", F.coalesce("fault", F.when(~ok, F.lit("id"))).alias("reason")).where("reason is not null")
+    return lines.select(line_no, raw).mapInArrow(_entity_cells, CELLS_SCHEMA)
 
 
-def load_tuples(lines: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) tuples of SQL dump lines; valid ones have every cell by name in a map. Both cover all tuples."""
-    tuples = sql_tuples(lines)
-    bad = rejected_tuples(tuples, rules)
+def load(tuples: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) tuples; valid ones have every cell by name in a map. Both cover all tuples of tables with rules.
+
+    Input is parsed once and written to the shared folder; the valid rows are the anti-join with the rejected ones.
+    """
+    parsed = cut(tuples)
+    bad = rejected(parsed, rules)
     names = rules.groupBy("tbl").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "name"))), lambda x: x["name"]).alias("names"))
-    good = tuples.where("fault is null").join(bad.select("line_no", "tuple_no"), ["line_no", "tuple_no"], "left_anti").join(F.broadcast(names), "tbl")
+    good = parsed.join(bad.select("line_no", "tuple_no"), ["line_no", "tuple_no"], "left_anti").join(F.broadcast(names), "tbl")
     return good.select("line_no", "tuple_no", "tbl", F.map_from_arrays("names", F.transform("cells", lambda c: c["value"])).alias("row")), bad

@@ -1,8 +1,9 @@
 """Attribute-value rows to wide tables as log-structured upserts.
 
-Each task turns its batches into sorted sparse deltas: the cells they fill, every cell with the version of its row (a
-memory table that is flushed when it holds FLUSH cells). Runs are then compacted: per cell, or per value of a cell
-where cells hold sets, the latest version stays. The wide table has one row per entity and a typed column per type.
+Each task turns its batches into sparse wide deltas: a row per entity with the cells that the batch fills and no others,
+every cell with the version of its row (a memory table that is flushed, sorted, when it holds FLUSH cells). Runs are then
+compacted: per cell, or per value of a cell where cells hold sets, the latest version stays. The wide table has one row
+per entity and a typed column per type.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date, datetime
-from decimal import Decimal
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -25,7 +25,7 @@ REAL = {"double", "decimal", "float"}
 TIMES = {"date", "dateTime", "gYear"}
 _LITERAL = re.compile(r'"(.*)"(?:@([A-Za-z0-9-]+)|\^\^<?([^<>"\s]+)>?)?', re.DOTALL)
 _INT = re.compile(r"[+-]?[0-9]+")
-_NUM = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]{1,6})?")
+_NUM = re.compile(r"([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?)0*([0-9]*))?")
 _DATE = re.compile(r"(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})(?:Z|[+-][0-9]{2}:[0-9]{2})?")
 _STAMP = re.compile(r"(-?[0-9]{4,}-[0-9]{2}-[0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})?")
 _YEAR = re.compile(r"-?[0-9]{4,}(?:Z|[+-][0-9]{2}:[0-9]{2})?")
@@ -79,16 +79,17 @@ def _in_calendar(kind: str, text: str) -> bool:
 
 
 def number_key(text: str) -> str:
-    """The same text for the same number: `+014` and `1.40E1` both give `14`."""
-    d = Decimal(text)
-    if not d:
+    """The same text for the same number: `+014` and `1.40E1` both give `14`. Any number of digits, exponents of 4,000."""
+    sign, whole, part, only, exp_sign, exp = (x or "" for x in _NUM.fullmatch(text).groups())
+    part = part or only
+    digits = (whole + part).lstrip("0")
+    if not digits:
         return "0"
-    sign, digits, exp = d.as_tuple()
-    s = "".join(map(str, digits)).lstrip("0")
-    cut = len(s) - len(s.rstrip("0"))
-    s, exp = s.rstrip("0"), exp + cut
-    text = s + "0" * exp if 0 <= exp <= 40 else f"{s}e{exp}"
-    return "-" + text if sign else text
+    if len(exp) > 4_000:
+        return f"{'-' * (sign == '-')}{digits}e{exp_sign}{exp}-{len(part)}"
+    s = digits.rstrip("0")
+    shift = int(exp_sign + (exp or "0")) - len(part) + len(digits) - len(s)
+    return "-" * (sign == "-") + (s + "0" * shift if 0 <= shift <= 40 else f"{s}e{shift}")
 
 
 def typed_value(tail: str | None) -> tuple[str, str] | None:
@@ -108,20 +109,25 @@ def typed_value(tail: str | None) -> tuple[str, str] | None:
     return "string", text
 
 
-_ARROW = pa.schema([("head", pa.string()), ("prop", pa.string()), ("dtype", pa.string()), ("value", pa.string()), ("at", pa.int64()), ("row_id", pa.int64())])
+_CELL = pa.struct([("prop", pa.string()), ("dtype", pa.string()), ("value", pa.string()), ("at", pa.int64()), ("row_id", pa.int64())])
+DELTA = "head string, cells array<struct<prop: string, dtype: string, value: string, at: bigint, row_id: bigint>>"
 
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory: dict[tuple, tuple] = {}
+    memory: dict[str, dict[tuple, tuple]] = {}
+    filled = 0
     names: dict[str, str] = {}
     props: dict[str, str] = {}
 
     def flush() -> pa.RecordBatch:
-        cells = sorted(memory)
-        versions = [memory[c] for c in cells]
-        cols = [*(zip(*cells) if cells else [[]] * 4), *(zip(*versions) if cells else [[]] * 2)]
+        heads, ends, cells = sorted(memory), [0], []
+        for h in heads:
+            cells += [(*c, *v) for c, v in sorted(memory[h].items())]
+            ends.append(len(cells))
         memory.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _ARROW.types)], schema=_ARROW)
+        cols = list(zip(*cells)) or [[]] * 5
+        flat = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _CELL)], fields=list(_CELL))
+        return pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["head", "cells"])
 
     for batch in batches:
         at = batch.column(4).cast(pa.int64()).to_pylist()
@@ -140,30 +146,44 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     props.clear()
                 p = local_name(prop)
                 p = props[prop] = p[:1].lower() + p[1:]
-            cell, version = (h, p, *value), (t if t is not None else -(1 << 62), row_id if row_id is not None else -1)
-            if memory.get(cell, version) <= version:
-                memory[cell] = version
-            if len(memory) >= FLUSH:
+            row = memory.get(h)
+            if row is None:
+                row = memory[h] = {}
+            cell, version = (p, *value), (t if t is not None else -(1 << 62), row_id if row_id is not None else -1)
+            was = row.get(cell)
+            if was is None:
+                filled += 1
+            if was is None or was <= version:
+                row[cell] = version
+            if filled >= FLUSH:
                 yield flush()
+                filled = 0
     yield flush()
 
 
 def sparse_deltas(triples: DataFrame) -> DataFrame:
-    """(head, prop, dtype, value, at, row_id): sorted runs of the cells that `triples` (row_id, head, prop, tail, loaded_at) fills.
+    """(head, cells): sorted runs of sparse wide rows that `triples` (row_id, head, prop, tail, loaded_at) fills.
 
-    Repeated rows of a batch are merged at once, with the latest version (loaded_at, row_id). Null heads or props and
-    null, empty or blank tails fill nothing. A null loaded_at is older than any other. Other columns are ignored.
+    cells: array of (prop, dtype, value, at, row_id), in order; a row holds the cells of one flush of one task, so a head has
+    several. Repeated rows of a flush are merged at once, with the latest version (loaded_at, row_id). Null heads or props
+    and null, empty or blank tails fill nothing. A null loaded_at is older than any other. Other columns are ignored.
     """
     t = triples.select("head", "prop", "tail", F.col("row_id").cast("bigint"), F.col("loaded_at").cast("timestamp_ntz"))
-    return t.mapInArrow(_deltas, "head string, prop string, dtype string, value string, at bigint, row_id bigint")
+    return t.mapInArrow(_deltas, DELTA)
 
 
 def compact(runs: DataFrame, keep: str = "all") -> DataFrame:
-    """Merge runs: keep='all': the different values of a cell, each with its latest version; 'latest': only the newest value of (head, prop)."""
-    merged = runs.groupBy("head", "prop", "dtype", "value").agg(F.max(F.struct("at", "row_id")).alias("version"))
+    """Merge runs to (head, prop, dtype, value, version), the latest version of each cell.
+
+    keep='all': cells hold sets, and every different value of one stays with its latest version; 'latest': a cell
+    (head, prop) holds one value, the newest (ties by type and value). Versions are merged before the shuffle, which is by
+    the whole cell, so that a head with any share of the rows is spread.
+    """
+    cells = runs.select("head", F.inline("cells"))
+    version = F.struct("at", "row_id")
     if keep == "all":
-        return merged
-    newest = merged.groupBy("head", "prop").agg(F.max(F.struct("version", "dtype", "value")).alias("m"))
+        return cells.groupBy("head", "prop", "dtype", "value").agg(F.max(version).alias("version"))
+    newest = cells.groupBy("head", "prop").agg(F.max(F.struct(version.alias("version"), "dtype", "value")).alias("m"))
     return newest.select("head", "prop", "m.dtype", "m.value", "m.version")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factlake.operators.nested import walk
-from factlake.sources.entity_json import read_entity
+from factlake.sources.entity_json import canonical, read_entity
 
 _SCHEMA = pa.schema([("id", pa.string()), ("part", pa.string()), ("k", pa.string()), ("dtype", pa.string()), ("value", pa.string()), ("unit", pa.string())])
 
@@ -24,7 +23,7 @@ def typed(datavalue: dict) -> tuple[str, str, str | None]:
     kind, v = datavalue.get("type"), datavalue.get("value")
     if kind == "wikibase-entityid" and isinstance(v, dict):
         number = v.get("id") or (f"Q{v['numeric-id']}" if v.get("numeric-id") is not None else None)
-        return ("entity", str(number), None) if number else ("other", json.dumps(v), None)
+        return ("entity", str(number), None) if number else ("other", canonical(v), None)
     if kind == "time" and isinstance(v, dict) and isinstance(v.get("time"), str):
         return "time", re.sub(r"T00:00:00Z$", "", v["time"].removeprefix("+")), None
     if kind == "quantity" and isinstance(v, dict):
@@ -32,7 +31,7 @@ def typed(datavalue: dict) -> tuple[str, str, str | None]:
         return "quantity", str(v.get("amount")).removeprefix("+"), "-1" if unit == "1" else unit.rsplit("/", 1)[-1]
     if kind == "monolingualtext" and isinstance(v, dict):
         return "string", str(v.get("text")), None
-    return ("string", v, None) if isinstance(v, str) else ("other", json.dumps(v, sort_keys=True), None)
+    return ("string", v, None) if isinstance(v, str) else ("other", canonical(v), None)
 
 
 def entity_facts(entity: dict) -> Iterator[tuple]:
@@ -40,14 +39,10 @@ def entity_facts(entity: dict) -> Iterator[tuple]:
     en = entity.get("labels")
     en = en.get("en") if isinstance(en, dict) else None
     yield "main", "", None, en["value"] if isinstance(en, dict) and en.get("value") else entity["id"], None
-    d = entity.get("descriptions")
-    for k, e in d.items() if isinstance(d, dict) else ():
-        if isinstance(e, dict) and e.get("value") is not None:
-            yield "description", k, None, str(e["value"]), None
     for child, k, obj, valued in walk(entity):
         if not valued:
             continue
-        if child in ("label", "alias"):
+        if child in ("label", "description", "alias"):
             yield child, k, None, str(obj["value"]), None
         elif child == "sitelink":
             yield child, k, None, str(obj["title"]), None

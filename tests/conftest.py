@@ -3,6 +3,8 @@ import sys
 
 import pytest
 
+#: Folder of the smallest tables.
+DATA = os.environ.get("FACTLAKE_TESTDATA", "/root/testdata/sf0.001")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

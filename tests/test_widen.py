@@ -37,6 +37,19 @@ def test_cells(spark):
     assert rows(W.filled_cells(W.compact(W.sparse_deltas(df.where("false"))))) == []
 
 
+def test_deltas_are_wide(spark):
+    """One row per head and flush, with the filled cells only, in order, each with its version."""
+    df = spark.createDataFrame(ROWS, "row_id long, head string, prop string, tail string, loaded_at timestamp").coalesce(1)
+    d = W.sparse_deltas(df).collect()
+    assert [r.head for r in d] == ["Mount X"]
+    assert [(c.prop, c.dtype, c.value, c.row_id) for c in d[0].cells] == [("alias", "string", "a", 2), ("alias", "string", "b", 3), ("size", "quantity", "1", 5), ("size", "string", "big", 6)]
+
+
+@pytest.mark.parametrize(("a", "b"), [("1e3", "1000"), ("+001.50", "1.5"), (".5", "0.5"), ("-0.0", "0"), ("1e9999999", "10e9999998"), ("1e-2", ".01")])
+def test_same_number(a, b):
+    assert W.number_key(a) == W.number_key(b)
+
+
 def test_batches_in_any_order(spark):
     """Runs made of two batches, either first, compact to what one batch gives."""
     df = spark.createDataFrame(ROWS, "row_id long, head string, prop string, tail string, loaded_at timestamp")
