@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.operators.skew import SHARE, hot_hashes, salted_join
-from factlake.session import cut, cut_observed
+from factlake.session import cut, cut_observed, drop_cut
 
 #: Letters of Greek and Cyrillic that are drawn as a Latin letter, and that letter.
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ανοιρυϲϳ"
-GREEK_LATIN = "ABEZHIKMNOPTYX" + "avoipucj"
-CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԚԜЗ" + "аеѕіјорсухԛԝһԁ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTYXYQW3" + "aesijopcyxqwhd"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "νορϲϳ"
+GREEK_LATIN = "ABEZHIKMNOPTYX" + "vopcj"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԚԜ" + "аеѕіјорсухԛԝһԁ"
+CYRILLIC_LATIN = "ABESIJKMHOPCTYXYQW" + "aesijopcyxqwhd"
 #: Hyphens drawn as the ASCII one. Longer dashes are not.
 HYPHENS = "‐‑⁃﹣"
 #: Kinds of compatibility characters that are drawn differently from what they stand for.
@@ -40,7 +40,6 @@ IGNORABLE = (
 def _tables():
     drop = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]+")
     letters = dict(zip(map(ord, GREEK + CYRILLIC), GREEK_LATIN + CYRILLIC_LATIN))
-    del letters[ord("З")], letters[ord("α")], letters[ord("ι")], letters[ord("υ")]  # close, but told apart on screen
     letters |= {ord(c): "-" for c in HYPHENS}
     apart = "".join(chr(i) for i in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(i)).startswith(DRAWN_APART))
     return drop, letters, re.compile(f"([{re.escape(apart)}]+)"), re.compile(r"\s")
@@ -93,16 +92,29 @@ def alike(texts: DataFrame, key: str, part: str, text: str, fold: bool = False)
     rows, seen = cut_observed(with_forms(texts, key, part, text, fold).select("*", *hashed), n=F.count(F.lit(1)))
     groups = rows.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n"))
     some = cut(groups.select("h", "n", (F.col("low") != F.col("high")).alias("varies")).where(F.col("varies") | (F.col("n") > (seen["n"] or 0) / SHARE)))
-    hot = [r[0] for r in some.where(F.col("n") > max(10_000, seen["n"] or 0) / SHARE).select(F.xxhash64("h")).collect()]  # at most SHARE numbers
+    hot = [r[0] for r in some.where(F.col("n") > (seen["n"] or 0) / SHARE).select(F.xxhash64("h")).collect()]  # at most SHARE numbers
     few = cut(salted_join(rows, some.where("varies").select("h"), ["h"], "left_semi", hot).select("key", "part", "text", "form").distinct())
+    drop_cut(rows, some)
     vary = few.groupBy("part", "form").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high")
     f, v = few.alias("f"), vary.alias("v")
     return f.join(v, F.col("f.part").eqNullSafe(F.col("v.part")) & (F.col("f.form") == F.col("v.form")), "left_semi")
 
 
 def alike_pairs(texts: DataFrame, key: str, part: str, text: str, fold: bool = False) -> DataFrame:
-    """(key_a, key_b), smaller key first: rows of one part that look the same but hold different code points."""
+    """(key_a, key_b), smaller key first: rows of one part that look the same but hold different code points.
+
+    Different texts of a form are paired first, each pair once; only then do the rows that hold them come in. So rows of
+    equal texts never meet, however many there are. Both joins spread the texts that hold many rows.
+    """
     r = cut(alike(texts, key, part, text, fold).select("key", F.coalesce("part", F.lit("\0")).alias("part"), "text", "form"))
-    a = r.select("part", "form", F.col("key").alias("key_a"), F.col("text").alias("text_a"))
-    b = r.select("part", "form", F.col("key").alias("key_b"), F.col("text").alias("text_b"))
-    return salted_join(a, b, ["part", "form"], "inner", hot_hashes(a, ["part", "form"])).where("key_a < key_b and text_a <> text_b").select("key_a", "key_b").distinct()
+    t = r.select("part", "form", "text").distinct()
+    on = ["part", "form"]
+    a, b = t.withColumnRenamed("text", "text_a"), t.withColumnRenamed("text", "text_b")
+    pairs = salted_join(a, b, on, "inner", hot_hashes(a, on)).where("text_a < text_b").select("part", "text_a", "text_b")
+    rows = r.select("part", "key", "text")
+    hot = hot_hashes(rows, ["part", "text"])  # hashes of values, whatever the columns are called
+    left = rows.select("part", F.col("text").alias("text_a"), F.col("key").alias("key_a"))
+    right = rows.select("part", F.col("text").alias("text_b"), F.col("key").alias("key_b"))
+    first = salted_join(left, pairs, ["part", "text_a"], "inner", hot)
+    both = salted_join(right, first, ["part", "text_b"], "inner", hot)
+    return both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).where("key_a <> key_b").distinct()

@@ -4,7 +4,8 @@ The tokenizer first splits a text by its pattern; a piece is then merged on its
 without any split) are encoded by tree concatenation: both halves for themselves, then a growing window of tokens
 around the join is encoded again until its outer tokens agree with both sides; that is exact, because a token sequence
 is the encoding of its text if every two neighbours are the encoding of theirs.
-Texts longer than LONG_TEXT are cut at pattern borders into parts that different tasks encode.
+Texts longer than LONG_TEXT are cut into parts that different tasks encode: at pattern borders where they can be, and
+through an unsplit piece where it is longer than a part; the chunks of such a piece are then joined as a tree.
 """
 
 from __future__ import annotations
@@ -30,13 +31,36 @@ LONG, LONG_TEXT, PART = 4_000, 100_000, 50_000
 @cache
 def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k"):
     """A tiktoken encoding made from the ranks in folder/name.tiktoken, without special tokens."""
-    import tiktoken
+    return _make(name, _vocabulary(folder, name))
+
 
+def _vocabulary(folder: str, name: str) -> bytes:
     with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def _make(name: str, data: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Encodings this process has made from a vocabulary that the job brought along.
+_MADE: dict[tuple[str, int], object] = {}
+
+
+def _shipped(name: str, shared):
+    """The encoding of a broadcast vocabulary, made once a process."""
+    from factlake.llm import tokens  # the module of the process, not a copy
+
+    data = shared.value
+    key = name, hash(data)
+    if key not in tokens._MADE:
+        tokens._MADE[key] = _make(name, data)
+    return tokens._MADE[key]
+
+
 @cache
 def _splitter():
     import regex
@@ -86,59 +110,122 @@ def encode_text(text: str | None, enc, limit: int = LONG) -> list[int]:
     return [t for p in pieces for t in encode_piece(p.encode(), enc, limit)]
 
 
-def split_text(text: str, size: int = PART) -> list[str]:
-    """Parts of about `size` characters that split by the pattern as the whole does; a longer piece stays whole.
+#: Kinds of parts: text that is split by the pattern, the first chunk of a long piece, a chunk that follows another.
+TEXT, CHUNK, NEXT_CHUNK = 0, 1, 2
+
 
-    A part ends where the pattern splits and not in white space: how white space splits depends on what follows it.
+def split_text(text: str, size: int = PART) -> list[tuple[int, str]]:
+    """(kind, part): parts of about `size` characters whose tokens, chunks of one piece joined, are those of the whole.
+
+    A part ends where the pattern splits and not in white space: how white space splits depends on what follows it. A
+    piece longer than size is cut into chunks; white space directly before it stands for itself.
     """
     parts, start = [], 0
+    blank: list[str] = []  # the last pieces, as far as they are white space
     for m in _splitter().finditer(text):
-        if m.end() - start >= size and not m[0][-1].isspace():
-            parts.append(text[start : m.end()])
-            start = m.end()
+        if m.end() - m.start() > size:
+            before = m.start() - sum(map(len, blank))
+            if before > start:
+                parts.append((TEXT, text[start:before]))
+            parts += [(CHUNK, b) for b in blank]
+            parts += [(NEXT_CHUNK if i > m.start() else CHUNK, text[i : min(i + size, m.end())]) for i in range(m.start(), m.end(), size)]
+            start, blank = m.end(), []
+        elif m[0][-1].isspace():
+            blank.append(m[0])
+        else:
+            blank = []
+            if m.end() - start >= size:
+                parts.append((TEXT, text[start : m.end()]))
+                start = m.end()
     if start < len(text):
-        parts.append(text[start:])
+        parts.append((TEXT, text[start:]))
     return parts
 
 
+def join_parts(parts: list[tuple[int, list[int]]], enc) -> list[int]:
+    """Tokens of a text from those of its parts (kind, tokens), in order: chunks of one piece are joined two by two."""
+    encode = lambda b: encode_piece(b, enc, max(LONG, 2 * len(b)))
+    out: list[int] = []
+    i = 0
+    while i < len(parts):
+        j = i + 1
+        while j < len(parts) and parts[j][0] == NEXT_CHUNK:
+            j += 1
+        level = [ids for _, ids in parts[i:j]]
+        while len(level) > 1:
+            level = [join_tokens(level[k], level[k + 1], encode, enc.decode_bytes) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        out += level[0]
+        i = j
+    return out
+
+
 _OUT = pa.list_(pa.int32())
 
 
-def _encode_rows(folder: str, name: str):
+def _encode_rows(name: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
+        enc = _shipped(name, shared)
         for b in batches:
             for s in range(0, b.num_rows, 1000):
                 part = b.slice(s, 1000)
-                ids = pa.array([encode_text(t, enc) for t in part.column(part.num_columns - 1).to_pylist()], _OUT)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "ids"])
+                ids = pa.array([encode_text(t, enc) for t in part.column(1).to_pylist()], _OUT)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     return run
 
 
-def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get()
-    row = (task.partitionId() if task else 0) << 33
-    for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            row += 1
-            parts = split_text(text)
-            for s in range(0, len(parts), 8):
-                some = parts[s : s + 8]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(range(s, s + n), pa.int32()), pa.array(some, pa.string())], names=["row", "key", "i", "text"])
+def _encode_parts(name: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _shipped(name, shared)
+        for b in batches:
+            for s in range(0, b.num_rows, 100):
+                part = b.slice(s, 100)
+                ids = pa.array([encode_text(t, enc) if k == TEXT else encode_piece(t.encode(), enc) for k, t in zip(part.column(3).to_pylist(), part.column(4).to_pylist())], _OUT)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], ids], names=["row", "key", "i", "kind", "ids"])
+
+    return run
+
+
+def _join_rows(name: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _shipped(name, shared)
+        for b in batches:
+            for s in range(0, b.num_rows, 10):
+                part = b.slice(s, 10)
+                ids = pa.array([join_parts([(p["kind"], p["ids"]) for p in ps], enc) for ps in part.column(1).to_pylist()], _OUT)
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
+
+    return run
+
+
+def _split_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 33
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row += 1
+                parts = split_text(text, size)
+                for s in range(0, len(parts), 8):
+                    some = parts[s : s + 8]
+                    n = len(some)
+                    cols = [([row] * n, pa.int64()), ([key] * n, pa.int64()), (range(s, s + n), pa.int32()), ([k for k, _ in some], pa.int32()), ([t for _, t in some], pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["row", "key", "i", "kind", "text"])
+
+    return run
 
 
-def encode_corpus(docs: DataFrame, key: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
+def encode_corpus(docs: DataFrame, key: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", long_text: int = LONG_TEXT, part: int = PART) -> DataFrame:
     """(key, ids) of every row: null and empty texts give the empty list, repeated rows give a row each.
 
-    Rows with a null key are kept. Texts up to LONG_TEXT characters are encoded where they are read, without a shuffle;
-    the parts of longer ones are spread over the tasks and put together again.
+    Rows with a null key are kept. Texts up to long_text characters are encoded where they are read, without a shuffle;
+    the parts of longer ones, chunks of unsplit pieces too, are spread over the tasks and put together again. The
+    vocabulary is read from folder on the driver and goes with the job; its size is that of the tokenizer.
     """
     d = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    run = _encode_rows(folder, name)
-    short = d.where(f"text is null or length(text) <= {LONG_TEXT}").mapInArrow(run, "key bigint, ids array<int>")
-    parts = d.where(f"length(text) > {LONG_TEXT}").mapInArrow(_split_rows, "row bigint, key bigint, i int, text string").repartition("row", "i")
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]))
-    done = parts.mapInArrow(run, "row bigint, key bigint, i int, ids array<int>").groupBy("row", "key").agg(ids.alias("ids"))
-    return short.unionByName(done.select("key", "ids"))
+    shared = d.sparkSession.sparkContext.broadcast(_vocabulary(folder, name))
+    short = d.where(f"text is null or length(text) <= {long_text}").mapInArrow(_encode_rows(name, shared), "key bigint, ids array<int>")
+    parts = d.where(f"length(text) > {long_text}").mapInArrow(_split_rows(part), "row bigint, key bigint, i int, kind int, text string").repartition("row", "i")
+    done = parts.mapInArrow(_encode_parts(name, shared), "row bigint, key bigint, i int, kind int, ids array<int>")
+    whole = done.groupBy("row", "key").agg(F.array_sort(F.collect_list(F.struct("i", "kind", "ids"))).alias("parts")).select("key", "parts")
+    return short.unionByName(whole.mapInArrow(_join_rows(name, shared), "key bigint, ids array<int>"))

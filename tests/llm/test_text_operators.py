@@ -46,6 +46,13 @@ def test_pairs(spark):
     assert rows(lookalike.alike_pairs(df.where("false"), "term_id", "lang", "text")) == []
 
 
+def test_many_equal_texts(spark):
+    """Rows of one text never meet: 3,000 equal ones and two that look the same give 2 x 3,000 pairs and one."""
+    df = spark.range(3_000).selectExpr("id", "'en' as lang", "'Kop' as text").union(spark.createDataFrame([(5_000, "en", "Кop"), (5_001, "en", "Коp")], "id long, lang string, text string"))
+    got = lookalike.alike_pairs(df, "id", "lang", "text")
+    assert got.count() == 6_001 and got.where("key_a = 5000").count() == 1
+
+
 # --- markup ---
 
 WEIGHTS = np.array([2.2, -1.0, 2.0, -1.3, 1.8, -2.0, 0.0, -2.3, -4.1])
@@ -203,26 +210,29 @@ needs_tokenizer = pytest.mark.skipif(not __import__("os").path.exists(f"{tokens.
 def test_tokens_equal_the_tokenizer(spark):
     enc = tokens.encoder()
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice("abcdeet \n'sé日本Ж1") for _ in range(rnd.randrange(1, 400))) for _ in range(120)] + ["a" * 5000, "日本" * 3000, "ab" * 4000 + " c", " " * 3000, "don't  \n\n x"]
+    texts = ["".join(rnd.choice("abcdeet \n'sé日本Ж1") for _ in range(rnd.randrange(1, 400))) for _ in range(120)] + ["a" * 5000, "日本" * 3000, "x \n\n  " + "word" * 90 + " \n\n" + "7" * 200 + "\t \n" + "-" * 300 + "  end", "ab" * 4000 + " c", " " * 3000, "don't  \n\n x"]
     for t in texts:
         assert tokens.encode_text(t, enc, 16) == enc.encode_ordinary(t)
-        assert sum((enc.encode_ordinary(p) for p in tokens.split_text(t, 20)), []) == enc.encode_ordinary(t)
+        for size in (3, 20, 150):  # pieces beyond it are chunks, joined as a tree
+            parts = tokens.split_text(t, size)
+            assert "".join(p for _, p in parts) == t
+            assert tokens.join_parts([(k, enc.encode_ordinary(p) if k == tokens.TEXT else tokens.encode_piece(p.encode(), enc, 16)) for k, p in parts], enc) == enc.encode_ordinary(t)
         assert enc.decode(tokens.encode_text(t, enc, 16)) == t
     assert tokens.encode_text("<|endoftext|>", enc) == enc.encode_ordinary("<|endoftext|>")
 
 
 @needs_tokenizer
-def test_token_rows(spark, monkeypatch):
-    monkeypatch.setattr(tokens, "LONG_TEXT", 1_000)
+def test_token_rows(spark):
     big = "the lake, 日本 x's\n" * 20_000
-    df = spark.createDataFrame([(1, "a b", 1), (2, "", 1), (3, None, 1), (4, big, 1), (4, big, 1), (None, "x", 1), (5, "y" * 30_000, 1)], "doc_id long, text string, key int")
-    got = tokens.encode_corpus(df, "doc_id", "text").collect()
+    df = spark.createDataFrame([(1, "a b", 1), (2, "", 1), (3, None, 1), (4, big, 1), (4, big, 1), (None, "x", 1), (5, "y" * 30_000, 1), (6, "the end.\n\n" + "日本語" * 9_000 + "  x", 1)], "doc_id long, text string, key int")
+    got = tokens.encode_corpus(df, "doc_id", "text", long_text=1_000, part=700).collect()
     enc = tokens.encoder()
-    assert len(got) == 7
+    assert len(got) == 8
     by = {}
     for r in got:
         by.setdefault(r.key, []).append(r.ids)
     assert by[2] == by[3] == [[]] and by[4] == [enc.encode_ordinary(big)] * 2 and by[None] == [enc.encode_ordinary("x")] and by[5] == [enc.encode_ordinary("y" * 30_000)]
+    assert by[6] == [enc.encode_ordinary("the end.\n\n" + "日本語" * 9_000 + "  x")]
     assert tokens.encode_corpus(df.where("false"), "doc_id", "text").count() == 0
 
 
@@ -261,17 +271,27 @@ def test_leaks(spark):
     assert rows(leakage.leaked(leakage.leaks(d, "doc_id", "text", e.where("false"), "item_id", "passage"))) == []
 
 
-def test_offsets(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)  # an automaton for each item
+def test_offsets(spark):
     p = "one two three four five six seven eight nine ten"
     text = "Intro. <b>One</b>, two-[[x|three]] FÖUR fïve **six** seven eight"
     d = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
     e = spark.createDataFrame([(7, p), (8, "a b c d e f g h i")], "item_id long, passage string")
-    r = leakage.leaks(d, "doc_id", "text", e, "item_id", "passage").collect()
+    r = leakage.leaks(d, "doc_id", "text", e, "item_id", "passage", block_chars=10).collect()  # an automaton for each item
     assert len(r) == 2 and (r[0].item, r[0].n_words, r[0].n_covered) == (7, 10, 8)
     assert text[r[0].starts[0] : r[0].ends[0]].startswith("One") and text[r[0].starts[0] : r[0].ends[0]].endswith("eight")
 
 
+def test_seeds_are_small():
+    """The automaton of much test text stays within its bound: 40 bytes a character."""
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 11))) for _ in range(30_000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(300))) for i in range(200)]
+    seeds = leakage.Seeds(items)
+    assert seeds.automaton.get_stats()["total_size"] < 40 * sum(len(t) for _, t in items)
+    hit = seeds.scan("Intro " + items[7][1].upper() + ", " + " ".join(items[9][1].split()[100:108]))
+    assert {k: (v[0], v[1]) for k, v in hit.items()} == {7: (300, 300), 9: (300, 8)}
+
+
 # --- wrong encodings ---
 
 
