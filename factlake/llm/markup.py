@@ -1,14 +1,20 @@
 """Markup residue in page texts: HTML, Markdown, wiki and LaTeX to clean text with structure.
 
-A page is read in three steps. Literal regions (comments, code, formulas, templates, tables) are lifted out in one scan.
-The rest is cut into blocks, each with its kind and its container. Then every block is labelled content or boilerplate
-by a minimum cut: a logistic classifier's costs are the terminal capacities, neighbouring blocks and blocks of one
-container are tied by smoothness edges, and max-flow finds the cheapest labelling of the page as a whole.
+A page is read in three steps. Literal regions (comments, code, formulas, nowiki) are lifted out in one scan; templates,
+tables, scripts and page boxes are containers that are read like the rest. Then the text is cut into blocks, each with
+its kind and its container. Last, every block, headings and list items too, is labelled content or boilerplate by a
+minimum cut: a logistic classifier's costs are the terminal capacities, neighbouring blocks and blocks of one container
+are tied by smoothness edges, and max-flow finds the cheapest labelling of the page as a whole.
+
+The classifier is fitted to pages that are put together here from sentences and words of a sample of the pages, with
+content and boilerplate (infoboxes, navigation, footers, scripts, data tables, category links) planted, so that the label
+of each block is known from where it was planted and not from how it was read.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -19,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the training sample and the most characters of one of them; capacity of an edge between neighbours, and of
-#: one between blocks of the same container.
-TRAIN_ROWS, TRAIN_CHARS, NEXT, SAME = 2_000, 20_000, 0.4, 0.2
-_HARD = 1e6
+#: Pages sampled for their words and the most characters of one of them; pages put together for training.
+TRAIN_ROWS, TRAIN_CHARS, PLANTED = 300, 20_000, 800
+#: Capacities of the edges between neighbours, between neighbours in different containers, and within a container.
+NEXT, ACROSS, SAME = 0.4, 0.1, 0.2
 
 #: LaTeX environments that hold code, and that are one formula.
 CODE_ENVS = "verbatim|Verbatim|lstlisting|minted|alltt"
@@ -66,12 +72,12 @@ class Region:
 
 @dataclass
 class Block:
-    kind: str  # heading, list_item, code, formula (in or between lines), text, template, table, hidden, link
+    kind: str  # heading, list_item, code, formula (in or between lines), text, link
     text: str
-    inside: str = ""  # container: list, template, table, hidden
+    inside: str = ""  # innermost container: list, nav, footer, header, aside, template, table, hidden
     formulas: int = 0
+    box: int = field(default=0, repr=False)  # which one on the page, 0 for none
     keep: bool = True
-    cost: float = field(default=0.0, repr=False)
 
 
 def is_redirect(text: str) -> bool:
@@ -94,11 +100,11 @@ def _find(text: str, pattern: str, at: int) -> re.Match | None:
     return re.compile(pattern, re.IGNORECASE).search(text, at)
 
 
-def lift(text: str, tex: bool) -> tuple[str, list[Region]]:
+def lift(text: str, tex: bool, nested: bool = False) -> tuple[str, list[Region]]:
     """The text with a number between private-use characters for every region, and the regions in order.
 
     What opens first wins; a region that is never closed is ordinary text, but for comments and fences, which end with
-    the page. tex: `%` starts a comment.
+    the page. tex: `%` starts a comment. nested: the text of a container, whose own templates and tables stay in it.
     """
     out, regions, at = [], [], 0
     lower: str | None = None
@@ -173,11 +179,11 @@ def lift(text: str, tex: bool) -> tuple[str, list[Region]]:
                 if name in ("math", "mvar", "tmath"):
                     pos = put("formula", s, j, args, "wiki")
                 elif "\n" in inner or name.startswith("infobox"):
-                    pos = put("template", s, j, inner, "wiki")
+                    pos = e if nested else put("template", s, j, inner, "wiki")
                 else:  # its last argument is what a reader sees
                     pos = put("literal" if "|" in inner else "comment", s, j, inner.rpartition("|")[2], "wiki")
         elif m["table"]:
-            j = _balanced(text, m.end() - 2, "{|", "|}")
+            j = -1 if nested else _balanced(text, m.end() - 2, "{|", "|}")
             if j > 0:
                 pos = put("table", s, j, text[e : j - 2], "wiki")
         elif m["percent"] and tex:
@@ -188,7 +194,7 @@ def lift(text: str, tex: bool) -> tuple[str, list[Region]]:
 
 
 _TOKEN = re.compile("\ue000([0-9]+)\ue001")
-_HTML_BLOCK = re.compile(r"<(h[1-6]|li|p|div|ul|ol|td|th|tr|table|blockquote|nav|footer|header|aside|section|article|body|dd|dt|dl)\b[^<>]*>|</(h[1-6]|li|ul|ol|p|div|nav|footer|aside)\s*>", re.IGNORECASE)
+_HTML_BLOCK = re.compile(r"<(h[1-6]|li|p|div|ul|ol|td|th|tr|table|blockquote|nav|footer|header|aside|section|article|body|dd|dt|dl)\b[^<>]*>|</(h[1-6]|li|ul|ol|p|div|nav|footer|header|aside)\s*>", re.IGNORECASE)
 _TEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub)*section|(?:sub)?paragraph)\*?\s*(?:\[[^\]]*\]\s*)?\{")
 _TEX_ITEM = re.compile(r"\\item\b(?:\s*\[[^\]]*\])?")
 _WIKI_HEAD = re.compile(r"=+(?=[^=]).*?[^=\s]\s*=+\s*")
@@ -208,20 +214,36 @@ def dialect(text: str) -> str:
     return "plain" if not w and not m else "wiki" if w >= m else "markdown"
 
 
+_TEMPLATE_NAME = re.compile(r"\A[^|\n]*")
+_BOXES = ("nav", "footer", "header", "aside")
+_CONTAINERS = ("template", "table", "hidden")
+
+
 def blocks(text: str) -> list[Block]:
     """The blocks of a page in order; regions stand where they were."""
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\ue000", "").replace("\ue001", "")
     tex = len(_TEX.findall(text)) >= 1
-    flat, regions = lift(text, tex and not re.search(r"\[\[|<p>|\{\{", text))
+    tex_notes = tex and not re.search(r"\[\[|<p>|\{\{", text)
+    flat, regions = lift(text, tex_notes)
     signs = {"wiki": "[[x]]", "markdown": "`x`", "": "x"}
     kind = dialect(_TOKEN.sub(lambda m: signs[regions[int(m[1])].sign], flat))
     out: list[Block] = []
-    inside: list[str] = []
+    stack: list[tuple[str, int]] = []
+    boxes = 0
+
+    def enter(name: str) -> None:
+        nonlocal boxes
+        boxes += 1
+        stack.append((name, boxes))
+
+    def where(item: bool = False) -> tuple[str, int]:
+        """The container that counts: the innermost one that is no list, else the list."""
+        return next((x for x in reversed(stack) if x[0] != "list"), stack[-1] if stack else ("list" if item else "", 0))
 
-    def add(k: str, t: str, where: str = "") -> None:
-        """One block of text with the regions in it; code, templates and tables stand by themselves."""
+    def add(k: str, t: str, regions: list[Region]) -> None:
+        """One block of text with the regions in it; code stands by itself, containers are read on their own."""
         formulas, parts, at = 0, [], 0
-        alone: list[Block] = []
+        alone: list[Region] = []
         for m in _TOKEN.finditer(t):
             r = regions[int(m[1])]
             parts.append(t[at : m.start()])
@@ -231,140 +253,264 @@ def blocks(text: str) -> list[Block]:
                 parts.append(f"${r.text.strip()}$")
             elif r.kind == "literal":
                 parts.append(r.text)
-            elif r.kind in ("code", "template", "table", "hidden"):
-                alone.append(Block(r.kind, r.text, r.kind if r.kind != "code" else where))
+            elif r.kind != "comment":
+                alone.append(r)
         body = "".join(parts) + t[at:]
+        inside, box = where(k == "list_item")
         if k != "text" or body.strip():
-            plain = _AWAY.sub("", body)
-            b = Block("link" if k == "text" and not plain.strip() else k, body, where, formulas)
+            b = Block("link" if k == "text" and not _AWAY.sub("", body).strip() else k, body, inside, formulas, box)
             if k == "text" and formulas and not re.sub(r"\$[^$]*\$|[:\s]|<[^<>]*>", "", body):
                 b.kind = "formula"
             out.append(b)
-        out.extend(alone)
-
-    para: list[str] = []
-
-    def flush(k: str = "text") -> None:
-        if para:
-            add(k, "\n".join(para), inside[-1] if inside else "")
-            para.clear()
-
-    def line(raw: str) -> None:
-        bare = _TOKEN.sub(lambda m: "" if regions[int(m[1])].kind == "comment" else m[0], raw)
-        s = bare.strip()
-        if not s:
-            flush()
-        elif kind != "markdown" and _WIKI_HEAD.fullmatch(s) and bare[0] == "=" or kind == "markdown" and re.fullmatch(r"(={2,6})[^=\n]+\1", s):
-            flush()
-            add("heading", s.strip("= "))
-        elif kind != "wiki" and _ATX.match(bare) and s.strip("#").strip():
-            flush()
-            add("heading", s.strip("# "))
-        elif kind == "markdown" and para and _SETEXT.match(bare) and not (_MD_LIST.match(para[-1]) and len(para) == 1):
-            flush("heading")
-        elif _HR.match(bare):
-            flush()
-        elif kind == "wiki" and (m := _WIKI_LIST.match(bare)) and m[0][-1] in "*#" or kind != "wiki" and (m := _MD_LIST.match(bare)) and bare[m.end() :].strip():
-            flush()
-            add("list_item", bare[m.end() :], "list")
-        else:
-            para.append(bare)
+        for r in alone:
+            if r.kind == "code":
+                out.append(Block("code", r.text, inside, 0, box))
+            else:
+                enter(r.kind)
+                read(*lift(_TEMPLATE_NAME.sub("", r.text) if r.kind == "template" else r.text, tex_notes, nested=True))
+                stack.pop()
+
+    def read(flat: str, regions: list[Region]) -> None:
+        depth = len(stack)
+        para: list[str] = []
+
+        def flush(k: str = "text") -> None:
+            if para:
+                t = "\n".join(para)
+                para.clear()
+                add(k, t, regions)
+
+        def line(raw: str) -> None:
+            bare = _TOKEN.sub(lambda m: "" if regions[int(m[1])].kind == "comment" else m[0], raw)
+            s = bare.strip()
+            if not s:
+                flush()
+            elif kind != "markdown" and _WIKI_HEAD.fullmatch(s) and bare[0] == "=" or kind == "markdown" and re.fullmatch(r"(={2,6})[^=\n]+\1", s):
+                flush()
+                add("heading", s.strip("= "), regions)
+            elif kind != "wiki" and _ATX.match(bare) and s.strip("#").strip():
+                flush()
+                add("heading", s.strip("# "), regions)
+            elif kind == "markdown" and para and _SETEXT.match(bare) and not (_MD_LIST.match(para[-1]) and len(para) == 1):
+                flush("heading")
+            elif _HR.match(bare):
+                flush()
+            elif kind == "wiki" and (m := _WIKI_LIST.match(bare)) and m[0][-1] in "*#" or kind != "wiki" and (m := _MD_LIST.match(bare)) and bare[m.end() :].strip():
+                flush()
+                add("list_item", bare[m.end() :], regions)
+            elif s[0] in "|!" and stack and stack[-1][0] in ("template", "table"):  # an argument or a row of cells
+                flush()
+                add("text", s, regions)
+            else:
+                para.append(bare)
+
+        def chunk(t: str) -> None:
+            """Text without block tags: LaTeX commands cut it further, then lines."""
+            at = 0
+            for m in re.finditer(rf"{_TEX_HEAD.pattern}|{_TEX_ITEM.pattern}|\\(?:begin|end)\{{\w+\*?\}}", t) if tex else ():
+                if m.start() < at:
+                    continue
+                for x in t[at : m.start()].split("\n"):
+                    line(x)
+                flush()
+                at = m.end()
+                if m[0].endswith("{") and not m[0].startswith("\\begin"):
+                    e = _balanced(t, m.end() - 1, "{", "}")
+                    e = e if e > 0 else len(t)
+                    add("heading", t[m.end() : e - 1], regions)
+                    at = e
+                elif m[0].startswith("\\item"):
+                    e = re.compile(r"\\item\b|\\(?:begin|end)\{|\n\s*\n").search(t, at)
+                    e = e.start() if e else len(t)
+                    add("list_item", t[at:e], regions)
+                    at = e
+            for x in t[at:].split("\n"):
+                line(x)
 
-    def chunk(t: str) -> None:
-        """Text without block tags: LaTeX commands cut it further, then lines."""
         at = 0
-        for m in re.finditer(rf"{_TEX_HEAD.pattern}|{_TEX_ITEM.pattern}|\\(?:begin|end)\{{\w+\*?\}}", t) if tex else ():
+        for m in _HTML_BLOCK.finditer(flat):
             if m.start() < at:
                 continue
-            for x in t[at : m.start()].split("\n"):
-                line(x)
+            chunk(flat[at : m.start()])
             flush()
             at = m.end()
-            if m[0].endswith("{") and not m[0].startswith("\\begin"):
-                e = _balanced(t, m.end() - 1, "{", "}")
-                e = e if e > 0 else len(t)
-                add("heading", t[m.end() : e - 1])
-                at = e
-            elif m[0].startswith("\\item"):
-                e = re.compile(r"\\item\b|\\(?:begin|end)\{|\n\s*\n").search(t, at)
-                e = e.start() if e else len(t)
-                add("list_item", t[at:e], "list")
-                at = e
-        for x in t[at:].split("\n"):
-            line(x)
-
-    at = 0
-    for m in _HTML_BLOCK.finditer(flat):
-        if m.start() < at:
-            continue
-        chunk(flat[at : m.start()])
+            tag = (m[1] or m[2]).lower()
+            if m[1] and (tag[0] == "h" and tag[1:].isdigit() or tag == "li"):
+                e = re.compile(r"<(?:h[1-6]|li|ul|ol|p|div)\b|</(?:h[1-6]|li|ul|ol|nav|footer|header|aside)\s*>", re.IGNORECASE).search(flat, at)
+                e = e.start() if e else len(flat)
+                first, gap, rest = flat[at:e].partition("\n\n") if tag == "li" else (flat[at:e], "", "")
+                add("list_item" if tag == "li" else "heading", first, regions)
+                at = e - len(rest)
+            elif m[1] and tag in ("ul", "ol", *_BOXES):
+                enter("list" if tag in ("ul", "ol") else tag)
+            elif m[2] and tag in ("ul", "ol", *_BOXES):
+                name = "list" if tag in ("ul", "ol") else tag
+                if name in [x for x, _ in stack[depth:]]:
+                    while stack.pop()[0] != name:
+                        pass
+        chunk(flat[at:])
         flush()
-        at = m.end()
-        tag = (m[1] or m[2]).lower()
-        if m[1] and (tag[0] == "h" and tag[1:].isdigit() or tag == "li"):
-            e = re.compile(r"<(?:h[1-6]|li|ul|ol|p|div)\b|</(?:h[1-6]|li|ul|ol)\s*>", re.IGNORECASE).search(flat, at)
-            e = e.start() if e else len(flat)
-            first, gap, rest = flat[at:e].partition("\n\n") if tag == "li" else (flat[at:e], "", "")
-            add("list_item" if tag == "li" else "heading", first, inside[-1] if inside else "")
-            at = e - len(rest)
-        elif m[1] and tag in ("ul", "ol", "nav", "footer", "aside"):
-            inside.append("list" if tag in ("ul", "ol") else tag)
-        elif m[2] and tag in ("ul", "ol", "nav", "footer", "aside") and inside:
-            inside.pop()
-    chunk(flat[at:])
-    flush()
+        del stack[depth:]
+
+    read(flat, regions)
     return out
 
 
 # --- labelling ------------------------------------------------------------------------------------------------------
 
-_FEATURES = 9
 _PLAIN = re.compile(r"(?:[^\W\d_]| )+")
+_LINKED = re.compile(r"\[\[[^\[\]]*\]\]|<a\b[^<>]*>.*?</a\s*>|(?<!!)\[[^\[\]]*\]\([^()\s]*\)", re.DOTALL | re.IGNORECASE)
+_PAIR = re.compile(r"\s*(?:[|!]|[\w -]{1,40}=)")
+_SHAPES = ("heading", "list_item", "code", "formula")
+_WHERE = ("template", "table", "hidden", *_BOXES)
+_FEATURES = 9 + len(_SHAPES) + len(_WHERE) + 2
+
+
+def features(bs: list[Block]) -> np.ndarray:
+    """A row a block: its words and signs, its shape and container, and the words and links of its neighbours."""
+    rows = np.zeros((len(bs), _FEATURES))
+    for row, b in zip(rows, bs):
+        t = b.text
+        n = max(1, len(t))
+        words = len(t.split())
+        row[:9] = (
+            1.0,
+            min(words, 40) / 20,
+            sum(map(len, _PLAIN.findall(t))) / n,
+            sum(map(t.count, "|=[]{}<>/")) / n * 5,
+            float(t.rstrip()[-1:] in ".!?:;…»”\"'。"),
+            sum(map(len, _LINKED.findall(t))) / n if "[" in t or "<" in t else 0.0,
+            float(bool(_PAIR.match(t))),
+            sum(map(t.count, ";()'\"")) / n * 5,
+            float(words < 3),
+        )
+        if b.kind in ("code", "formula"):
+            row[[3, 6, 7]] = 0.0  # signs are what code and formulas are made of
+        if b.kind in _SHAPES:
+            row[9 + _SHAPES.index(b.kind)] = 1.0
+        if b.inside in _WHERE:
+            row[9 + len(_SHAPES) + _WHERE.index(b.inside)] = 1.0
+    if len(bs) > 1:  # neighbours count within a container, their links in those that are no lists
+        box = np.array([b.box for b in bs])
+        near = (box[1:] == box[:-1])[:, None]
+        around = rows[:, [1, 5]] * np.stack([np.ones(len(bs)), [b.inside in _WHERE for b in bs]], 1) / 2
+        rows[1:, -2:] += around[:-1] * near
+        rows[:-1, -2:] += around[1:] * near
+    return rows
+
+
+class _Planter:
+    """Pages with content and boilerplate in known places: each block holds a word of its own, whose label is known."""
+
+    def __init__(self, rnd: random.Random, sentences: list[str], words: list[str]):
+        self.rnd, self.sentences, self.words = rnd, sentences or ["The lake covers many fields."], words or ["lake", "mill", "old"]
+        self.labels: dict[str, int] = {}
+
+    def mark(self, label: int) -> str:
+        w = "zq" + "".join("abcdefghij"[int(c)] for c in str(len(self.labels))) + "x"
+        self.labels[w] = label
+        return w
+
+    def some(self, n: int) -> str:
+        return " ".join(self.rnd.choice(self.words) for _ in range(n))
+
+    def short(self, label: int) -> str:
+        return f"{self.mark(label).capitalize()} {self.some(self.rnd.randrange(0, 4))}".strip()
+
+    def linked(self, dialect: str, label: int) -> str:
+        t = self.short(label)
+        return {"wiki": f"[[{t}]]", "html": f'<a href="/p/{self.rnd.randrange(99)}">{t}</a>', "markdown": f"[{t}](/p/{self.rnd.randrange(99)})", "latex": t}[dialect]
+
+    def sentence(self, label: int) -> str:
+        first, _, rest = self.rnd.choice(self.sentences).partition(" ")
+        return f"{first} {self.mark(label)} {rest}"
+
+    def item(self, dialect: str) -> str:
+        return self.rnd.choice((lambda: self.short(1), lambda: self.sentence(1), lambda: self.linked(dialect, 1) + " " + self.some(2)))()
+
+    def content(self, dialect: str) -> str:
+        r, what = self.rnd, self.rnd.random()
+        if what < 0.35:
+            t = " ".join(self.sentence(1) for _ in range(r.randrange(1, 4)))
+            return f"<p>{t}</p>" if dialect == "html" else t
+        if what < 0.6:
+            t = self.short(1)
+            return {"wiki": f"== {t} ==", "markdown": f"## {t}", "html": f"<h2>{t}</h2>", "latex": rf"\section{{{t}}}"}[dialect]
+        if what < 0.85:
+            items = [self.item(dialect) for _ in range(r.randrange(1, 6))]
+            if dialect == "html":
+                return "<ul>\n" + "\n".join(f"<li>{x}</li>" for x in items) + "\n</ul>"
+            if dialect == "latex":
+                return "\\begin{itemize}\n" + "\n".join(rf"\item {x}" for x in items) + "\n\\end{itemize}"
+            return "\n".join(f"* {x}" for x in items)
+        if what < 0.93:
+            m, w, k = self.mark(1), self.some(1), r.randrange(9)
+            code = r.choice((f"if ({m} == {k}) {{ return '{w}'; }}", f"{m} = {{'{w}': {k}}}", f"{w} {m} --{w} | {w} > {k}", f"# {m}\n- {w}\n* {w} {k}\n", f"{m}", f"{w}={m}\n{w}={k}", f"<{w}>{m}</{w}>", self.some(r.randrange(3, 30)) + f" {m}"))
+            return {"markdown": f"```\n{code}\n```", "latex": f"\\begin{{verbatim}}\n{code}\n\\end{{verbatim}}"}.get(dialect, f"<pre>\n{code}\n</pre>")
+        f = r.choice((rf"\frac{{{self.mark(1)}}}{{{r.randrange(9)}}} = x", rf"\alpha \le {self.mark(1)}", self.mark(1)))
+        return {"wiki": r.choice((f"<math>{f}</math>", f":<math>{f}</math>", f":${f}$")), "html": f"<p>${f}$ {self.sentence(1)}</p>"}.get(dialect, f"${f}$")
+
+    def boilerplate(self, dialect: str) -> str:
+        r = self.rnd
+        link = lambda: self.linked("html", 0)
+        box = r.choice(_BOXES)
+        kinds = [
+            lambda: f"<{box}>\n<h3>{self.short(0)}</h3>\n<ul>\n" + "\n".join(f"<li>{link()}</li>" for _ in range(r.randrange(2, 7))) + f"\n</ul>\n<p>{self.short(0)} © {r.randrange(1990, 2030)}</p>\n</{box}>",
+            lambda: f"<{box}><p>{self.short(0)} | {self.short(0)}</p><ol><li>{link()}</li><li>{self.short(0)}</li></ol></{box}>",
+            lambda: f"<script>var {self.mark(0)} = '<h2>{self.short(0)}</h2>'; f('<li>{self.short(0)}</li>');</script>",
+            lambda: f"<style>.{self.mark(0)} {{ color: red; }}</style>",
+        ]
+        if dialect == "wiki":
+            kinds += [
+                lambda: "{{Infobox place\n" + "".join(f"| {self.some(1)} = {r.choice((self.short(0), self.linked('wiki', 0), self.mark(0) + ' ' + str(r.randrange(999)) + ' km'))}\n" for _ in range(r.randrange(2, 7))) + r.choice(("", f"| list =\n* {self.short(0)}\n* {self.linked('wiki', 0)}\n")) + "}}",
+                lambda: "{{Navbox\n| title = " + self.short(0) + "\n== " + self.short(0) + " ==\n" + "".join(f"* {self.linked('wiki', 0)}\n" for _ in range(r.randrange(2, 6))) + "}}",
+                lambda: '{| class="t"\n! ' + self.short(0) + " !! n\n" + "".join(f"|-\n| {self.short(0)} || {r.randrange(99)}\n" for _ in range(r.randrange(1, 5))) + r.choice(("", f"|-\n|\n* {self.short(0)}\n* {self.mark(0)} {r.randrange(99)}\n")) + "|}",
+                lambda: f"[[Category:{self.short(0)}]]",
+            ]
+        return r.choice(kinds)()
+
+    def page(self) -> str:
+        r = self.rnd
+        dialect = r.choice(("wiki", "wiki", "markdown", "html", "latex"))
+        parts = [self.content(dialect) for _ in range(r.randrange(2, 12))]
+        for _ in range(r.randrange(0, 4)):
+            place = r.choice((0, len(parts), r.randrange(len(parts) + 1)))
+            parts.insert(place, self.boilerplate(dialect))
+        return "\n\n".join(parts)
+
+
+_MARKED = re.compile(r"zq[a-j]+x", re.IGNORECASE)
+
+
+def planted(texts: list[str], pages: int = PLANTED, seed: int = 1) -> list[tuple[list[Block], list[int | None]]]:
+    """(blocks, labels) of pages that are put together from the words of `texts`: 1 content, 0 boilerplate, None unknown."""
+    plain = [clean(x) for t in texts for x in re.split(r"\n+|<[^<>]*>", t)]
+    sentences = [x for x in plain if x.endswith((".", "。")) and 5 < len(x) < 400 and "{" not in x and "\\" not in x]
+    words = sorted({w for x in sentences for w in re.findall(r"[^\W\d_]{3,12}", x)})
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(pages):
+        p = _Planter(rnd, sentences, words)
+        bs = blocks(p.page())
+        found = [[p.labels.get(m.lower()) for m in _MARKED.findall(b.text)] for b in bs]
+        out.append((bs, [f[0] if f else None for f in found]))
+    return out
 
 
-def features(b: Block) -> list[float]:
-    t = b.text
-    n = max(1, len(t))
-    words = t.split()
-    return [
-        1.0,
-        min(len(words), 40) / 20,
-        sum(map(len, _PLAIN.findall(t))) / n,
-        sum(map(t.count, "|=[]{}<>/")) / n * 5,
-        float(t.rstrip()[-1:] in ".!?:;…»”\"'"),
-        t.count("[[") / max(1, len(words)) * 3,
-        float(bool(re.match(r"\s*[|!]", t))),
-        t.count("\n|") / max(1, t.count("\n") + 1),
-        float(b.inside not in ("", "list")),
-    ]
-
-
-def _weak_label(b: Block) -> int | None:
-    """Labels that the syntax gives: templates, tables, scripts and category links, against structure and sentences."""
-    if b.kind in ("template", "table", "hidden", "link"):
-        return 0
-    if b.kind in ("heading", "list_item", "code", "formula") or b.kind == "text" and b.text.rstrip()[-1:] == ".":
-        return 1
-    return None
-
-
-def train(texts: list[str], steps: int = 300) -> np.ndarray:
-    """Weights of a logistic classifier of blocks (1 = content), fitted to the labels that syntax gives."""
+def train(texts: list[str], steps: int = 400, pages: int = PLANTED) -> np.ndarray:
+    """Weights of a logistic classifier of blocks (1 = content), fitted to planted pages."""
     x, y = [], []
-    for t in texts:
-        for b in blocks(t):
-            if (k := _weak_label(b)) is not None:
-                x.append(features(b))
-                y.append(k)
-    w = np.zeros(_FEATURES)
-    w[0] = 0.5
-    if not x or len(set(y)) < 2:
-        return w
-    a, z = np.array(x), np.array(y, float)
+    for bs, labels in planted(texts, pages):
+        if bs:
+            known = [i for i, k in enumerate(labels) if k is not None]
+            x.append(features(bs)[known])
+            y += [labels[i] for i in known]
+    a, z = np.concatenate(x), np.array(y, float)
     weight = np.where(z > 0, 0.5 / z.mean(), 0.5 / (1 - z).mean())
+    w = np.zeros(_FEATURES)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-a @ w))
-        w -= 1.0 * (a.T @ (weight * (p - z)) / len(z) + 1e-3 * w)
+        w -= 2.0 * (a.T @ (weight * (p - z)) / len(z) + 1e-4 * w)
     return w
 
 
@@ -419,26 +565,44 @@ def min_cut(content: list[float], boiler: list[float], edges: list[tuple[int, in
 
 
 def label(bs: list[Block], weights: np.ndarray) -> list[Block]:
-    """Mark each block as content (keep) or boilerplate by a minimum cut over the page."""
+    """Mark each block as content (keep) or boilerplate by a minimum cut over the page.
+
+    A block whose own preference outweighs all its edges keeps it in every minimum cut; max-flow runs over the others,
+    with their edges to decided blocks as terminal capacities.
+    """
     if not bs:
         return bs
-    p = 1 / (1 + np.exp(-np.array([features(b) for b in bs]) @ weights))
-    content, boiler = list(-np.log(np.maximum(1 - p, 1e-6))), list(-np.log(np.maximum(p, 1e-6)))
-    edges = []
-    last: dict[str, int] = {}
+    z = features(bs) @ weights
+    content, boiler = np.logaddexp(0, z), np.logaddexp(0, -z)  # -log(1 - p), -log(p)
+    edges: list[tuple[int, int, float]] = []
+    last: dict[int, int] = {}
+    tied = np.zeros(len(bs))
     for i, b in enumerate(bs):
-        if b.kind in ("heading", "list_item", "code", "formula") or b.formulas:
-            content[i] = _HARD  # a reader sees structure whatever its words are
-        elif b.kind in ("template", "table", "hidden", "link"):
-            boiler[i] = _HARD
         if i:
-            edges.append((i - 1, i, NEXT))
-        if b.inside:
-            if b.inside in last and last[b.inside] < i - 1:
-                edges.append((last[b.inside], i, SAME))
-            last[b.inside] = i
-    for b, k in zip(bs, min_cut(content, boiler, edges)):
+            edges.append((i - 1, i, NEXT if b.box == bs[i - 1].box else ACROSS))
+        if b.box:
+            if last.get(b.box, i) < i - 1:
+                edges.append((last[b.box], i, SAME))
+            last[b.box] = i
+    for u, v, c in edges:
+        tied[u] += c
+        tied[v] += c
+    sure = np.abs(content - boiler) > tied
+    for b, k in zip(bs, content > boiler):
         b.keep = bool(k)
+    if sure.all():
+        return bs
+    open_ = [i for i in range(len(bs)) if not sure[i]]
+    number = {i: k for k, i in enumerate(open_)}
+    c, o, inner = [float(content[i]) for i in open_], [float(boiler[i]) for i in open_], []
+    for u, v, w in edges:
+        if u in number and v in number:
+            inner.append((number[u], number[v], w))
+        elif u in number or v in number:
+            mine, other = (u, v) if u in number else (v, u)
+            (c if bs[other].keep else o)[number[mine]] += w
+    for i, k in zip(open_, min_cut(c, o, inner)):
+        bs[i].keep = bool(k)
     return bs
 
 
@@ -510,7 +674,7 @@ def _clean_rows(shared):
 
 
 def train_on(pages: DataFrame, key: str, text: str, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights fitted to at most `rows` pages of at most TRAIN_CHARS characters, chosen by a hash of their key."""
+    """Weights fitted with the words of at most `rows` pages of at most TRAIN_CHARS characters, chosen by a hash of their key."""
     some = pages.where(f"length({text}) between 1 and {TRAIN_CHARS}").select(key, text).orderBy(F.xxhash64(F.lit(42), F.col(key))).limit(rows)
     return train([r[1] for r in some.collect() if not is_redirect(r[1])])
 
@@ -520,6 +684,7 @@ def page_elements(pages: DataFrame, key: str, text: str, weights: np.ndarray | N
 
     What is inside code, commented out, literal or boilerplate is no element. Null, empty and blank texts and redirects
     have none; a page that is delivered twice counts once. Whole texts are read; only the training sample is bounded.
+    Headings and list items in templates, tables, scripts and page boxes are read too; the cut decides whether they count.
     """
     shared = pages.sparkSession.sparkContext.broadcast(train_on(pages, key, text) if weights is None else weights)
     return pages.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(_element_rows(shared), "key bigint, kind string, seq int").distinct()

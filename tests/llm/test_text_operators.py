@@ -1,7 +1,6 @@
 import random
 import unicodedata
 
-import numpy as np
 import pytest
 
 from factlake.llm import leakage, lookalike, markup as M, mojibake, tokens
@@ -55,7 +54,8 @@ def test_many_equal_texts(spark):
 
 # --- markup ---
 
-WEIGHTS = np.array([2.2, -1.0, 2.0, -1.3, 1.8, -2.0, 0.0, -2.3, -4.1])
+CORPUS = ["The lake covers 12 hectares between two old hills. A mill stands near the northern bridge since 1402.\n\nRecords kept by the abbey list four sites. The village lost its market after the great flood."] * 3
+WEIGHTS = M.train(CORPUS)
 
 
 def count(text):
@@ -181,6 +181,74 @@ def test_odd_pages(spark):
     assert got[2] is None and got[3] == "x" and "# One" in got[1] and "- a" in got[1] and "Infobox" not in got[1] and "'''" not in got[1]
 
 
+BOILERPLATE = """<nav><h3>Menu</h3><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav>
+{{Infobox mill
+| name = Old mill
+| parts =
+* wheel
+* [[stone]]
+}}
+
+== Lake ==
+The lake of Brudoge covers many fields and hills since the great flood.
+
+* The first mill stood here until the old bridge fell.
+* Second mill
+<script>x = '<h2>no</h2><li>no</li>';</script>
+{{Navbox
+== More lakes ==
+* [[Lake one]]
+* [[Lake two]]
+}}
+<footer><ul><li>© 2020 Lakes</li><li><a href="/c">Contact</a></li></ul></footer>
+"""
+
+
+def test_the_cut_decides():
+    """Headings and items in navigation, infoboxes, scripts and footers are read, and only the cut leaves them out."""
+    off = M.elements(M.blocks(BOILERPLATE))
+    assert sum(k == "heading" for k, _ in off) == 4 and sum(k == "list_item" for k, _ in off) == 11
+    assert count(BOILERPLATE) == {"heading": 1, "list_item": 2}
+    text = M.render(M.parse(BOILERPLATE, WEIGHTS))
+    assert text.split("\n")[0] == "# Lake" and "Brudoge" in text and not any(x in text for x in ("Menu", "Home", "wheel", "no", "Lake one", "Contact"))
+
+
+def test_held_out_pages():
+    """Pages with content and boilerplate in known places, from a seed that training hasn't seen."""
+    right, n, off = 0, 0, 0
+    for bs, labels in M.planted(CORPUS, 150, seed=99):
+        M.label(bs, WEIGHTS)
+        for b, k in zip(bs, labels):
+            if k is not None:
+                n += 1
+                right += b.keep == bool(k)
+                off += k
+    assert n > 1_500 and right / n > 0.98 and off / n < 0.8
+
+
+def test_labels_are_the_cheapest():
+    """Deciding the sure blocks first gives the same cost as the cut over all of them."""
+    rnd = random.Random(11)
+    for seed in range(40):
+        w = WEIGHTS * rnd.choice((0.05, 0.2, 1.0))  # small weights leave more to the edges
+        bs = M.planted(CORPUS, 1, seed=seed)[0][0][:14]
+        if len(bs) < 3:
+            continue
+        z = M.features(bs) @ w
+        content, boiler = [float(x) for x in M.np.logaddexp(0, z)], [float(x) for x in M.np.logaddexp(0, -z)]
+        edges, last = [], {}
+        for i, b in enumerate(bs):
+            if i:
+                edges.append((i - 1, i, M.NEXT if b.box == bs[i - 1].box else M.ACROSS))
+            if b.box:
+                if last.get(b.box, i) < i - 1:
+                    edges.append((last[b.box], i, M.SAME))
+                last[b.box] = i
+        M.label(bs, w)
+        cost = sum(o if b.keep else c for b, c, o in zip(bs, content, boiler)) + sum(c for u, v, c in edges if bs[u].keep != bs[v].keep)
+        assert abs(cost - brute_cut(content, boiler, edges)) < 1e-6
+
+
 def brute_cut(content, boiler, edges):
     best = None
     for bits in range(1 << len(content)):
