@@ -1,15 +1,17 @@
 """Garbled text from wrong character encoding.
 
 A multinomial classifier over hashed byte bigrams (of neighbours and of bytes two apart) is trained on clean records
-and on the same records garbled by every chain of CHAINS; it predicts the exact chain. A stretch counts as garbled if a
-chain is more likely than clean text over it and the inverted chain decodes strictly into more likely clean text.
+and on the same records garbled by every chain; it predicts the exact chain. A stretch counts as garbled if a chain is
+more likely than clean text over it and the inverted chain decodes strictly into more likely clean text. Chains that
+replace bytes they can't read (LOSSY) are classes too; what they leave is found, but nothing inverts them. A text is
+judged again after each repair, until nothing garbled is left in it, so stretches of several chains are all put right.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -38,11 +40,20 @@ CHAINS = {
     "sjis-cp1252": [("shift_jis", "cp1252")],
     "eucjp-cp1252": [("euc_jp", "cp1252")],
 }
+#: Chains that put replacement characters for bytes they can't read.
+LOSSY = {
+    "cp1252-utf8-lost": ("cp1252", "utf-8"),
+    "cp1251-utf8-lost": ("cp1251", "utf-8"),
+    "cp1253-utf8-lost": ("cp1253", "utf-8"),
+    "koi8-utf8-lost": ("koi8-r", "utf-8"),
+    "sjis-utf8-lost": ("shift_jis", "utf-8"),
+    "eucjp-utf8-lost": ("euc_jp", "utf-8"),
+    "utf8-ascii-lost": ("utf-8", "ascii"),
+}
 _MANY_BYTES = ("utf-8", "shift_jis", "euc_jp")
-#: What no chain can bring back: bytes that were replaced when they were read.
-LOST = "lost"
-#: Rows of the training sample and the most characters of one of them; log-likelihood by which a chain must win.
-TRAIN_ROWS, TRAIN_CHARS, MARGIN = 3_000, 4_000, 8.0
+#: Rows of the training sample, the most characters of one of them, and its different stretches that are garbled for each
+#: chain; log-likelihood by which a chain must win.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_WORDS, MARGIN = 3_000, 4_000, 25_000, 8.0
 _BUCKETS = 1 << 17
 _ALPHA = 0.02
 _UNIT = re.compile(r"[　-鿿가-힯＀-￯]+|[^\x00-\x20　-鿿가-힯＀-￯]+")
@@ -66,6 +77,9 @@ def _bytes_of(encoding: str) -> tuple[str, dict[str, int]]:
 
 def garble(text: str, chain: str) -> str:
     """What a text becomes; characters that can't be written are left out."""
+    if chain in LOSSY:
+        written, read = LOSSY[chain]
+        return text.encode(written, "ignore").decode(read, "replace")
     for written, read in CHAINS[chain]:
         chars = _bytes_of(read)[0]
         text = "".join([chars[b] for b in text.encode(written, "ignore")])
@@ -74,6 +88,8 @@ def garble(text: str, chain: str) -> str:
 
 def restore(text: str, chain: str) -> str | None:
     """The text before the chain, or None if it can't be what the chain left (strict in both steps)."""
+    if chain in LOSSY:
+        return None
     for written, read in reversed(CHAINS[chain]):
         back = _bytes_of(read)[1]
         try:
@@ -153,22 +169,35 @@ class Classifier:
     pairs: the pairs of neighbouring letters, one at least beyond ASCII, that clean text has.
     """
 
+    #: Stretches whose scores a model remembers; beyond this number it forgets them all.
+    KNOWN = 100_000
+
     def __init__(self, names: list[str], weights: np.ndarray, pairs: set[str]):
         self.names, self.weights, self.pairs = names, weights, pairs
+        self._best = (weights[:, 1:] - weights[:, :1]).max(1)  # what one feature can speak for any chain
+        self._known: dict[str, bool] = {}
+
+    def __getstate__(self):
+        return self.names, self.weights, self.pairs
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     @classmethod
     def train(cls, texts: list[str], rounds: int = 2) -> Classifier:
         """Fit to clean texts; those that the first model clearly takes for garbled are left out of the next."""
-        names = list(CHAINS)
+        names = [*CHAINS, *LOSSY]
         index: dict[str, int] = {}
         of = [np.array([index.setdefault(t[a:b], len(index)) for a, b in units(t)], np.int64) for t in texts]
         words = list(index)
         shown: list[tuple[np.ndarray, np.ndarray]] = []
+        sample = [words[i] for i in range(0, len(words), len(words) // TRAIN_WORDS + 1)]
+        sampled = range(0, len(words), len(words) // TRAIN_WORDS + 1)
         for chain in (None, *names):
             some = range(len(words))
             forms = words
             if chain:
-                made = [(i, g) for i, u in enumerate(words) if (g := garble(u, chain)) != u and restore(g, chain) == u]
+                made = [(i, g) for i, u in zip(sampled, sample) if (g := garble(u, chain)) != u and ("\ufffd" in g if chain in LOSSY else restore(g, chain) == u)]
                 some, forms = [i for i, _ in made], [g for _, g in made]
             pieces = [p.encode("utf-8", "surrogatepass") for p in forms]
             f = _features(pieces)[0].astype(np.int32) if pieces else np.zeros(0, np.int32)
@@ -185,7 +214,8 @@ class Classifier:
             w[:, 1:][:, counts[:, 1:].sum(0) == 0] = -30.0  # chains that the sample can't show
             pairs = Counter(p for i, u in enumerate(words) for p in set(_pairs(u)) for _ in range(min(2, int(n[i]))))
             model = cls(names, w, {p for p, k in pairs.items() if k > 1})
-            keep = [k for k in keep if model.judge_one(texts[k], 2 * MARGIN) is None]
+            model.learn(words)
+            keep = [k for k in keep if model.repair(texts[k], 2 * MARGIN) is None]
         return model
 
     def sound(self, text: str) -> bool:
@@ -195,36 +225,59 @@ class Classifier:
 
     def scores(self, pieces: list[str]) -> np.ndarray:
         """Log-likelihood of each piece under each class."""
+        return self._sums(pieces, self.weights)
+
+    def _sums(self, pieces: list[str], table: np.ndarray) -> np.ndarray:
         out, group, size = [], [], 0
         for i, p in enumerate(pieces):
             group.append(p.encode("utf-8", "surrogatepass"))
             size += len(group[-1])
             if size > _CHUNK or i == len(pieces) - 1:
                 f, starts = _features(group)
-                out.append(np.add.reduceat(self.weights[f], starts, axis=0, dtype=np.float64))
+                out.append(np.add.reduceat(table[f], starts, axis=0, dtype=np.float64))
                 group, size = [], 0
-        return np.concatenate(out) if out else np.zeros((0, len(self.names) + 1))
-
-    def judge(self, text: str, spans: list[tuple[int, int]], scores: np.ndarray, margin: float = MARGIN) -> tuple[str, int, int, str] | None:
-        """(chain, start, end, restored text) of the most likely garbled stretch of a text, or None."""
+        return np.concatenate(out) if out else np.zeros((0, *table.shape[1:]))
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Tell which pieces are likelier under a chain than as clean text; each different one is scored once.
+
+        The sum of what each feature can speak for any chain bounds what they speak for one; most pieces are clean by it.
+        """
+        new = list({p for p in pieces if p not in self._known})
+        if len(self._known) + len(new) > self.KNOWN:
+            self._known.clear()
+            new = list(set(pieces))
+        self._known.update(dict.fromkeys(new, False))
+        some = [p for p, x in zip(new, self._sums(new, self._best)) if x > 0]
+        s = self.scores(some)
+        self._known.update((p, True) for p, x in zip(some, s) if x[1:].max() > x[0])
+
+    def judge(self, text: str, spans: list[tuple[int, int]], margin: float = MARGIN) -> tuple[str, int, int, dict[int, str]] | None:
+        """(chain, first span, last span, restored spans by number) of the most likely garbled stretch of a text, or None.
+
+        No span is restored where the chain is one of LOSSY.
+        """
+        scores = self.scores([text[a:b] for a, b in spans])
         gain = scores[:, 1:] - scores[:, :1]
         best = None
         for c in np.argsort(-gain.max(0)):
             if gain[:, c].max() <= 0 or np.maximum(gain[:, c], 0).sum() < margin:
                 continue
             chain, v = self.names[c], gain[:, c].copy()
-            plus = np.nonzero(v > 0)[0]
-            back = {i: restore(text[spans[i][0] : spans[i][1]], chain) for i in plus}
-            one_byte = CHAINS[chain][0][0] not in _MANY_BYTES
-            if one_byte:  # any bytes decode, so the outcome must look like text
-                back = {i: u if u is not None and self.sound(u) else None for i, u in back.items()}
-            known = [i for i in plus if back[i] is not None]
-            v[[i for i in plus if back[i] is None]] = -1.0
-            if known:
-                better = self.scores([back[i] for i in known])[:, 0] - scores[known, 0]
-                v[known] = np.where(better < 1.0, -1.0, np.minimum(v[known], better))
-            if one_byte and not any(v[i] > 0 and any(len(w) > 1 and not w.isascii() for w in _WORD.findall(back[i])) for i in known):
-                continue
+            back: dict[int, str] = {}
+            if chain not in LOSSY:
+                plus = np.nonzero(v > 0)[0]
+                found = {i: restore(text[spans[i][0] : spans[i][1]], chain) for i in plus}
+                one_byte = CHAINS[chain][0][0] not in _MANY_BYTES
+                # where any bytes decode, the outcome must look like text
+                back = {i: u for i, u in found.items() if u is not None and (not one_byte or self.sound(u))}
+                known = list(back)
+                v[[i for i in plus if i not in back]] = -1.0
+                if known:
+                    better = self.scores([back[i] for i in known])[:, 0] - scores[known, 0]
+                    v[known] = np.where(better < 1.0, -1.0, np.minimum(v[known], better))
+                if one_byte and not any(v[i] > 0 and any(len(w) > 1 and not w.isascii() for w in _WORD.findall(back[i])) for i in known):
+                    continue
             total, start, top = 0.0, 0, (0.0, 0, 0)
             for i, x in enumerate(v):
                 if total <= 0:
@@ -233,47 +286,49 @@ class Classifier:
                 if total > top[0]:
                     top = (total, start, i)
             if top[0] >= margin and (best is None or top[0] > best[0]):
-                best = (top[0], chain, top[1], top[2], back)
-        if best is None:
-            return None
-        _, chain, i, j, back = best
-        a, b, out, at = spans[i][0], spans[j][1], [], 0
-        for k, (x, y) in enumerate(spans):
-            if k in back and back[k] is not None and i <= k <= j:
-                out += [text[at:x], back[k]]
-                at = y
-        return chain, a, b, "".join(out) + text[at:]
-
-    def judge_many(self, docs: list[tuple[int, str]]) -> list[tuple]:
-        """(doc, chain, start, end, restored text) of the garbled ones among (doc, text)."""
-        rows = []
+                best = (top[0], chain, top[1], top[2], {k: u for k, u in back.items() if top[1] <= k <= top[2]})
+        return best and best[1:]
+
+    def repair(self, text: str, margin: float = MARGIN) -> tuple[str, int, int, str | None, bool] | None:
+        """(chains, start, stop, restored, complete) of a text with a garbled stretch, else None.
+
+        The text is judged again after each repair: what is likelier as clean text by then only grows, so this ends. start and
+        stop are the places of the first stretch found. restored is None if nothing could be put right; complete is False
+        if some stretch has lost bytes.
+        """
+        chains: list[str] = []
+        place, lost, now = None, set(), text
         for split in (False, True):
-            spans = [units(t, split) for _, t in docs]
-            s, at, rest = self.scores([t[a:b] for (_, t), own in zip(docs, spans) for a, b in own]), 0, []
-            for (doc, text), own in zip(docs, spans):
-                part = s[at : at + len(own)]
-                at += len(own)
-                hit = self.judge(text, own, part) if len(own) and (part[:, 1:].max(1) > part[:, 0]).any() else None
-                if hit:
-                    rows.append((doc, *hit))
-                elif not split and _QUOTES.search(text):
-                    rest.append((doc, text))
-            docs = rest
-        return rows
-
-    def judge_one(self, text: str, margin: float = MARGIN) -> tuple[str, int, int, str | None] | None:
-        if "\ufffd" in text:
-            i = text.index("\ufffd")
-            return LOST, i, text.rindex("\ufffd") + 1, None
-        for split in (False, True):
-            spans = units(text, split)
-            if spans and (hit := self.judge(text, spans, self.scores([text[a:b] for a, b in spans]), margin)):
-                return hit
-        return None
+            if split and not _QUOTES.search(now):
+                break
+            while True:
+                spans = [(a, b) for a, b in units(now, split) if now[a:b] not in lost]
+                self.learn([now[a:b] for a, b in spans])
+                if not any(self._known[now[a:b]] for a, b in spans) or not (hit := self.judge(now, spans, margin)):
+                    break
+                chain, i, j, back = hit
+                place = place or (spans[i][0], spans[j][1])
+                if chain not in chains:
+                    chains.append(chain)
+                if chain in LOSSY:
+                    lost.update(now[a:b] for a, b in spans[i : j + 1])
+                    continue
+                out, at = [], 0
+                for k in sorted(back):
+                    out += [now[at : spans[k][0]], back[k]]
+                    at = spans[k][1]
+                now = "".join(out) + now[at:]
+        return place and ("+".join(chains), *place, now if now != text else None, not lost)
+
+    def repair_many(self, docs: list[tuple[int, str]]) -> list[tuple]:
+        """(doc, chains, start, stop, restored, complete) of the garbled ones among (doc, text)."""
+        own = [{t[a:b] for a, b in units(t)} | ({t[a:b] for a, b in units(t, True)} if _QUOTES.search(t) else set()) for _, t in docs]
+        self.learn(set().union(*own))
+        return [(doc, *hit) for (doc, t), pieces in zip(docs, own) if any(map(self._known.get, pieces)) and (hit := self.repair(t))]
 
 
-OUT = "doc bigint, chain string, start int, stop int, restored string"
-_ARROW = pa.schema([("doc", pa.int64()), ("chain", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("restored", pa.string())])
+OUT = "doc bigint, chain string, start int, stop int, restored string, complete boolean"
+_ARROW = pa.schema([("doc", pa.int64()), ("chain", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("restored", pa.string()), ("complete", pa.bool_())])
 
 
 def _finder(shared):
@@ -284,15 +339,12 @@ def _finder(shared):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or text.isascii():
                     continue
-                if "\ufffd" in text:
-                    rows.append((doc, LOST, text.index("\ufffd"), text.rindex("\ufffd") + 1, None))
-                    continue
                 docs.append((doc, text))
                 size += len(text)
                 if size > 1_000_000:
-                    rows += model.judge_many(docs)
+                    rows += model.repair_many(docs)
                     docs, size = [], 0
-            rows += model.judge_many(docs)
+            rows += model.repair_many(docs)
             cols = list(zip(*rows)) or [[]] * len(_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _ARROW.types)], schema=_ARROW)
 
@@ -306,11 +358,12 @@ def train_on(docs: DataFrame, doc: str, text: str, rows: int = TRAIN_ROWS) -> Cl
 
 
 def garbled(docs: DataFrame, doc: str, text: str, model: Classifier | None = None) -> DataFrame:
-    """(doc, chain, start, stop, restored) of every text with a garbled stretch.
+    """(doc, chain, start, stop, restored, complete) of every text with a garbled stretch.
 
-    restored is the whole text with the stretch put right, null where the bytes are lost (replacement characters). Null,
-    empty and ASCII texts give nothing; repeated rows give a row each. Whole texts are judged; only the training sample is
-    bounded (TRAIN_ROWS). The model is one table of 2^17 rows and is broadcast. Other columns are ignored.
+    restored is the whole text with all that can be put right, null where nothing can; complete is false where bytes are
+    lost (replacement characters). Several chains are joined by `+`. Null, empty and ASCII texts give nothing; repeated
+    rows give a row each. Whole texts are judged; only the training sample is bounded (TRAIN_ROWS). The model is one table
+    of 2^17 rows and is broadcast; pass one in to train once for many calls. Other columns are ignored.
     """
     model = model or train_on(docs, doc, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

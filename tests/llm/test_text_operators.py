@@ -387,7 +387,7 @@ def test_held_out(model):
     """Held-out records: clean ones stay, garbled ones are found and restored."""
     rnd = random.Random(8)
     clean = sentences(rnd, 200)
-    assert sum(model.judge_one(t) is not None for t in clean) == 0
+    assert sum(model.repair(t) is not None for t in clean) == 0
     tried = right = 0
     for t in clean:
         for chain in ("utf8-cp1252", "utf8-latin1", "utf8-cp1252-twice", "utf8-cp437", "utf8-mac", "cp1252-cp437", "cp1252-mac", "koi8-cp1251", "cp1251-cp1252", "eucjp-cp1252"):
@@ -395,12 +395,37 @@ def test_held_out(model):
             g = mojibake.garble(part, chain)
             if g == part or mojibake.restore(g, chain) != part or sum(not c.isascii() for c in part) < 3:
                 continue
-            hit = model.judge_one("Clean words. " + g)
+            hit = model.repair("Clean words. " + g)
             tried += 1
             right += hit is not None and hit[3] == "Clean words. " + part
     assert tried > 300 and right / tried > 0.95
 
 
+def test_several_chains(model):
+    """Stretches of different chains, twice garbled ones and lost bytes in one text: all that can be is put right."""
+    a, b, c = "Brüdogé covers Köziná", "La commune de Zuféla à Pâlonê", "гавань около Тонипело"
+    t = f"{mojibake.garble(a, 'utf8-cp1252')} and {mojibake.garble(b, 'utf8-mac')}; {mojibake.garble(c, 'utf8-cp1252-twice')}."
+    chains, start, stop, restored, complete = model.repair(t)
+    assert restored == f"{a} and {b}; {c}." and complete and len(chains.split("+")) > 1
+    lost = mojibake.garble("Zuféla à Pâlonê Drîbu", "cp1252-utf8-lost")
+    chains, start, stop, restored, complete = model.repair(f"{lost} and {mojibake.garble(a, 'utf8-cp1252')}")
+    assert restored == f"{lost} and {a}" and not complete and "lost" in chains
+
+
+def test_restored_records(model):
+    """Share of held-out records, garbled whole, that come back exactly; and what the test of regular text is for."""
+    rnd = random.Random(21)
+    tried = right = 0
+    for t in sentences(rnd, 150):
+        for chain in mojibake.CHAINS:
+            g = mojibake.garble(t, chain)
+            if g != t and mojibake.restore(g, chain) == t and sum(not c.isascii() for c in t) > 3:
+                hit = model.repair(g)
+                tried += 1
+                right += hit is not None and hit[3] == t and hit[4]
+    assert tried > 500 and right / tried > 0.9
+
+
 def test_garbled_rows(spark, model):
     bad = mojibake.garble("Brüdogé covers Köziná", "utf8-cp1252")
     data = [(1, "plain"), (2, None), (3, ""), (4, bad), (4, bad), (5, "lost � byte"), (6, "x " * 100_000 + bad), (7, "Ã and Â stand alone, £4, ½")]
