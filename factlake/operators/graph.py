@@ -6,7 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.session import cut_observed, drop_cut
+from factlake.operators.skew import SALTS, hot_hashes, salted_join
+from factlake.session import cut, cut_observed, drop_cut
 
 
 def claims_of(claims: DataFrame, heads: DataFrame | None = None, prop: str | None = None) -> DataFrame:
@@ -35,31 +36,43 @@ AND, OR, NOT = "and", "or", "not"
 def boolean_search(claims: DataFrame, statements: list[tuple[str, str | None, str]], order: str = "size", missing: str = "ignore") -> DataFrame:
     """(head) of the heads that fulfil the statements (operator, property or None for any, tail).
 
-    A left fold: the first posting seeds the result whatever its operator; then `and` intersects, `or` adds, `not` takes
+    One pass: claims that any statement names are pushed down to the scan and grouped by head; sizes are observed while the
+    heads are written. A left fold: the first posting seeds the result whatever its operator; then `and` intersects, `or` adds, `not` takes
     away. order='size' sorts the statements by the size of their posting first (ties as declared), 'declared' keeps
     them. missing: a statement without postings is left out ('ignore') or empty ('empty'). No statements give no rows.
     """
-    if order == "size" or missing == "ignore":
-        wanted = claims.sparkSession.createDataFrame([(i, p, t) for i, (_, p, t) in enumerate(statements)], "i int, p string, tail string")
-        hits = claims.join(F.broadcast(wanted), "tail").where("p is null or p = prop")
-        sizes = {r[0]: r[1] for r in hits.groupBy("i").agg(F.countDistinct("head")).collect()}  # a row a statement
-    else:
-        sizes = {}
-    todo = list(enumerate(statements))
+    asked = [(F.col("tail") == t) & (F.lit(True) if p is None else F.col("prop") == p) for _, p, t in statements]
+    if not asked:
+        return claims.select("head").where(F.lit(False))
+    any_of = asked[0]
+    for a in asked[1:]:
+        any_of = any_of | a
+    number = F.explode(F.filter(F.array(*[F.when(a, F.lit(i)) for i, a in enumerate(asked)]), lambda x: x.isNotNull())).alias("i")
+    per_head = claims.where(any_of & F.col("head").isNotNull()).select("head", number).groupBy("head").agg(F.collect_set("i").alias("has"))
+    fulfils = [F.array_contains("has", i) for i in range(len(asked))]
+    heads, sizes = cut_observed(per_head, **{f"s{i}": F.count(F.when(x, 1)) for i, x in enumerate(fulfils)})
+    todo = list(range(len(statements)))
     if missing == "ignore":
-        todo = [x for x in todo if sizes.get(x[0])]
+        todo = [i for i in todo if sizes[f"s{i}"]]
     if order == "size":
-        todo.sort(key=lambda x: sizes.get(x[0], 0))
-    out = None
-    for _, (op, prop, tail) in todo:
-        p = posting(claims, tail, prop)
-        if out is None:
-            out = p
-        elif op == OR:
-            out = out.union(p).distinct()
-        else:
-            out = out.join(p, "head", "left_anti" if op == NOT else "left_semi")
-    return out if out is not None else claims.select("head").where(F.lit(False))
+        todo.sort(key=lambda i: sizes[f"s{i}"])
+    holds = None
+    for i in todo:
+        op = statements[i][0]
+        holds = fulfils[i] if holds is None else holds | fulfils[i] if op == OR else holds & ~fulfils[i] if op == NOT else holds & fulfils[i]
+    return heads.where(F.lit(False) if holds is None else holds).select("head")
+
+
+def preview(heads: DataFrame, labels: DataFrame, statements: list[tuple[str, str | None, str]], k: int = 3) -> DataFrame:
+    """(line, id, label): the statements of a search with the labels of what they name, then its first k heads by id."""
+    spark = heads.sparkSession
+    asked = spark.createDataFrame([(i, op, p, t) for i, (op, p, t) in enumerate(statements)], "i int, op string, prop string, tail string")
+    main = labels.select("id", "label").groupBy("id").agg(F.min("label").alias("label"))
+    names = lambda c: main.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    q = asked.join(names("prop"), "prop", "left").join(names("tail"), "tail", "left")
+    text = F.concat(F.col("op"), F.when(F.col("prop").isNotNull(), F.concat(F.lit(" "), "prop", F.lit("["), F.coalesce("prop_label", F.lit("")), F.lit("]"))).otherwise(""), F.lit(" - "), "tail", F.lit("["), F.coalesce("tail_label", F.lit("")), F.lit("]"))
+    first = heads.select(F.col("head").alias("id")).orderBy("id").limit(k).join(main, "id", "left")
+    return q.select(text.alias("line"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("label")).unionByName(first.select(F.lit("answer").alias("line"), "id", "label"))
 
 
 def types_in_use(claims: DataFrame) -> DataFrame:
@@ -68,20 +81,22 @@ def types_in_use(claims: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, max_steps: int = 40) -> DataFrame:
-    """(src, dst): everything that can be reached from a node by one or more edges, by squaring: log2(depth) joins.
+    """(src, dst): everything that can be reached from a node by one or more edges, by doubling: log2(depth) joins.
 
-    Cycles are safe: pairs are distinct, and it ends when no pair is new. Rows with a null are left out.
+    A pair at a distance beyond 2^k is made of one at a distance of just 2^k, which the last step has found, and a nearer
+    one; so each step joins the last step's new pairs with all there are, and writes only new ones. Cycles are safe: it
+    ends when no pair is new. Pairs at much frequented nodes are spread over tasks. Rows with a null are left out.
     """
     size = F.count(F.lit(1))
-    r, seen = cut_observed(edges.select("src", "dst").dropna().distinct(), n=size)
+    fresh, seen = cut_observed(edges.select("src", "dst").dropna().distinct(), n=size)
+    every, hot = fresh, hot_hashes(fresh, ["dst"])
     for _ in range(max_steps):
-        a, b = r.select("src", F.col("dst").alias("mid")), r.select(F.col("src").alias("mid"), "dst")
-        before = seen["n"]
-        more, seen = cut_observed(r.unionByName(a.join(b, "mid").select("src", "dst")).distinct(), n=size)
-        drop_cut(r)
-        r = more
-        if seen["n"] == before:
-            return r
+        if not seen["n"]:
+            return every
+        a, b = fresh.select("src", F.col("dst").alias("mid")), every.select(F.col("src").alias("mid"), "dst")
+        more = salted_join(a, b, ["mid"], "inner", hot).select("src", "dst").distinct()
+        fresh, seen = cut_observed(more.join(every.hint("merge"), ["src", "dst"], "left_anti"), n=size)
+        every = every.unionByName(fresh)
     raise RuntimeError(f"not closed after {max_steps} steps")
 
 
@@ -102,30 +117,47 @@ def edge_weights(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").cast("bigint").alias("w"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = None, tol: float = 1e-6, reverse: bool = True, max_iter: int = 1000) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = None, tol: float = 1e-6, reverse: bool = True, max_iter: int = 1000, personal: DataFrame | None = None) -> DataFrame:
     """(id, score) of weighted edges (src, dst, w); scores sum to 1.
 
-    x <- alpha * A'D^-1 x + the rest evenly, from x = 1; ends when the 2-norm of the change is at most tol, or after
-    `iterations` steps. reverse: rank flows from dst to src. Edges are laid out by source once; each step shuffles only
-    scores, and writes them to the shared folder.
+    x <- alpha * A'D^-1 x + the rest by s, from x = s; ends when the 2-norm of the change is at most tol, or after
+    `iterations` steps. s is even, or as `personal` (id, weight) says, where nodes not listed have none. reverse: rank
+    flows from dst to src. Edges are laid out by source once, those of hot sources by target too; each step shuffles
+    scores and what they give, in one shuffle each, and writes the scores to the shared folder.
     """
-    e = edges.select(F.col("dst" if reverse else "src").alias("src"), F.col("src" if reverse else "dst").alias("dst"), "w")
+    given = cut(edges.select(F.col("dst" if reverse else "src").alias("src"), F.col("src" if reverse else "dst").alias("dst"), "w"))
+    e = given
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
-    e = e.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    hot = hot_hashes(e, ["src"])
+    is_hot = lambda c: F.xxhash64(c).isin(hot) if hot else F.lit(False)
+    salt = F.when(is_hot("src"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    e = salted_join(e, out, ["src"], "inner", hot).select("src", salt.alias("salt"), "dst", (F.col("w") / F.col("total")).alias("share")).repartition("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    gives = out.select(F.col("src").alias("id"), F.lit(True).alias("gives"))
+    first = gives.unionByName(e.select(F.col("dst").alias("id"), F.lit(False).alias("gives"))).groupBy("id").agg(F.max("gives").alias("gives"))
+    if personal is None:
+        first = first.withColumn("s", F.lit(1.0))
+    else:
+        p = personal.groupBy("id").agg(F.sum("weight").cast("double").alias("s"))
+        first = first.join(p, "id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     lost = F.sum(F.when(~F.col("gives"), F.col("score")))
-    first = nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left").select("id", F.lit(1.0).alias("score"), F.coalesce("gives", F.lit(False)).alias("gives"))
-    x, seen = cut_observed(first, n=F.count(F.lit(1)), dangling=lost)
-    n = seen["n"] or 0
+    x, seen = cut_observed(first.withColumn("score", F.col("s")), n=F.count(F.lit(1)), total=F.sum("s"), dangling=lost)
+    n, scale = seen["n"] or 0, (seen["total"] or 0.0) / (seen["n"] or 1)
+    if n and not scale:
+        raise ValueError("no weight in personal belongs to a node")
     for _ in range(iterations or max_iter):
-        dangling = seen["dangling"] or 0.0
+        dangling = (seen["dangling"] or 0.0) / (scale or 1.0)
         rest = ((1 - alpha) * (n - dangling) + dangling) / n if n else 0.0
-        got = e.join(x.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        step = x.select("id", "gives", F.col("score").alias("was")).join(got, "id", "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + rest).alias("score"), "gives", "was")
-        new, seen = cut_observed(step, dangling=lost, change=F.sum(F.pow(F.col("score") - F.col("was"), 2)))
+        send = x.select(F.col("id").alias("src"), "score", F.explode(F.when(is_hot("id"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+        none = F.lit(None)
+        got = e.join(send.hint("shuffle_hash"), ["src", "salt"]).select(F.col("dst").alias("id"), none.cast("boolean").alias("gives"), none.cast("double").alias("s"), none.cast("double").alias("was"), (F.col("share") * F.col("score")).alias("got"))
+        own = x.select("id", "gives", "s", F.col("score").alias("was"), none.cast("double").alias("got"))
+        both = own.unionByName(got).groupBy("id").agg(F.max("gives").alias("gives"), F.max("s").alias("s"), F.max("was").alias("was"), F.sum("got").alias("got"))
+        step = both.select("id", "gives", "s", (alpha * F.coalesce("got", F.lit(0.0)) + rest * F.col("s")).alias("score"), "was")
+        new, seen = cut_observed(step, dangling=lost, change=F.sum(F.pow((F.col("score") - F.col("was")) / (scale or 1.0), 2)))
         drop_cut(x)
         x = new
         if iterations is None and (seen["change"] or 0.0) ** 0.5 <= tol:
             break
     e.unpersist()
-    return x.select("id", (F.col("score") / n).alias("score"))
+    drop_cut(given)
+    return x.select("id", (F.col("score") / (n * scale or 1.0)).alias("score"))

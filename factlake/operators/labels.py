@@ -3,38 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.ids import ENTITY_ID
 from factlake.functions.similarity import sim_ratio
-from factlake.functions.text import delete_edits, norm_text, squeeze
+from factlake.functions.text import delete_edits, is_ascii, norm_text, squeeze
 from factlake.operators.mapping import build_dictionary
+from factlake.operators.ranking import rank_to_p
+from factlake.operators.skew import salted_join
+from factlake.session import cut, drop_cut
 
 #: Entities kept of each kind in a label's ranking; hits kept of a full-text match. Both are features of the search.
 TOP_RANK, TOP_HITS = 1000, 1000
 
 
-def normal_forms(label: Column, compose: bool = True) -> Column:
+def normal_forms(label: Column) -> Column:
     """The two normal forms of a label, with punctuation and without, different ones only."""
-    return F.array_distinct(F.array(norm_text(label, False, compose=compose), norm_text(label, True, compose=compose)))
+    return F.array_distinct(F.array(norm_text(label, False), norm_text(label, True)))
 
 
-def vocabulary(labels: DataFrame, compose: bool = True) -> DataFrame:
+def vocabulary(labels: DataFrame) -> DataFrame:
     """(id, scope, label): distinct normal forms of (id, scope, label). Null, empty and id-like labels are left out."""
     v = labels.where(F.col("label").isNotNull() & ~F.col("label").rlike(ENTITY_ID))
-    return v.select("id", "scope", F.explode(normal_forms(F.col("label"), compose)).alias("label")).where("label <> ''").distinct()
+    return v.select("id", "scope", F.explode(normal_forms(F.col("label"))).alias("label")).where("label <> ''").distinct()
 
 
 def label_ids(vocab: DataFrame) -> DataFrame:
     return build_dictionary(vocab, "label").select(F.col("id").alias("label"), F.col("lid").alias("label_id"))
 
 
-def lookup(queries: DataFrame, ids: DataFrame, compose: bool = True) -> DataFrame:
+def lookup(queries: DataFrame, ids: DataFrame) -> DataFrame:
     """(text, label_id): the id of the first normal form of each text that the vocabulary has."""
-    q = queries.select("text").distinct().select("text", F.posexplode(normal_forms(F.col("text"), compose)).alias("i", "label"))
+    q = queries.select("text").distinct().select("text", F.posexplode(normal_forms(F.col("text"))).alias("i", "label"))
     return q.join(ids, "label").groupBy("text").agg(F.min_by("label_id", "i").alias("label_id"))
 
 
@@ -48,15 +52,19 @@ def label_ranking(vocab: DataFrame, scores: DataFrame, types: DataFrame, k: int
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def deletes_of(words: DataFrame, col: str, distance: int, prefix: int) -> DataFrame:
-    """Rows of `words` times the delete edits of `col` (column del); null and empty words have none."""
+def edits_of(words: DataFrame, col: str, distance: int, prefix: int) -> DataFrame:
+    """Rows of `words` with the sorted delete edits of `col` as an array (column dels); null and empty words have none."""
 
     def edits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda w: sorted(delete_edits(w, distance, prefix)) if w else [])
 
-    udf = F.pandas_udf(edits, "array<string>")
-    return words.withColumn("del", F.explode(udf(F.col(col))))
+    return words.withColumn("dels", F.pandas_udf(edits, "array<string>")(F.col(col)))
+
+
+def deletes_of(words: DataFrame, col: str, distance: int, prefix: int) -> DataFrame:
+    """Rows of `words` times the delete edits of `col` (column del)."""
+    return edits_of(words, col, distance, prefix).withColumn("del", F.explode("dels")).drop("dels")
 
 
 def delete_index(labels: DataFrame, distance: int = 2, prefix: int = 10) -> DataFrame:
@@ -66,9 +74,13 @@ def delete_index(labels: DataFrame, distance: int = 2, prefix: int = 10) -> Data
 
 
 def fuzzy(queries: DataFrame, index: DataFrame, distance: int = 2, prefix: int = 10) -> DataFrame:
-    """(text, label, score): labels within `distance` edits of the text, score 1 - edits / longer length."""
+    """(text, label, score): labels within `distance` edits of the text, score 1 - edits / longer length.
+
+    Candidates share a delete edit of their prefixes; index must be made with the same distance and prefix. Texts without
+    any letter in common don't meet. Edits that many labels have are spread over tasks.
+    """
     q = deletes_of(queries.select("text").distinct(), "text", distance, prefix)
-    c = q.join(index, "del").select("text", "label").distinct()
+    c = salted_join(index, q, ["del"], "inner").select("text", "label").distinct()
     e = c.withColumn("e", F.levenshtein("text", "label", distance)).where("e >= 0")
     return e.select("text", "label", (1 - F.col("e") / F.greatest(F.length("text"), F.length("label"))).alias("score"))
 
@@ -77,41 +89,115 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, k: int = TOP_HITS) -> DataFrame:
-    """(query, doc, score): the k best docs (doc, text) of each query (query, text), scaled to 0..1 in the query (all equal: 1).
+@dataclass(frozen=True)
+class SearchIndex:
+    """A full-text index as a table: postings (term, doc, tf, len, df), laid out by term; docs and mean length are counted."""
 
-    Only postings of the queries' terms leave the scan of the documents; counts cover all documents.
+    postings: DataFrame
+    n_docs: int
+    mean_len: float
+
+    def lookup(self, terms_: DataFrame) -> DataFrame:
+        """Postings of the terms asked for (column term)."""
+        return self.postings.join(terms_.select("term").distinct(), "term", "left_semi")
+
+
+def build_index(docs: DataFrame, path: str | None = None) -> SearchIndex:
+    """Index docs (doc, text) once for many searches; null and empty texts are not in it.
+
+    path: where to keep it for open_index(); otherwise it is written to the shared folder. Rows are laid out by range of
+    term and sorted, so that a search skips files and row groups of other terms.
     """
-    q = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     d = docs.where(F.col("text").isNotNull()).select("doc", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    size = F.broadcast(d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean")).withColumn("_one", F.lit(1)))
-    wanted = q.select("term").distinct()
-    tf = d.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(d.select("doc", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n, total = tf.groupBy("doc", "len").count().agg(F.count(F.lit(1)), F.sum("len")).first()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = tf.join(df, "term").withColumn("_one", F.lit(1)).join(size, "_one")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = s.select("doc", "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("s"))
-    hits = s.join(q, "term").groupBy("query", "doc").agg(F.sum("s").alias("raw"))
+    laid = salted_join(tf, df, ["term"], "inner").select("term", "doc", "tf", "len", "df").repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
+    laid = laid.withColumn("n_docs", F.lit(n)).withColumn("mean_len", F.lit((total or 0) / n if n else 0.0))
+    if path:
+        laid.write.mode("overwrite").parquet(path)
+        postings = docs.sparkSession.read.schema(laid.schema).parquet(path)
+    else:
+        postings = cut(laid)
+    drop_cut(tf)
+    return SearchIndex(postings, n, (total or 0) / n if n else 0.0)
+
+
+def open_index(spark: SparkSession, path: str) -> SearchIndex:
+    """The index that build_index kept at path."""
+    postings = spark.read.parquet(path)
+    row = postings.select("n_docs", "mean_len").first()
+    return SearchIndex(postings, row[0] if row else 0, row[1] if row else 0.0)
+
+
+def bm25(index: SearchIndex, queries: DataFrame, k1: float = 1.2, b: float = 0.75, k: int = TOP_HITS) -> DataFrame:
+    """(query, doc, score): the k best docs of each query (query, text), scaled to 0..1 in the query (all equal: 1).
+
+    Each term of a query counts once. Equal scores (to nine digits) are ordered by doc.
+    """
+    q = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    idf = F.log(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(index.mean_len or 1.0)))
+    hits = index.lookup(q).select("term", "doc", gain.alias("s")).join(q, "term").groupBy("query", "doc").agg(F.round(F.sum("s"), 9).alias("raw"))
     w = Window.partitionBy("query")
     top = hits.withColumn("r", F.row_number().over(w.orderBy(F.col("raw").desc(), "doc"))).where(F.col("r") <= k)
     low, high = F.min("raw").over(w), F.max("raw").over(w)
     return top.select("query", "doc", F.when(high == low, F.lit(1.0)).otherwise((F.col("raw") - low) / (high - low)).alias("score"))
 
 
-def entity_search(hits: DataFrame, ranking: DataFrame, main: DataFrame, limit: int = 20, w: tuple[float, float, float, float] = (0.4, 0.3, 0.001, 0.3)) -> DataFrame:
+def entity_search(hits: DataFrame, ranking: DataFrame, main: DataFrame, vocab: DataFrame, limit: int = 20, w: tuple[float, float, float, float] = (0.4, 0.3, 0.001, 0.3)) -> DataFrame:
     """(text, id, score, rank): the best `limit` entities of each text.
 
     hits: (text, label, score) labels found; ranking: (label, id, score) entities of a label; main: (id, label) main
-    labels. An entity scores label, rank, likeness of its main label and of the hit label to the text, weighted by w;
-    of several labels the best counts.
+    labels; vocab: (id, scope, label). An entity scores its label, its rank, and the likeness to the text of its main label
+    (ASCII texts only) and of that of its labels which is likest, English ones for ASCII texts, weighted by w; of several
+    labels the best counts. A text that is an id is that entity, with score 1.
     """
-    h = hits.select("text", "label", F.col("score").alias("ls")).join(ranking.select("label", "id", F.col("score").alias("pr")), "label")
+    told = hits.where(~F.col("text").rlike(ENTITY_ID))
+    h = told.select("text", "label", F.col("score").alias("ls")).join(ranking.select("label", "id", F.col("score").alias("pr")), "label")
+    best = h.groupBy("text", "id").agg(F.max(w[0] * F.col("ls") + w[1] * F.col("pr")).alias("found"))
+    en = is_ascii(F.col("text"))
+    all_labels = vocab.select("id", "scope", F.col("label").alias("own"))
+    like = best.select("text", "id").join(all_labels, "id").where((F.col("scope") == "en") == en).groupBy("text", "id").agg(F.max(sim_ratio("own", "text")).alias("like"))
     m = main.groupBy("id").agg(F.min("label").alias("ml"))
-    h = h.join(m, "id", "left")
-    score = w[0] * F.col("ls") + w[1] * F.col("pr") + w[2] * F.coalesce(sim_ratio("ml", "text"), F.lit(0.0)) + w[3] * sim_ratio("label", "text")
-    best = h.select("text", "id", score.alias("score")).groupBy("text", "id").agg(F.max("score").alias("score"))
+    s = best.join(like, ["text", "id"], "left").join(m, "id", "left")
+    score = F.col("found") + w[3] * F.coalesce("like", F.lit(0.0)) + F.when(en, w[2] * F.coalesce(sim_ratio("ml", "text"), F.lit(0.0))).otherwise(0.0)
+    own = hits.where(F.col("text").rlike(ENTITY_ID)).select("text", F.upper("text").alias("id"), F.lit(1.0).alias("score")).distinct()
     order = Window.partitionBy("text").orderBy(F.col("score").desc(), "id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return s.select("text", "id", score.alias("score")).unionByName(own).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+MODES = ("b", "f", "a")
+
+
+def label_hits(full: DataFrame, fuzzy_: DataFrame, mode: str = "a") -> DataFrame:
+    """(text, label, score) of a search by mode: `b` full-text hits, `f` fuzzy ones, `a` both merged.
+
+    Merged: each list of a text as probabilities of ranks, weighted 0.9 and 1, divided by the weights of its lists that have hits.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    if mode != "a":
+        return (full if mode == "b" else fuzzy_).select("text", "label", "score")
+    lists = full.select("text", "label", "score", F.lit(0.9).alias("w")).unionByName(fuzzy_.select("text", "label", "score", F.lit(1.0).alias("w")))
+    lists = lists.withColumn("list", F.struct("text", "w"))
+    p = rank_to_p(lists, "list", "label", "score")
+    p = p.select(F.col("list.text").alias("text"), F.col("list.w").alias("w"), "label", "p")
+    weight = p.select("text", "w").distinct().groupBy("text").agg(F.sum("w").alias("total"))
+    return p.groupBy("text", "label").agg(F.sum(F.col("p") * F.col("w")).alias("s")).join(weight, "text").select("text", "label", (F.col("s") / F.col("total")).alias("score"))
+
+
+def labels_of(vocab: DataFrame, ids: DataFrame, scope: str | None = None) -> DataFrame:
+    """(id, labels): the labels of the items asked for (column id), in English only (scope en) or in all languages."""
+    v = vocab if scope is None else vocab.where(F.col("scope") == scope)
+    return v.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
+def available(vocab: DataFrame, texts: DataFrame, scope: str | None = None) -> DataFrame:
+    """(text) of those whose label, in either normal form, some item has."""
+    v = vocab if scope is None else vocab.where(F.col("scope") == scope)
+    q = texts.select("text").distinct().select("text", F.explode(normal_forms(F.col("text"))).alias("label"))
+    return q.join(v.select("label").distinct(), "label", "left_semi").select("text").distinct()
 
 
 def query_variants(queries: DataFrame) -> DataFrame:

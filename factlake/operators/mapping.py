@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators.skew import ranked
+from factlake.operators.skew import ranked, salted_join
 
 
 def build_dictionary(ids: DataFrame, col: str) -> DataFrame:
@@ -17,7 +17,7 @@ def build_dictionary(ids: DataFrame, col: str) -> DataFrame:
 def encode(rows: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
     """Replace the columns by their numbers; rows with an unknown or null part are dropped."""
     for c in cols:
-        rows = rows.join(dictionary.select(F.col("id").alias(c), F.col("lid").alias(f"{c}_lid")), c).drop(c).withColumnRenamed(f"{c}_lid", c)
+        rows = salted_join(rows, dictionary.select(F.col("id").alias(c), F.col("lid").alias(f"{c}_lid")), [c], "inner").drop(c).withColumnRenamed(f"{c}_lid", c)
     return rows
 
 
@@ -29,7 +29,7 @@ def decode(rows: DataFrame, dictionary: DataFrame, col: str) -> DataFrame:
 def resolve(rows: DataFrame, redirect: DataFrame, col: str) -> DataFrame:
     """One hop: the redirect's target, or the value itself where it has no redirect. redirect: (src, dst), unique src."""
     r = redirect.select(F.col("src").alias(col), F.col("dst").alias("_dst"))
-    return rows.join(r, col, "left").withColumn(col, F.coalesce("_dst", col)).drop("_dst")
+    return salted_join(rows, r, [col], "left").withColumn(col, F.coalesce("_dst", col)).drop("_dst")
 
 
 def redirects_of(redirect: DataFrame) -> DataFrame:
@@ -71,7 +71,20 @@ def resolve_claims(claims: DataFrame, items: DataFrame, redirect: DataFrame) ->
     """Claims with tails redirected; those whose head or tail is no item are dropped."""
     c = resolve(claims, redirect, "tail")
     known = items.select("id").distinct()
-    return c.join(known.withColumnRenamed("id", "head"), "head", "left_semi").join(known.withColumnRenamed("id", "tail"), "tail", "left_semi").select("head", "prop", "tail").distinct()
+    c = salted_join(c, known.withColumnRenamed("id", "tail"), ["tail"], "left_semi")
+    return salted_join(c, known.withColumnRenamed("id", "head"), ["head"], "left_semi").select("head", "prop", "tail").distinct()
+
+
+def resolve_units(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """Literal claims with `unit` (an id, `-1` for none) as `unit_id`, -1 for none; an unknown unit stays null, its text as it is."""
+    u = units.select(F.col("id").alias("unit"), F.col("lid").alias("unit_id")).groupBy("unit").agg(F.min("unit_id").alias("unit_id"))
+    return claims.join(u, "unit", "left").withColumn("unit_id", F.when(F.col("unit") == "-1", F.lit(-1).cast("bigint")).otherwise(F.col("unit_id")))
+
+
+def id_redirects(pages: DataFrame, redirects: DataFrame, items: DataFrame) -> DataFrame:
+    """(dst, srcs) of items by the redirects of their pages: pages (page_id, id), redirects (page_id, dst id); dst must be an item."""
+    r = redirects.join(pages, "page_id").where("id <> dst").join(items.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    return r.groupBy("dst").agg(F.sort_array(F.collect_set("id")).alias("srcs"))
 
 
 def overlap(a: DataFrame, b: DataFrame, redirect: DataFrame) -> DataFrame:

@@ -15,18 +15,35 @@ def softmax(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     return rows.withColumn("p", x / F.sum(x).over(w))
 
 
-def rank_to_p(rows: DataFrame, by: str, item: str, score: str, max_rank: int = 50, limit: int | None = None) -> DataFrame:
-    """(by, item, rank, p): ranks by falling score (ties by item), as scores max(max_rank, length) - position, softmaxed.
+def average(rows: DataFrame, by: list[str], score: str) -> DataFrame:
+    """Adds `p`: the score's share of the group's sum; null where the sum is 0."""
+    total = F.sum(score).over(Window.partitionBy(*by))
+    return rows.withColumn("p", F.when(total != 0, F.col(score) / total))
 
-    Neighbouring scores differ by one, so p is exp(1 - rank) over a geometric sum of the list's length; max_rank cancels.
-    Lists of any length are ranked in parts; items of a list must differ.
+
+RANK, SCORE, EQUAL = "rank", "score", "equal"
+
+
+def rank_to_p(rows: DataFrame, by: str, item: str, score: str, limit: int | None = None, mode: str = RANK) -> DataFrame:
+    """(by, item, rank, p): ranks by falling score (ties by item); a list's p sum to 1.
+
+    mode rank: scores are falling ranks, softmaxed. Neighbours differ by one, so p is exp(1 - rank) over a geometric sum
+    of the list's length, and what the ranks are counted from cancels; score: the scores themselves, softmaxed; equal: all
+    the same. limit: only the best so many of a list. Lists of any length are ranked in parts; items of a list must differ.
     """
     r = ranked(rows.select(by, item, score), [by], [F.col(score).desc(), F.col(item)])
     if limit:
         r = r.where(F.col("rank") <= limit)
-    n = r.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    total = (1 - F.exp(-F.col("_n").cast("double"))) / (1 - F.exp(F.lit(-1.0)))
-    return r.join(n, by).select(by, item, F.col("rank").cast("int").alias("rank"), (F.exp(1 - F.col("rank").cast("double")) / total).alias("p"))
+    top = r.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.max(score).alias("_top"))
+    if mode == SCORE:  # the largest of a list is the shift, so the sum is made of partial sums
+        x = r.join(top, by).withColumn("_e", F.exp(F.col(score) - F.col("_top")))
+        p = x.join(x.groupBy(by).agg(F.sum("_e").alias("_sum")), by).withColumn("p", F.col("_e") / F.col("_sum"))
+    elif mode == EQUAL:
+        p = r.join(top, by).withColumn("p", 1 / F.col("_n"))
+    else:
+        total = (1 - F.exp(-F.col("_n").cast("double"))) / (1 - F.exp(F.lit(-1.0)))
+        p = r.join(top, by).withColumn("p", F.exp(1 - F.col("rank").cast("double")) / total)
+    return p.select(by, item, F.col("rank").cast("int").alias("rank"), "p")
 
 
 def merge_rankings(lists: DataFrame, weights: dict, by: str, item: str, score: str) -> DataFrame:

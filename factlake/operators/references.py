@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.operators.skew import hot_hashes, salted_join
+from factlake.operators.skew import SHARE, salted_join
 
 MATCH = ("simple", "partial", "full")
 
@@ -41,7 +41,16 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], at:
     full = (1 << k) - 1
     life = targets.select(*keys, F.col(created).alias("_c"), F.col(deleted).alias("_d"))
     masked = refs.withColumn("_mask", null_mask(keys))
-    masks = sorted(r[0] for r in masked.select("_mask").distinct().collect())  # at most 2^k numbers
+    # Nulls don't change a hash, so that of all key columns is that of the mask's own.
+    counts = masked.groupBy("_mask", F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    totals = {r[0]: r[1] for r in counts.groupBy("_mask").agg(F.sum("n")).collect()}  # at most 2^k rows
+    masks = sorted(totals)
+    limit = F.lit(0.0)
+    for m in masks:
+        limit = F.when(F.col("_mask") == m, F.lit(totals[m] / SHARE)).otherwise(limit)
+    hot: dict[int, list[int]] = {m: [] for m in masks}
+    for m, h in counts.where((F.col("n") > limit) & (F.col("_mask") != full)).select("_mask", "h").collect():  # at most SHARE a mask
+        hot[m].append(h)
     parts = []
     for m in masks:
         if m == full or (m and match == "simple"):
@@ -58,7 +67,7 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: list[str], at:
             F.min(F.when(F.col("_d").isNull(), F.coalesce("_c", F.lit("0001-01-01").cast("timestamp")))).alias("_open"),
             F.collect_set(F.when(F.col("_d").isNotNull(), F.struct(F.coalesce("_c", F.lit("0001-01-01").cast("timestamp")).alias("c"), F.col("_d").alias("d")))).alias("_ended"),
         )
-        joined = salted_join(some, lives, on, "left", hot_hashes(some, on))
+        joined = salted_join(some, lives, on, "left", hot[m])
         t = F.col(at)
         alive = F.coalesce(F.col("_open") <= t, F.lit(False)) | F.exists("_ended", lambda x: (x["c"] <= t) & (x["d"] > t))
         later = (F.col("_open") > t) | F.exists("_ended", lambda x: (x["c"] > t) & (x["d"] > t))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from factlake.session import cut
@@ -16,10 +16,9 @@ SALTS = 32
 def hot_hashes(df: DataFrame, keys: list[str], share: int = SHARE) -> list[int]:
     """Hashes of the keys that hold more than 1/share of the rows with a key. At most `share` numbers reach the driver."""
     counts = df.where(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0).groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total < 10_000:
-        return []
-    return [r[0] for r in counts.where(F.col("n") > total / share).select("h").collect()]
+    seen = Observation()  # the sum of all, while the largest are picked
+    top = counts.observe(seen, F.sum("n").alias("total")).orderBy(F.desc("n")).limit(share).collect()
+    return [h for h, n in top if n > (seen.get["total"] or 0) / share]
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", hot: list[int] | None = None, salts: int = SALTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.operators.skew import ranked
@@ -59,6 +59,44 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def describe(tables: dict[str, DataFrame], sizes: dict[str, int] | None = None) -> DataFrame:
+    """(name, n_rows, n_columns, types, first, n_bytes): types of the columns, the first row by all columns as JSON, and
+    the size where it is given. One small heap a task, nothing is sorted."""
+    out = None
+    for name, t in tables.items():
+        types = ",".join(f"{c}:{k}" for c, k in t.dtypes)
+        row = t.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct(*t.columns)).alias("m")).select(
+            F.lit(name).alias("name"), "n_rows", F.lit(len(t.columns)).alias("n_columns"), F.lit(types).alias("types"), F.to_json("m").alias("first"), F.lit((sizes or {}).get(name)).cast("bigint").alias("n_bytes")
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def items(table: DataFrame, key: str) -> DataFrame:
+    """(key, value): every row as its key and a struct of the other columns."""
+    return table.select(key, F.struct(*[c for c in table.columns if c != key]).alias("value"))
+
+
+def prefix_delete(table: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Rows whose key doesn't start with the prefix; rows with a null key stay."""
+    return table.where(~F.coalesce(F.col(key).startswith(prefix), F.lit(False)))
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Delete the table at path; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def update_sets(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values, state) of old and new (key, value) rows merged: state is new, update, skip (nothing grows) or kept."""
+    both = old.select(key, value, F.lit(1).alias("_o")).unionByName(new.select(key, value, F.lit(0).alias("_o"))).dropna()
+    per = both.groupBy(key, value).agg(F.max("_o").alias("was"), F.min("_o").alias("is"))
+    g = per.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("values"), F.max("was").alias("had"), F.min("was").alias("all_had"), F.min("is").alias("untouched"))
+    state = F.when(F.col("had") == 0, "new").when(F.col("untouched") == 1, "kept").when(F.col("all_had") == 1, "skip").otherwise("update")
+    return g.select(key, "values", state.alias("state"))
+
+
 def merge_set(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Union of the value sets of each key: distinct (key, value) rows; nulls are left out."""
     return old.select(key, value).unionByName(new.select(key, value)).dropna().distinct()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions import ids, numbers, similarity, text
 from factlake.operators import graph, labels, mapping, ranking, store
 from factlake.plans import views as V
-from factlake.session import cut
+from factlake.session import checkpoint_root, cut
 from factlake.sources import entities, files, sql_dump, wikitext
 from factlake.tables import table
 
@@ -123,11 +125,11 @@ def redirect_of(spark: SparkSession, d: str) -> DataFrame:
     return mapping.redirects_of(V.redirects(spark, d)).groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_src"))
 
 
-@query(V.sql("rd cl xm", "select x.title, x.item, r.src is not null as is_redirect, t.head is not null as is_class from xm x left join rd r on r.src = x.title left join (select distinct head from cl where prop = 'P279') t on t.head = x.item"))
+@query(V.sql("rd cl xm", "select x.title, x.item, r.src is not null as is_redirect, t.head is not null as is_disambiguation from xm x left join rd r on r.src = x.title left join (select distinct head from cl where prop = 'P31' and tail = 'Q4167410') t on t.head = x.item"))
 def is_redirect_or_disamb(spark: SparkSession, d: str) -> DataFrame:
     x, r = V.page_items(spark, d), V.redirects(spark, d).select(F.col("src").alias("title"), F.lit(True).alias("r"))
-    t = V.claims(spark, d).where("prop = 'P279'").select(F.col("head").alias("item"), F.lit(True).alias("t")).distinct()
-    return x.join(r, "title", "left").join(t, "item", "left").select("title", "item", F.col("r").isNotNull().alias("is_redirect"), F.col("t").isNotNull().alias("is_class"))
+    t = V.claims(spark, d).where("prop = 'P31' and tail = 'Q4167410'").select(F.col("head").alias("item"), F.lit(True).alias("t")).distinct()
+    return x.join(r, "title", "left").join(t, "item", "left").select("title", "item", F.col("r").isNotNull().alias("is_redirect"), F.col("t").isNotNull().alias("is_disambiguation"))
 
 
 @query(V.sql("rd xm", "select distinct r.src as a, x.item as c from rd r join xm x on x.title = r.dst"))
@@ -193,9 +195,11 @@ def anti_admin(spark: SparkSession, d: str) -> DataFrame:
     return store.delete_keys(V.items(spark, d).select("id", "kind").distinct(), bad, ["id"])
 
 
-@query(V.sql("cl", "select head, prop, tail from cl where prop in ('P138', 'P50', 'P463')"))
+@query(V.sql("cl ec", f"select head as id, prop, tail as value from cl where prop in {V.NAME_PROPS} union all select id, prop, value from ec where dtype <> 'other' and prop in {V.NAME_PROPS}"))
 def name_props(spark: SparkSession, d: str) -> DataFrame:
-    return V.claims(spark, d).where(F.col("prop").isin("P138", "P50", "P463"))
+    """Claims of all properties whose values are names."""
+    c = V.claims(spark, d).where(F.col("prop").isin(*V.NAME_PROPS)).select(F.col("head").alias("id"), "prop", F.col("tail").alias("value"))
+    return c.unionByName(V.entity_claims(spark, d).where((F.col("dtype") != "other") & F.col("prop").isin(*V.NAME_PROPS)).select("id", "prop", "value"))
 
 
 @query("select distinct page_id, title, page_len from wp_page where ns = 0 and not regexp_matches(lower(title), '^(" + "|".join(files.IGNORED_NAMESPACES) + ")')")
@@ -211,21 +215,29 @@ def claims_of_entity(spark: SparkSession, d: str) -> DataFrame:
     return graph.claims_of(V.claims(spark, d), V.items(spark, d).where("kind = 'work'").select(F.col("id").alias("head")))
 
 
-@query(V.sql("lit", "select dtype, prop, count(*) as n, round(sum(num), 2) as total, max(txt) as last from lit group by all"))
+@query(V.sql("ec", "select dtype, prop, count(*) as n, max(value) as last from ec where dtype <> 'other' group by all"))
 def claims_by_dtype(spark: SparkSession, d: str) -> DataFrame:
+    c = V.entity_claims(spark, d).where("dtype <> 'other'")
+    return c.groupBy("dtype", "prop").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("last"))
+
+
+@query(V.sql("lit", "select dtype, prop, count(*) as n, round(sum(num), 2) as total, max(txt) as last from lit group by all"))
+def table_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of the star tables as typed claims."""
     l = V.literals(spark, d)
     return l.groupBy("dtype", "prop").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 2).alias("total"), F.max("txt").alias("last"))
 
 
-@query("select o_orderkey, regexp_replace(regexp_replace('+' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z', '^\\+', ''), 'T00:00:00Z$', '') as t from orders")
+@query(V.sql("ec", "select id, prop, value from ec where dtype = 'time'"))
 def claim_time(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("+"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00Z"))
-    return table(spark, d, "orders").select("o_orderkey", numbers.time_literal(t).alias("t"))
+    return V.entity_claims(spark, d).where("dtype = 'time'").select("id", "prop", "value")
 
 
-@query("select p_partkey, regexp_replace('+' || p_size, '^\\+', '') as amount, '1' as unit from part")
+@query(V.sql("ec it", "select e.id, e.prop, e.value as amount, e.unit, case when e.unit = '-1' then -1 else u.lid end as unit_id from ec e left join (select id, min(lid) as lid from it group by id) u on u.id = e.unit where e.dtype = 'quantity'"))
 def claim_quantity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", numbers.amount(F.concat(F.lit("+"), F.col("p_size").cast("string"))).alias("amount"), F.lit("1").alias("unit"))
+    """Quantities with their units resolved to numbers."""
+    q = V.entity_claims(spark, d).where("dtype = 'quantity'").select("id", "prop", F.col("value").alias("amount"), "unit")
+    return mapping.resolve_units(q, V.items(spark, d))
 
 
 @query(V.sql("cl", "select tail as type, count(distinct head) as n from cl where prop = 'P31' group by tail"))
@@ -284,7 +296,7 @@ _TOP = "top as (select tail from cl group by tail order by count(*) desc, tail l
 
 @query(V.sql("cl", "select head from cl where tail = (select tail from top) intersect select head from cl where prop = 'P31' and tail in (select tail from mostp)", _TOP + ", mostp as (select tail from cl where prop = 'P31' and tail <> (select tail from top) group by tail order by count(*) desc, tail limit 1)"))
 def bool_and(spark: SparkSession, d: str) -> DataFrame:
-    c = cut(V.claims(spark, d))
+    c = V.claims(spark, d)
     top = _hot(c)
     other = c.where((F.col("prop") == "P31") & (F.col("tail") != top)).groupBy("tail").count().orderBy(F.desc("count"), "tail").first()[0]
     return graph.boolean_search(c, [(graph.AND, None, top), (graph.AND, "P31", other)])
@@ -292,18 +304,32 @@ def bool_and(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.sql("cl", "select head from cl where prop = 'P31' and tail = 'Q3' union select head from cl where prop = 'P31' and tail = 'Q7' union select head from cl where tail = 'Q11'"))
 def bool_or(spark: SparkSession, d: str) -> DataFrame:
-    return graph.boolean_search(cut(V.claims(spark, d)), [(graph.AND, "P31", "Q3"), (graph.OR, "P31", "Q7"), (graph.OR, None, "Q11")], order="declared")
+    return graph.boolean_search(V.claims(spark, d), [(graph.AND, "P31", "Q3"), (graph.OR, "P31", "Q7"), (graph.OR, None, "Q11")], order="declared")
 
 
 @query(V.sql("cl", "select head from cl where tail = (select tail from top) except select head from cl where prop = 'P31' and tail = 'Q3'", _TOP))
 def bool_not(spark: SparkSession, d: str) -> DataFrame:
-    c = cut(V.claims(spark, d))
+    c = V.claims(spark, d)
     return graph.boolean_search(c, [(graph.AND, None, _hot(c)), (graph.NOT, "P31", "Q3")], order="declared")
 
 
 @query(V.sql("cl", "select distinct head from cl where tail = 'Q3'"))
 def bool_any_prop(spark: SparkSession, d: str) -> DataFrame:
-    return graph.boolean_search(cut(V.claims(spark, d)), [(graph.AND, None, "Q3"), (graph.AND, "P31", "Q_unknown")], missing="ignore")
+    return graph.boolean_search(V.claims(spark, d), [(graph.AND, None, "Q3"), (graph.AND, "P31", "Q_unknown")], missing="ignore")
+
+
+@query(V.sql("cl", "select head from cl where prop = 'P31' and tail = 'Q3' union (select head from cl where tail = 'Q311' intersect select head from cl where prop = 'P17' and tail = 'Q311')"))
+def bool_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """And, or and not in one search, as declared."""
+    todo = [(graph.AND, None, "Q311"), (graph.AND, "P17", "Q311"), (graph.OR, "P31", "Q3")]
+    return graph.boolean_search(V.claims(spark, d), todo, order="declared", missing="empty")
+
+
+@query()
+def bool_preview(spark: SparkSession, d: str) -> DataFrame:
+    """What a search asks, in words, and its first three answers."""
+    todo = [(graph.AND, "P31", "Q3"), (graph.OR, None, "Q7")]
+    return graph.preview(graph.boolean_search(V.claims(spark, d), todo), V.items(spark, d).where("label is not null"), todo)
 
 
 @query(V.sql("cl it", "select distinct i.id from it i where i.id in (select tail from cl where prop = 'P279')"))
@@ -313,7 +339,7 @@ def is_a_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V.sql("cl", "select distinct c.head, u.a as type from cl c join (select node, anc as a from up) u on u.node = c.tail where c.prop = 'P31'", "up as (select tail as node, tail as anc from cl where prop in ('P31', 'P279') union select u.node, c.tail from up u join cl c on c.prop = 'P279' and c.head = u.anc)", recursive=True))
 def type_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.type_closure(cut(V.claims(spark, d)))
+    return graph.type_closure(V.claims(spark, d))
 
 
 _EDGES = "ew as (select src, dst, cast(sum(w) as bigint) as w from (select head as src, tail as dst, count(*) * 3 as w from cl group by all union all select a.item, b.item, count(*) from rd r join xm a on a.title = r.src join xm b on b.title = r.dst group by all) group by src, dst)"
@@ -342,15 +368,32 @@ def pagerank_10(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(_weights(spark, d), iterations=10).withColumn("score", F.round("score", 9))
 
 
-@query(_pagerank_sql(2, "select count(*) as n, round(max(score), 6) as top, round(min(score), 6) as low, round(stddev_pop(score), 6) as dev, round(avg(score), 6) as mean from x2"))
+@query()
 def pr_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _score_stats(graph.pagerank(_weights(spark, d), iterations=2))
+    """Figures of PageRank, iterated until the change is within the tolerance."""
+    return _score_stats(graph.pagerank(_weights(spark, d)))
 
 
 @query()
-def pr_stats_converged(spark: SparkSession, d: str) -> DataFrame:
-    """As pr_stats, which SQL can check, but iterated until the change is within the tolerance."""
-    return _score_stats(graph.pagerank(_weights(spark, d)))
+def pagerank_personal(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank that starts from, and falls back to, the items used as classes."""
+    own = graph.types_in_use(V.claims(spark, d)).select(F.col("tail").alias("id"), F.lit(1.0).alias("weight"))
+    return graph.pagerank(_weights(spark, d), personal=own).withColumn("score", F.round("score", 9))
+
+
+@query()
+def graph_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted edges of all bases: claims 3, infobox links 3 and section links 1 of pages, entity values of triples 3."""
+    m = V.page_items(spark, d).select("title", "item")
+    p = table(spark, d, "wp_dump").where("redirect is null").select("page_id", ids.plain_title(F.col("title")).alias("title")).distinct()
+    links = wikitext.facts(table(spark, d, "wp_dump"), "page_id", "wiki_text").where("kind = 'link'").distinct()
+    links = mapping.resolve(links.withColumnRenamed("key", "page_id").join(p, "page_id").select("title", "prop", "value"), V.redirects(spark, d), "value")
+    t = table(spark, d, "dp_triple").select(ids.decoded_title(files.local(F.col("head"))).alias("title"), files.literal(F.trim("tail")).alias("l"))
+    t = t.where("l.kind in ('uri', 'name')").select("title", F.lit("").alias("prop"), ids.decoded_title(files.local(F.col("l.value"))).alias("value"))
+    both = links.unionByName(mapping.resolve(t, V.redirects(spark, d), "value"))
+    e = both.join(m.select("title", F.col("item").alias("src")), "title").join(m.select(F.col("title").alias("value"), F.col("item").alias("dst")), "value")
+    section = F.col("prop").contains("Section")
+    return graph.edge_weights([(V.claims(spark, d).select(F.col("head").alias("src"), F.col("tail").alias("dst")), 3), (e.where(~section), 3), (e.where(section), 1)])
 
 
 def _score_stats(p: DataFrame) -> DataFrame:
@@ -378,12 +421,12 @@ def label_invert(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("label").agg(F.countDistinct("id").alias("n_items"), F.min("id").alias("first_id"))
 
 
-@query(V.sql("al lb", "select distinct a.id, a.label as alias from al a left join (select id, lang, min(label) as label from lb group by id, lang) l on l.id = a.id and l.lang = a.lang where (not contains(a.label, ' II') or contains(coalesce(l.label, ''), ' II')) and a.label is distinct from l.label"))
+@query(V.sql("al lb", "select distinct a.id, a.label as alias from al a left join (select id, lang, min(label) as label from lb group by id, lang) l on l.id = a.id and l.lang = a.lang where (not contains(a.label, '(disambiguation)') or contains(coalesce(l.label, ''), '(disambiguation)')) and a.label is distinct from l.label"))
 def alias_build(spark: SparkSession, d: str) -> DataFrame:
     a = V.terms(spark, d, "alias")
     l = V.terms(spark, d, "label").groupBy("id", "lang").agg(F.min("label").alias("main"))
     j = a.join(l, ["id", "lang"], "left")
-    keep = ~F.col("label").contains(" II") | F.coalesce("main", F.lit("")).contains(" II")
+    keep = ~F.col("label").contains("(disambiguation)") | F.coalesce("main", F.lit("")).contains("(disambiguation)")
     return j.where(keep & ~F.col("label").eqNullSafe(F.col("main"))).select("id", F.col("label").alias("alias")).distinct()
 
 
@@ -428,8 +471,11 @@ def norm_title_decoded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dp_triple").where("head is not null and not contains(head, '://')").select("row_id", ids.decoded_title(F.col("head")).alias("title"))
 
 
-def _norm_sql(x: str, punctuation: bool) -> str:
-    t = f"lower(regexp_replace(regexp_replace({x}, '\\p{{Cf}}', '', 'g'), '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g'))"
+def _norm_sql(x: str, punctuation: bool, article: bool = False) -> str:
+    """The rest of the normal form of a text that is in composed form already."""
+    t = f"lower(regexp_replace({x}, '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g'))"
+    for _ in range(2 if article else 0):  # what stands between two articles belongs to both
+        t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the|and)([^\\p{{L}}\\p{{N}}_]|$)', '\\1 \\3', 'g')"
     for c in "abcdefghijklmnopqrstuvwxyz":
         t = f"regexp_replace({t}, '{c}{{3,}}', '{c}{c}', 'g')"
     if punctuation:
@@ -438,27 +484,19 @@ def _norm_sql(x: str, punctuation: bool) -> str:
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' ')"
 
 
-@query(f"select doc_id, md5({_norm_sql('text', False)}) as norm from documents where text is not null")
+@query(f"with n as (select doc_id, {V.sql_nfkc('text')} as t from documents where text is not null) select doc_id, md5({_norm_sql('t', False)}) as norm from n")
 def norm_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.norm_text(F.col("text"), compose=False)).alias("norm"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("norm"))
 
 
-@query(f"select term_id, {_norm_sql('text', True)} as norm from wd_term where text is not null")
+@query(f"with n as (select term_id, {V.sql_nfkc('text')} as t from wd_term where text is not null) select term_id, regexp_replace({_norm_sql('t', False, True)}, '^re:', '') as norm from n")
 def norm_query(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "wd_term").where("text is not null").select("term_id", text.norm_text(F.col("text"), True, compose=False).alias("norm"))
-
-
-# DuckDB's SQL has no NFKC: where a query leaves it off (compose=False) to be checked, its twin has it on.
-
-
-@query()
-def norm_text_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("norm"))
+    return table(spark, d, "wd_term").where("text is not null").select("term_id", text.norm_query(F.col("text")).alias("norm"))
 
 
-@query()
-def norm_query_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "wd_term").where("text is not null").select("term_id", text.norm_text(F.col("text"), True).alias("norm"))
+@query("select row_id, " + ", ".join(f"translate({reduce(lambda t, p: f'replace({t}, {p!r}, {chr(39) * 2})', text.NAMESPACES, c)}, '<>', '') as {c}" for c in ("head", "prop", "tail")) + " from dp_triple")
+def strip_namespaces(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dp_triple").select("row_id", *[text.strip_namespaces(F.col(c)).alias(c) for c in ("head", "prop", "tail")])
 
 
 @query("select page_id, trim(regexp_replace(regexp_replace(wiki_text, '<[^<>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from wp_dump where wiki_text is not null")
@@ -466,10 +504,19 @@ def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wp_dump").where("wiki_text is not null").select("page_id", text.strip_tags(F.col("wiki_text")).alias("t"))
 
 
-@query("with l as (select page_id, unnest(string_split(wiki_text, chr(10))) as x from wp_dump where wiki_text is not null), b as (select page_id, x, regexp_replace(x, '\\[\\[#?|\\]\\]', '', 'g') as t from l where contains(x, '[[')) select page_id, x, case when contains(lower(x), 'see') then '' else trim(regexp_replace(case when length(t) - length(replace(t, '(', '')) = length(t) - length(replace(t, ')', '')) then t else translate(t, '()', '') end, '\\s+', ' ', 'g')) end as t from b")
+_BRACKETS = """with l as (select page_id, unnest(string_split(wiki_text, chr(10))) as x from wp_dump where wiki_text is not null),
+a as (select page_id, x, case when contains(x, '[[') and contains(x, ']]') and contains(x, '#') then case when regexp_replace(x, '\\[\\[(.*)\\]\\]', '', 'g') = x then '' else trim(regexp_replace(x, '\\[\\[(.*)\\]\\]', '', 'g'), ' ' || chr(9) || chr(13)) end else x end as t from l where contains(x, '[') or contains(x, '(') or contains(x, ']') or contains(x, ')')),
+b as (select page_id, x, case when contains(t, '[[') and contains(t, '#') and not contains(t, ']]') then trim(regexp_replace(t, '\\[\\[(.*)', '', 'g'), ' ' || chr(9) || chr(13)) else t end as t from a),
+c as (select page_id, x, case when contains(t, ']]') and not contains(t, '[[') then trim(regexp_replace(t, '(.*)\\]\\]', '', 'g'), ' ' || chr(9) || chr(13)) else t end as t from b),
+e as (select page_id, x, case when contains(lower(t), 'see') then '' else t end as t from c),
+f as (select page_id, x, case when contains(t, '(') and not contains(t, ')') then trim(replace(t, '(', ''), ' ' || chr(9) || chr(13)) else t end as t from e)
+select page_id, x, case when contains(t, ')') and not contains(t, '(') then trim(replace(t, ')', ''), ' ' || chr(9) || chr(13)) else t end as t from f"""
+
+
+@query(_BRACKETS)
 def clean_brackets(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "wp_dump").where("wiki_text is not null").select("page_id", F.explode(F.split("wiki_text", "\n")).alias("x"))
-    return l.where(F.col("x").contains("[[")).select("page_id", "x", text.clean_brackets(F.col("x")).alias("t"))
+    return l.where(F.col("x").rlike(r"[\[\]()]")).select("page_id", "x", text.clean_brackets(F.col("x")).alias("t"))
 
 
 @query("select distinct page_id, regexp_replace(unnest(regexp_extract_all(wiki_text, '\\[\\[[^\\[\\]|]+')), '^\\[\\[', '') as target from wp_dump where wiki_text is not null")
@@ -478,23 +525,79 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.explode(F.regexp_extract_all("wiki_text", F.lit(r"\[\[([^\[\]|]+)"), F.lit(1))).alias("target")).distinct()
 
 
-@query("select row_id, head, prop, regexp_replace(tail || ' .', '\\s*\\.\\s*$', '') as tail from dp_triple where head is not null and prop is not null and tail <> '' and not contains(head, ' ') and not contains(prop, ' ')")
+@query("select row_id, replace(trim(head), ' ', '_') as head, replace(trim(prop), ' ', '_') as prop, regexp_replace(trim(tail) || ' .', '\\s*\\.\\s*$', '') as tail from dp_triple where trim(head) <> '' and trim(prop) <> '' and trim(tail) <> '' and not starts_with(trim(head), '#')")
 def triple_parse(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "dp_triple").where("head is not null and prop is not null and tail <> '' and not contains(head, ' ') and not contains(prop, ' ')")
-    lines = t.select("row_id", F.concat_ws(" ", "head", "prop", "tail", F.lit(".")).alias("value"))
-    p = F.split("value", " ", 3)
-    return lines.select("row_id", p[0].alias("head"), p[1].alias("prop"), F.regexp_replace(p[2], r"\s*\.\s*$", "").alias("tail")).where("tail <> ''")
+    """Triples written as lines, spaces in names as `_`, and read back."""
+    return files.parse_triples(_triple_lines(spark, d), keep=["row_id"])
+
+
+def _triple_lines(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "dp_triple").where("trim(head) <> '' and trim(prop) <> '' and trim(tail) <> ''")
+    name = lambda c: F.translate(F.trim(c), " ", "_")
+    return t.select("row_id", F.concat_ws(" ", name("head"), name("prop"), F.trim("tail"), F.lit(".")).alias("value"))
+
+
+@query("select row_id, replace(trim(head), ' ', '_') as head, replace(trim(prop), ' ', '_') as prop, trim(tail) as tail from dp_triple where contains(head, 'http://kb.example/resource/') and contains(prop, 'http://kb.example/ontology/') and (contains(tail, 'http://kb.example/resource/') or contains(tail, 'http://kb.example/ontology/'))")
+def triple_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that name the base, of which head, property and tail are in its namespaces."""
+    lines = files.with_any(_triple_lines(spark, d), ["kb.example"])
+    resource, ontology = "http://kb.example/resource/", "http://kb.example/ontology/"
+    return files.in_domain(files.parse_triples(lines, keep=["row_id"]), resource, ontology, [resource, ontology])
 
 
 _LIT = "'^\"(.*)\"(?:@([A-Za-z0-9-]+)|\\^\\^<?([^<>\"\\s]+)>?)?$'"
 
 
-@query(f"select row_id, case when regexp_matches(tail, {_LIT}) then 'literal' when regexp_matches(tail, '^<.*>$|^https?://') then 'uri' when starts_with(tail, '_:') then 'blank' else 'name' end as kind, case when regexp_matches(tail, {_LIT}) then regexp_extract(tail, {_LIT}, 1) else translate(tail, '<>', '') end as value, nullif(regexp_extract(tail, {_LIT}, 2), '') as lang, nullif(regexp_extract(tail, {_LIT}, 3), '') as dtype from dp_triple where tail <> ''")
+_PLAIN_LITERAL = f"replace(replace(list_transform([string_split(regexp_extract(tail, {_LIT}, 1), '\\u')], lambda p: p[1] || coalesce(array_to_string(list_transform(p[2:], lambda y: chr(cast('0x' || y[1:4] as integer)) || y[5:]), ''), ''))[1], '\\\"', '\"'), '\\\\', '\\')"
+_SHORT = "case when starts_with({0}, 'xsd:') then 'http://www.w3.org/2001/XMLSchema#' || {0}[5:] when starts_with({0}, 'rdf:') then 'http://www.w3.org/1999/02/22-rdf-syntax-ns#' || {0}[5:] else {0} end"
+
+
+@query(f"select row_id, case when regexp_matches(tail, {_LIT}) then 'literal' when regexp_matches(tail, '^<.*>$|^https?://|^(owl|rdf|rdfs|xsd|xml):') then 'uri' when tail in ('true', 'false') then 'bool' when regexp_full_match(tail, '[0-9]+') then 'int' when starts_with(tail, '_:') then 'blank' else 'name' end as kind, case when regexp_matches(tail, {_LIT}) then {_PLAIN_LITERAL} when regexp_matches(tail, '^<.*>$|^https?://') then translate(tail, '<>', '') else tail end as value, nullif(regexp_extract(tail, {_LIT}, 2), '') as lang, {_SHORT.format(f"nullif(regexp_extract(tail, {_LIT}, 3), '')")} as dtype from dp_triple where tail <> ''")
 def literal_decode(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "dp_triple").where("tail <> ''").select("row_id", files.literal(F.col("tail")).alias("l"))
     return t.select("row_id", "l.kind", "l.value", "l.lang", "l.dtype")
 
 
+# --- plain files: tables written out and read back --------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str, d: str) -> str:
+    """A place in the shared folder of its own."""
+    return f"{checkpoint_root(spark)}/factlake/files/{name}-{abs(hash(d)) % 10**8}"
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def csv_rows(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "csv", d)
+    files.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("select term_id, lang, text from wd_term")
+def json_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "jsonl", d)
+    files.write_json(table(spark, d, "wd_term").select("term_id", "lang", "text"), path)
+    return files.read_json_lines(spark, path, "term_id bigint, lang string, text string")
+
+
+@query("select doc_id, md5(text) as t from documents where text is not null and not contains(text, chr(10)) and not contains(text, chr(13))")
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without line breaks as lines of a compressed file."""
+    path = _folder(spark, "lines", d)
+    t = table(spark, d, "documents").where("text is not null and not contains(text, '\n') and not contains(text, '\r')")
+    t.select(F.concat_ws("\t", "doc_id", "text").alias("value")).write.mode("overwrite").option("compression", "bzip2").text(path)
+    part = F.split("value", "\t", 2)
+    return files.read_lines(spark, path).select(part[0].cast("bigint").alias("doc_id"), F.md5(part[1]).alias("t"))
+
+
+@query("select title, redirect, md5(wiki_text) as t from wp_dump where wiki_text <> '' and trim(wiki_text) <> '' and not contains(wiki_text, chr(13)) and not regexp_matches(lower(title), '^(" + "|".join(files.IGNORED_NAMESPACES) + ")')")
+def xml_pages(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "xml", d)
+    p = table(spark, d, "wp_dump").where("wiki_text <> '' and trim(wiki_text) <> '' and not contains(wiki_text, '\r')")
+    files.write_pages(p.select("title", F.lit(0).alias("ns"), "redirect", F.col("wiki_text").alias("text")), path)
+    return files.read_pages(spark, path).select("title", "redirect", F.md5("text").alias("t"))
+
+
 @query()
 def sql_rows(spark: SparkSession, d: str) -> DataFrame:
     """Tuples of every INSERT line by table, with their number of cells."""
@@ -546,15 +649,8 @@ def binomial(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_size").alias("n"), F.lit(3).alias("k"), numbers.binomial(F.col("p_size"), F.lit(3)).alias("v")).distinct()
 
 
-@query("select l_orderkey, l_linenumber, round(1 - abs(l_discount - l_tax) / greatest(abs(l_discount), abs(l_tax)), 9) as s from lineitem where greatest(abs(l_discount), abs(l_tax)) > 0")
-def sim_numeric(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem").where("greatest(abs(l_discount), abs(l_tax)) > 0")
-    return l.select("l_orderkey", "l_linenumber", F.round(similarity.sim_change(F.col("l_discount"), F.col("l_tax")), 9).alias("s"))
-
-
 @query("select l_orderkey, l_linenumber, case when greatest(abs(l_discount), abs(l_tax)) = 0 then 1.0::double else round(1 - abs(l_discount - l_tax) / greatest(abs(l_discount), abs(l_tax)), 9) end as s from lineitem")
-def sim_numeric_all(spark: SparkSession, d: str) -> DataFrame:
-    """As sim_numeric, with the rows where both are 0."""
+def sim_numeric(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(similarity.sim_change(F.col("l_discount"), F.col("l_tax")), 9).alias("s"))
 
 
@@ -566,39 +662,29 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["id", "lang"]).select(F.lower("label").alias("a"), F.lower("alias").alias("b")).distinct()
 
 
-def _top_2(pairs: DataFrame) -> DataFrame:
-    return ranking.top_k(pairs.withColumn("v", F.levenshtein("a", "b")), ["a"], [F.col("v").asc(), F.col("b").asc()], 2)
-
-
-def _closest(pairs: DataFrame) -> DataFrame:
-    order = F.struct(F.levenshtein("a", "b").alias("e"), F.abs(F.length("a") - F.length("b")).alias("l"), "b")
-    return pairs.groupBy("a").agg(F.min_by("b", order).alias("closest"))
-
-
-_PAIRS = "pr as (select distinct lower(l.label) as a, lower(a.label) as b from lb l join al a on a.id = l.id and a.lang = l.lang)"
+_PAIRS = "pr as (select distinct lower(l.label) as a, lower(a.label) as b from lb l join al a on a.id = l.id and a.lang = l.lang), pc as (select a, b, array_to_string(list_distinct(string_split(a || b, '')), '') as cs from pr), pt as (select a, b, translate(a, cs, (select array_to_string(list_transform(generate_series(1, 126), lambda i: chr(cast(i as integer))), ''))[1:length(cs)]) as x, translate(b, cs, (select array_to_string(list_transform(generate_series(1, 126), lambda i: chr(cast(i as integer))), ''))[1:length(cs)]) as y from pc)"
+# DuckDB's distances count bytes: pt holds each pair with its characters replaced, one by one, by ASCII ones.
 
 
-@query(V.sql("lb al", "select a, b, cast(levenshtein(a, b) as integer) as v from pr where ascii(a) > 0 and regexp_full_match(a || b, '[\\x00-\\x7F]*')", _PAIRS))
+@query(V.sql("lb al", "select a, b, cast(levenshtein(x, y) as integer) as v from pt", _PAIRS))
 def dis_levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(text.is_ascii(F.concat("a", "b")))
-    return p.select("a", "b", similarity.dis_levenshtein(F.col("a"), F.col("b")).alias("v"))
+    return _pairs(spark, d).select("a", "b", similarity.dis_levenshtein(F.col("a"), F.col("b")).alias("v"))
 
 
-@query(V.sql("lb al", "select a, b, cast(damerau_levenshtein(a, b) as integer) as v from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*')", _PAIRS))
+@query(V.sql("lb al", "select a, b, cast(damerau_levenshtein(x, y) as integer) as v from pt", _PAIRS))
 def dis_damerau(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))).select("a", "b", similarity.dis_damerau("a", "b").alias("v"))
+    return _pairs(spark, d).select("a", "b", similarity.dis_damerau("a", "b").alias("v"))
 
 
-@query(V.sql("lb al", "select a, b, cast(hamming(a, b) as integer) as v from pr where length(a) = length(b) and regexp_full_match(a || b, '[\\x00-\\x7F]*')", _PAIRS))
+@query(V.sql("lb al", "select a, b, cast(hamming(x[1:least(length(x), length(y))], y[1:least(length(x), length(y))]) + abs(length(x) - length(y)) as integer) as v from pt", _PAIRS))
 def dis_hamming(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where("length(a) = length(b)").where(text.is_ascii(F.concat("a", "b")))
-    return p.select("a", "b", similarity.dis_hamming("a", "b").alias("v"))
+    """Pairs of any lengths: the excess counts."""
+    return _pairs(spark, d).select("a", "b", similarity.dis_hamming("a", "b").alias("v"))
 
 
-@query(V.sql("lb al", "select a, b, round(jaro_similarity(a, b), 9) as j, round(jaro_winkler_similarity(a, b), 9) as w from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*')", _PAIRS))
+@query(V.sql("lb al", "select a, b, round(jaro_similarity(x, y), 9) as j, round(jaro_winkler_similarity(x, y), 9) as w from pt", _PAIRS))
 def sim_jaro(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(text.is_ascii(F.concat("a", "b")))
-    return p.select("a", "b", F.round(similarity.sim_jaro("a", "b"), 9).alias("j"), F.round(similarity.sim_jaro_winkler("a", "b"), 9).alias("w"))
+    return _pairs(spark, d).select("a", "b", F.round(similarity.sim_jaro("a", "b"), 9).alias("j"), F.round(similarity.sim_jaro_winkler("a", "b"), 9).alias("w"))
 
 
 @query()
@@ -616,48 +702,22 @@ def sim_blend(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a", "b", similarity.sim_blend("a", "b").alias("v"), similarity.sim_weighted("a", "b").alias("weighted"))
 
 
-@query(V.sql("lb al", "select a, b, v, cast(r as integer) as rank from (select a, b, v, row_number() over (partition by a order by v, b) as r from (select a, b, cast(levenshtein(a, b) as integer) as v from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*'))) where r <= 2", _PAIRS))
+@query(V.sql("lb al", "select a, b, cast(v as integer) as v, cast(row_number() over (partition by a order by v, b) as integer) as rank from (select a, b, levenshtein(x, y) as v from pt) qualify row_number() over (partition by a order by v, b) <= 2", _PAIRS))
 def top_k_similar(spark: SparkSession, d: str) -> DataFrame:
-    return _top_2(_pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))))
-
-
-@query(V.sql("lb al", "select a, min_by(b, (levenshtein(a, b), abs(length(a) - length(b)), b)) as closest from pr where regexp_full_match(a || b, '[\\x00-\\x7F]*') group by a", _PAIRS))
-def closest(spark: SparkSession, d: str) -> DataFrame:
-    return _closest(_pairs(spark, d).where(text.is_ascii(F.concat("a", "b"))))
-
-
-# The six above hold what DuckDB's byte-wise functions can check, ASCII pairs; these six give every pair.
+    return ranking.top_k(_pairs(spark, d).withColumn("v", F.levenshtein("a", "b")), ["a"], [F.col("v").asc(), F.col("b").asc()], 2)
 
 
 @query()
-def dis_levenshtein_all(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", similarity.dis_levenshtein(F.col("a"), F.col("b")).alias("v"))
+def top_k_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The two aliases most like a label by the weighted ratio."""
+    p = _pairs(spark, d).withColumn("v", F.round(similarity.sim_weighted("a", "b"), 9))
+    return ranking.top_k(p, ["a"], [F.col("v").desc(), F.col("b").asc()], 2)
 
 
-@query()
-def dis_damerau_all(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", similarity.dis_damerau("a", "b").alias("v"))
-
-
-@query()
-def dis_hamming_all(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of unequal length too: the excess counts."""
-    return _pairs(spark, d).select("a", "b", similarity.dis_hamming("a", "b").alias("v"))
-
-
-@query()
-def sim_jaro_all(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", F.round(similarity.sim_jaro("a", "b"), 9).alias("j"), F.round(similarity.sim_jaro_winkler("a", "b"), 9).alias("w"))
-
-
-@query()
-def top_k_similar_all(spark: SparkSession, d: str) -> DataFrame:
-    return _top_2(_pairs(spark, d))
-
-
-@query()
-def closest_all(spark: SparkSession, d: str) -> DataFrame:
-    return _closest(_pairs(spark, d))
+@query(V.sql("lb al", "select a, min_by(b, (levenshtein(x, y), abs(length(a) - length(b)), b)) as closest from pt group by a", _PAIRS))
+def closest(spark: SparkSession, d: str) -> DataFrame:
+    order = F.struct(F.levenshtein("a", "b").alias("e"), F.abs(F.length("a") - F.length("b")).alias("l"), "b")
+    return _pairs(spark, d).groupBy("a").agg(F.min_by("b", order).alias("closest"))
 
 
 # --- rankings ---------------------------------------------------------------------------------------------------------
@@ -682,34 +742,39 @@ def merge_ranking(spark: SparkSession, d: str) -> DataFrame:
 # --- labels and search ------------------------------------------------------------------------------------------------
 
 
-def _labels(spark: SparkSession, d: str) -> DataFrame:
-    both = V.terms(spark, d, "label").unionByName(V.terms(spark, d, "alias"))
-    return both.select("id", F.when(F.col("lang") == "en", "en").otherwise("all").alias("scope"), "label")
+def _vocab(spark: SparkSession, d: str) -> DataFrame:
+    return labels.vocabulary(V.names(spark, d))
 
 
-_VOCAB = f"vo as (select distinct id, case when lang = 'en' then 'en' else 'all' end as scope, unnest([{_norm_sql('label', False)}, {_norm_sql('label', True)}]) as label from (select * from lb union all select * from al) where not regexp_matches(label, '^[QqPp][0-9]+$'))"
+_NAMES = "lb al it cl xm rd ec nm"
+_VOCAB = f"nb as (select distinct id, scope, {V.sql_nfkc('label')} as n from nm where not regexp_matches(label, '^[QqPp][0-9]+$')), vo as (select distinct id, scope, label from (select id, scope, unnest([{_norm_sql('n', False)}, {_norm_sql('n', True)}]) as label from nb) where label <> '')"
 
 
-@query(V.sql("lb al", "select id, scope, label from vo where label <> ''", _VOCAB))
+@query(V.sql(_NAMES, "select id, scope, label from vo", _VOCAB))
 def vocab_build(spark: SparkSession, d: str) -> DataFrame:
-    return labels.vocabulary(_labels(spark, d), compose=False)
+    return _vocab(spark, d)
+
 
+_ASKED = f"qs as (select text, {V.sql_nfkc('text')} as n from (select distinct label as text from it where label is not null))"
 
-@query(V.sql("lb al it", f"select text, coalesce(v1.label_id, v2.label_id) as label_id from (select distinct label as text from it where label is not null) q left join li v1 on v1.label = {_norm_sql('text', False)} left join li v2 on v2.label = {_norm_sql('text', True)} where coalesce(v1.label_id, v2.label_id) is not null", _VOCAB + ", li as (select label, row_number() over (order by label) - 1 as label_id from (select distinct label from vo where label <> ''))"))
+
+@query(V.sql(_NAMES, f"select text, coalesce(v1.label_id, v2.label_id) as label_id from qs left join li v1 on v1.label = {_norm_sql('n', False)} left join li v2 on v2.label = {_norm_sql('n', True)} where coalesce(v1.label_id, v2.label_id) is not null", f"{_VOCAB}, li as (select label, row_number() over (order by label) - 1 as label_id from (select distinct label from vo)), {_ASKED}"))
 def label_lookup(spark: SparkSession, d: str) -> DataFrame:
-    ids_ = labels.label_ids(labels.vocabulary(_labels(spark, d), compose=False))
-    return labels.lookup(V.items(spark, d).where("label is not null").select(F.col("label").alias("text")), ids_, compose=False)
+    ids_ = labels.label_ids(_vocab(spark, d))
+    return labels.lookup(V.items(spark, d).where("label is not null").select(F.col("label").alias("text")), ids_)
 
 
-@query()
-def vocab_build_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    return labels.vocabulary(_labels(spark, d))
+@query(V.sql(_NAMES, "select id, string_agg(distinct label, '|' order by label) as labels from vo where scope = 'en' and id in (select id from wd_item where deleted_at is not null) group by id", _VOCAB))
+def label_getter(spark: SparkSession, d: str) -> DataFrame:
+    """English labels of the items that were removed."""
+    gone = table(spark, d, "wd_item").where("deleted_at is not null").select("id")
+    return labels.labels_of(_vocab(spark, d), gone, "en").select("id", F.array_join("labels", "|").alias("labels"))
 
 
-@query()
-def label_lookup_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    ids_ = labels.label_ids(labels.vocabulary(_labels(spark, d)))
-    return labels.lookup(V.items(spark, d).where("label is not null").select(F.col("label").alias("text")), ids_)
+@query(V.sql(_NAMES, f"select distinct text from qt where {_norm_sql('n', False)} in (select label from vo where scope = 'en') or {_norm_sql('n', True)} in (select label from vo where scope = 'en')", f"{_VOCAB}, qt as (select text, {V.sql_nfkc('text')} as n from (select distinct title as text from documents where title is not null))"))
+def label_available(spark: SparkSession, d: str) -> DataFrame:
+    """Document titles that are an English label of some item."""
+    return labels.available(_vocab(spark, d), table(spark, d, "documents").where("title is not null").select(F.col("title").alias("text")), "en")
 
 
 def _degree(spark: SparkSession, d: str) -> DataFrame:
@@ -717,153 +782,118 @@ def _degree(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.col("tail").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
-_RANK = _VOCAB + ", dg as (select tail as id, cast(count(*) as double) as score from cl group by tail), ty as (select distinct tail as id from cl where prop = 'P279'), rk as (select v.label, case when v.id like 'P%' then 'property' when t.id is not null then 'type' else 'entity' end as kind, v.id, coalesce(g.score, 0) as score from (select distinct label, id from vo where label <> '') v left join dg g on g.id = v.id left join ty t on t.id = v.id), rr as (select *, row_number() over (partition by label, kind order by score desc, id) as rank from rk)"
+_RANK = _VOCAB + ", dg as (select tail as id, cast(count(*) as double) as score from cl group by tail), ty as (select distinct tail as id from cl where prop = 'P279'), rk as (select v.label, case when v.id like 'P%' then 'property' when t.id is not null then 'type' else 'entity' end as kind, v.id, coalesce(g.score, 0) as score from (select distinct label, id from vo) v left join dg g on g.id = v.id left join ty t on t.id = v.id), rr as (select *, row_number() over (partition by label, kind order by score desc, id) as rank from rk)"
 
 
-@query(V.sql("lb al cl", "select label, kind, id, score, cast(rank as integer) as rank from rr where rank <= 1000", _RANK))
+@query(V.sql(_NAMES, "select label, kind, id, score, cast(rank as integer) as rank from rr where rank <= 1000", _RANK))
 def label_rank(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_ranking(labels.vocabulary(_labels(spark, d), compose=False), _degree(spark, d), graph.types_in_use(V.claims(spark, d)))
-
+    """Rankings by number of claims, which SQL can check; entity_search ranks by PageRank."""
+    return labels.label_ranking(_vocab(spark, d), _degree(spark, d), graph.types_in_use(V.claims(spark, d)))
 
-@query()
-def label_rank_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    return labels.label_ranking(labels.vocabulary(_labels(spark, d)), _degree(spark, d), graph.types_in_use(V.claims(spark, d)))
 
+#: Edits and prefix that the delete index is built with; edits that a search for misspelled labels allows.
+EDITS, PREFIX, TYPOS = 4, 10, 2
 
-_DELETES = "w as (select distinct unnest(string_split(lower(p_name), ' ')) as word from part), pre as (select distinct word, word[:10] as p from w where word <> ''), de as (select word, p as del from pre union select word, p[:i - 1] || p[i + 1:] from (select word, p, unnest(generate_series(1, length(p))) as i from pre where length(p) > 1))"
+_DELETES = _VOCAB + ", d0 as (select label, left(label, 10) as del from (select distinct label from vo) where not regexp_matches(label, '^[QqPp][0-9]+$'))" + "".join(
+    f", d{k} as (select distinct label, left(del, i - 1) || substring(del, i + 1) as del from (select label, del, unnest(generate_series(1, length(del)))::integer as i from d{k - 1} where length(del) > 1))" for k in range(1, 5)
+) + ", de as (" + " union ".join(f"select label, del from d{k}" for k in range(5)) + ")"
+_TYPO = f"ty0 as (select {_norm_sql('n', False)} as t from (select {V.sql_nfkc('text')} as n from wd_term where term_id % 100 = 0 and text is not null)), tp as (select distinct left(t, 1) || substring(t, 3) as text from ty0 where left(t, 1) || substring(t, 3) <> '')"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("label")).where("label <> ''").distinct()
-
-
-@query(f"with {_DELETES} select distinct word as label, del from de")
-def delete_edits(spark: SparkSession, d: str) -> DataFrame:
-    return labels.deletes_of(_words(spark, d), "label", 1, 10).distinct()
-
-
-@query(f"with {_DELETES} select del, count(distinct word) as n, min(word) as first_label from de group by del")
-def delete_index(spark: SparkSession, d: str) -> DataFrame:
-    return labels.delete_index(_words(spark, d), 1, 10).groupBy("del").agg(F.countDistinct("label").alias("n"), F.min("label").alias("first_label"))
-
-
-@query(f"with {_DELETES}, f as (select word from w where word <> '' order by word limit 1) select distinct word as label from de where del = (select word[:length(word) - 1] from f)")
-def delete_posting(spark: SparkSession, d: str) -> DataFrame:
-    first = F.broadcast(_words(spark, d).orderBy("label").limit(1).select(F.expr("left(label, length(label) - 1)").alias("del")))
-    return labels.delete_index(_words(spark, d), 1, 10).join(first, "del").select("label").distinct()
-
-
-#: Edits and prefix that the production index is built with.
-_EDITS, _PREFIX = 4, 10
-
-
-def _vocab_words(spark: SparkSession, d: str) -> DataFrame:
-    return labels.vocabulary(_labels(spark, d)).select("label").distinct()
+    return _vocab(spark, d).select("label").distinct()
 
 
-def _term_typos(spark: SparkSession, d: str) -> DataFrame:
+def _typos(spark: SparkSession, d: str) -> DataFrame:
     """Normal forms of the terms with a number divisible by 100, with their second letter left out."""
     t = table(spark, d, "wd_term").where("term_id % 100 = 0 and text is not null").select(text.norm_text(F.col("text")).alias("t"))
     return t.select(F.expr("concat(left(t, 1), substr(t, 3))").alias("text")).where("text <> ''").distinct()
 
 
-# The four on words of parts can be checked in SQL; these run over the whole label vocabulary.
-
-
-@query()
-def delete_edits_all(spark: SparkSession, d: str) -> DataFrame:
-    return labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX).select("label", "del")
+@query(V.sql(_NAMES, "select label, count(*) as n, md5(string_agg(del, '|' order by del)) as edits from de group by label", _DELETES))
+def delete_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Number and digest of the delete edits of every label."""
+    e = labels.edits_of(_words(spark, d).where(~F.col("label").rlike(ids.ENTITY_ID)), "label", EDITS, PREFIX)
+    return e.select("label", F.size("dels").cast("bigint").alias("n"), F.md5(F.array_join("dels", "|")).alias("edits"))
 
 
-@query()
-def delete_index_all(spark: SparkSession, d: str) -> DataFrame:
-    i = labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX)
-    return i.groupBy("del").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first_label"))
+@query(V.sql(_NAMES, "select n, count(*) as n_edits, min(del) as first_edit from (select del, count(*) as n from de group by del) group by n", _DELETES))
+def delete_index(spark: SparkSession, d: str) -> DataFrame:
+    """How many delete edits lead to how many labels."""
+    i = labels.delete_index(_words(spark, d), EDITS, PREFIX).groupBy("del").agg(F.count(F.lit(1)).alias("n"))
+    return i.groupBy("n").agg(F.count(F.lit(1)).alias("n_edits"), F.min("del").alias("first_edit"))
 
 
-@query()
-def delete_posting_all(spark: SparkSession, d: str) -> DataFrame:
+@query(V.sql(_NAMES, "select text, label from tp join de on del = left(text, 10)", f"{_DELETES}, {_TYPO}"))
+def delete_posting(spark: SparkSession, d: str) -> DataFrame:
     """Labels that have the prefix of a typo among their delete edits."""
-    typos = _term_typos(spark, d).withColumn("del", F.left("text", F.lit(_PREFIX)))
-    return labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX).join(typos, "del").select("text", "label")
-
-
-@query()
-def fuzzy_search_all(spark: SparkSession, d: str) -> DataFrame:
-    return labels.fuzzy(_term_typos(spark, d), labels.delete_index(_vocab_words(spark, d), _EDITS, _PREFIX), _EDITS, _PREFIX)
+    typos = _typos(spark, d).withColumn("del", F.left("text", F.lit(PREFIX)))
+    return labels.delete_index(_words(spark, d), EDITS, PREFIX).join(typos, "del").select("text", "label")
 
 
-_ASK = [("a", "narrow lighthouse castle"), ("b", "quarry"), ("c", "the knowledge base links")]
-_BM = """ts as (select doc_id as doc, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as t from documents where text is not null),
-dd as (select doc, t, len(t) as len from ts where len(t) > 0), sz as (select count(*) as n, avg(len) as mean from dd),
-tm as (select doc, len, unnest(t) as term from dd),
-q as (select distinct query, unnest(string_split(text, ' ')) as term from (values ('a', 'narrow lighthouse castle'), ('b', 'quarry'), ('c', 'the knowledge base links')) v(query, text)),
-tf as (select doc, len, term, count(*) as tf from tm where term in (select term from q) group by all),
-df as (select term, count(*) as df from tf group by term),
-sc as (select q.query, tf.doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as raw from tf join df using (term) join q using (term), sz group by q.query, tf.doc),
-tp as (select *, row_number() over (partition by query order by round(raw, 9) desc, doc) as r from sc)"""
+_ALL_PAIRS = "wl as (select distinct label from vo where not regexp_matches(label, '^[QqPp][0-9]+$')), fc as (select text, label, array_to_string(list_distinct(string_split(text || label, '')), '') as cs from tp, wl where abs(length(text) - length(label)) <= 2 and list_has_any(string_split(left(text, 10), ''), string_split(left(label, 10), ''))), az as (select array_to_string(list_transform(generate_series(1, 126), lambda i: chr(cast(i as integer))), '') as z), fl as (select text, label, levenshtein(translate(text, cs, z[1:length(cs)]), translate(label, cs, z[1:length(cs)])) as e from fc, az)"
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ASK, "query string, text string")
-
-
-@query(f"with {_BM} select query, count(*) as n, round(max(s), 6) as top, round(avg(s), 3) as mean from (select query, (raw - min(raw) over (partition by query)) / (max(raw) over (partition by query) - min(raw) over (partition by query)) as s from tp where r <= 1000) group by query")
-def bm25_match(spark: SparkSession, d: str) -> DataFrame:
-    h = labels.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"), _asked(spark))
-    return h.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("top"), F.round(F.avg("score"), 3).alias("mean"))
+@query(V.sql(_NAMES, "select text, label, round(1 - e / greatest(length(text), length(label))::double, 9) as score from fl where e <= 2", f"{_VOCAB}, {_TYPO}, {_ALL_PAIRS}"))
+def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
+    """Labels within two edits of misspelled terms."""
+    return labels.fuzzy(_typos(spark, d), labels.delete_index(_words(spark, d), TYPOS, PREFIX), TYPOS, PREFIX).withColumn("score", F.round("score", 9))
 
 
-def _typos(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of parts with their second letter left out, as spelled wrongly."""
-    return _words(spark, d).where("length(label) > 3").select(F.expr("concat(left(label, 1), substr(label, 3))").alias("text"))
+def _label_index(spark: SparkSession, d: str) -> labels.SearchIndex:
+    """Labels of all languages, each different one as a document of its own."""
+    return labels.build_index(V.terms(spark, d, "label").select(F.col("label").alias("doc"), F.col("label").alias("text")).distinct())
 
 
-@query("with w as (select distinct unnest(string_split(lower(p_name), ' ')) as label from part), l as (select label from w where label <> ''), q as (select distinct label[1] || label[3:] as text from l where length(label) > 3) select text, label, round(1 - levenshtein(text, label) / greatest(length(text), length(label))::double, 9) as score from q, l where levenshtein(text, label) <= 2 and regexp_full_match(text || label, '[\\x00-\\x7F]*')")
-def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
-    return labels.fuzzy(_typos(spark, d), labels.delete_index(_words(spark, d), 2, 10), 2, 10).withColumn("score", F.round("score", 9))
+def _asks(spark: SparkSession, d: str) -> DataFrame:
+    """(query, text): the texts of all terms with a number divisible by 100."""
+    return table(spark, d, "wd_term").where("term_id % 100 = 0 and text is not null").select(F.col("term_id").alias("query"), "text")
 
 
-def _label_docs(spark: SparkSession, d: str) -> DataFrame:
-    return V.terms(spark, d, "label").select(F.concat_ws("/", "id", "lang").alias("doc"), F.col("label").alias("text"))
+def _terms_sql(x: str) -> str:
+    return f"list_filter(string_split_regex(lower(regexp_replace({x}, '(\\p{{L}})Σ($|[^\\p{{L}}])', '\\1ς\\2', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
-def _term_asks(spark: SparkSession, d: str) -> DataFrame:
-    """(query, text): the texts of all terms with a number divisible by 100."""
-    return table(spark, d, "wd_term").where("term_id % 100 = 0 and text is not null").select(F.col("term_id").alias("query"), "text")
+_BM = f"""dd as (select doc, t, len(t) as len from (select label as doc, {_terms_sql('label')} as t from (select distinct label from lb)) where len(t) > 0),
+sz as (select count(*) as n, avg(len) as mean from dd), tm as (select doc, len, unnest(t) as term from dd), tf as (select doc, len, term, count(*) as tf from tm group by all), df as (select term, count(*) as df from tf group by term),
+q as (select distinct term_id as query, unnest({_terms_sql('text')}) as term from wd_term where term_id % 100 = 0 and text is not null),
+sc as (select q.query, tf.doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) as raw from tf join df using (term) join q using (term), sz group by q.query, tf.doc),
+tp as (select * from sc qualify row_number() over (partition by query order by raw desc, doc) <= 1000)"""
 
 
-@query()
-def bm25_match_all(spark: SparkSession, d: str) -> DataFrame:
+@query(V.sql("lb", "select query, doc, round(case when max(raw) over w = min(raw) over w then 1.0 else (raw - min(raw) over w) / (max(raw) over w - min(raw) over w) end, 6) as score from tp window w as (partition by query)", _BM))
+def bm25_match(spark: SparkSession, d: str) -> DataFrame:
     """The hits of every hundredth term among the labels of all languages."""
-    return labels.bm25(_label_docs(spark, d), _term_asks(spark, d))
+    return labels.bm25(_label_index(spark, d), _asks(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query()
 def label_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of every hundredth term over item labels, with the rewrites of texts that hold parentheses or brackets."""
-    v = labels.query_variants(_term_asks(spark, d)).withColumn("variant", F.concat_ws("|", "query", "text"))
-    h = labels.bm25(_label_docs(spark, d), v.select(F.col("variant").alias("query"), "text")).withColumnRenamed("query", "variant")
+    v = labels.query_variants(_asks(spark, d)).withColumn("variant", F.concat_ws("|", "query", "text"))
+    h = labels.bm25(_label_index(spark, d), v.select(F.col("variant").alias("query"), "text")).withColumnRenamed("query", "variant")
     return h.join(v.select("variant", "query", "weight"), "variant").groupBy("query", "doc").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
 
 
 @query()
 def bm25_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Full-text match of every hundredth term where each word may be spelled with up to one error."""
-    docs = _label_docs(spark, d)
-    words = docs.select(F.explode(labels.terms(F.col("text"))).alias("label")).distinct()
-    q = _term_asks(spark, d).select("query", F.explode(labels.terms(F.col("text"))).alias("text")).distinct()
-    near = labels.fuzzy(q.select("text"), labels.delete_index(words, 1, 12), 1, 12)
-    return labels.bm25(docs, q.join(near.drop("score"), "text").groupBy("query").agg(F.array_join(F.collect_set("label"), " ").alias("text")))
+    index = _label_index(spark, d)
+    q = _asks(spark, d).select("query", F.explode(labels.terms(F.col("text"))).alias("text")).distinct()
+    near = labels.fuzzy(q.select("text"), labels.delete_index(index.postings.select(F.col("term").alias("label")), 1, 12), 1, 12)
+    return labels.bm25(index, q.join(near.drop("score"), "text").groupBy("query").agg(F.array_join(F.collect_set("label"), " ").alias("text")))
 
 
 @query()
 def entity_search(spark: SparkSession, d: str) -> DataFrame:
-    """Ranked entities of misspelled labels in all languages: fuzzy label hits, label ranking by PageRank, likeness."""
-    vocab = labels.vocabulary(_labels(spark, d))
-    hits = labels.fuzzy(_term_typos(spark, d), labels.delete_index(vocab.select("label"), 2, 10), 2, 10)
+    """Ranked entities of misspelled labels in all languages: full-text and fuzzy hits merged, PageRank, likeness."""
+    vocab = cut(_vocab(spark, d))
+    words, typos = vocab.select("label").distinct(), _typos(spark, d)
+    near = labels.fuzzy(typos, labels.delete_index(words, TYPOS, PREFIX), TYPOS, PREFIX)
+    full = labels.bm25(labels.build_index(words.select(F.col("label").alias("doc"), F.col("label").alias("text"))), typos.select(F.col("text").alias("query"), "text"))
+    hits = labels.label_hits(full.select(F.col("query").alias("text"), F.col("doc").alias("label"), "score"), near, "a")
     pr = graph.pagerank(_weights(spark, d))
     low, high = pr.agg(F.min("score"), F.max("score")).first()
     rank = labels.label_ranking(vocab, pr.select("id", ((F.col("score") - low) / ((high - low) or 1.0)).alias("score")), graph.types_in_use(V.claims(spark, d)))
-    main = V.terms(spark, d, "label").select("id", F.lower("label").alias("label"))
-    return labels.entity_search(hits, rank, main)
+    main = V.items(spark, d).where("label is not null").select("id", F.lower("label").alias("label"))
+    return labels.entity_search(hits, rank, main, vocab)

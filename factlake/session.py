@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_USED: set[str] = set()
 
 
 def build_session(app: str = "factlake", cores: int | str = "*", memory: str = "8g", **conf) -> SparkSession:
@@ -46,9 +47,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT[0]}"
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application; it goes when the driver's program ends, or by sweep()."""
+    path = f"{checkpoint_root(spark)}/factlake/{spark.sparkContext.applicationId}"
+    if path not in _USED:
+        _USED.add(path)
+        atexit.register(_sweep_at_exit, spark, os.getpid())
+    return path
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete everything that this application has written with cut(): once the results made so far have been read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep_at_exit(spark: SparkSession, owner: int) -> None:
+    if os.getpid() == owner and spark.sparkContext._jsc is not None:
+        try:
+            sweep(spark)
+        except Exception:  # the JVM is gone already; a folder is left, results are not touched
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: one pass, survives the loss of executors, ends the lineage."""
-    path = f"{checkpoint_root(df.sparkSession)}/factlake/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._factlake_cut = path

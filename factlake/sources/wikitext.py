@@ -13,8 +13,56 @@ _LINK = re.compile(r"\[\[\s*:?([^\[\]|#]+)(?:#[^\[\]|]*)?(?:\|[^\[\]]*)?\]\]")
 _HEADING = re.compile(r"^(=+)\s*(.*?)\s*\1\s*$", re.MULTILINE)
 _TAGS = re.compile(r"<ref\b[^<>]*/>|<ref\b.*?</ref>|<!--.*?-->|</?[A-Za-z][^<>]*>", re.DOTALL)
 _MEDIA = re.compile(r"\s*(?:file|image)\s*:", re.IGNORECASE)
-#: Templates whose arguments are text that stays; the last argument is what they show.
-_TEXT_TEMPLATES = re.compile(r"\{\{\s*(?:small|nowrap|lang|ipa|center|plainlist|angle bracket|nom|included|font color|sortname)\s*\|([^{}]*)\}\}", re.IGNORECASE)
+#: Templates that are replaced by text, and by which: all their arguments, the arguments without `*`, the
+#: first one, the first two, the last one.
+TEXT_TEMPLATES = {
+    "small": "all", "angle bracket": "all", "ipa": "all", "nowrap": "all", "center": "all", "plainlist": "unstarred", "included": "all", "nom": "all",
+    "bartable": "first", "sortname": "names", "font color": "last",
+}
+_INNERMOST = re.compile(r"\{\{([^{}]*)\}\}")
+
+
+def expand_templates(text: str) -> str:
+    """Text templates replaced by what they show, from the inside out; others stay as they are."""
+    kept: list[str] = []
+
+    def one(m: re.Match) -> str:
+        name, *args = m[1].split("|")
+        rule = TEXT_TEMPLATES.get(name.strip().lower())
+        if rule in ("all", "unstarred"):
+            shown = "|".join(args)
+            return shown.replace("*", "") if rule == "unstarred" else shown
+        if rule == "first" and args:
+            return args[0]
+        if rule == "names" and len(args) > 1:
+            return " ".join(args[:2])
+        if rule == "last":
+            return args[-1] if args else m[1]
+        kept.append(m[0])
+        return f"\ue002{len(kept) - 1}\ue003"
+
+    text = text.replace("\ue002", "").replace("\ue003", "")
+    while (new := _INNERMOST.sub(one, text)) != text:
+        text = new
+    while (new := re.sub("\ue002([0-9]+)\ue003", lambda m: kept[int(m[1])], text)) != text:
+        text = new
+    return text
+
+
+#: Spellings of a line break.
+BREAKS = ("{{break}}", "<br />", "<br/>", "<br>", "<br", " \n", "\n ")
+#: Spans of markup that are taken off with their text, by start and end.
+SPANS = (("<ref", "/ref>"), ("<ref", "/>"), ("<!--", "-->"))
+
+
+def cell_text(text: str) -> str:
+    """Text of a table cell: breaks as new lines, formatnum and text templates resolved, references and comments off."""
+    for b in BREAKS:
+        text = text.replace(b, "\n")
+    text = expand_templates(re.sub(r"\{\{formatnum:([^{}]*)\}\}", r"\1", text))
+    for a, b in SPANS:
+        text = re.sub(f"(?s){re.escape(a)}.*?{re.escape(b)}", "", text)
+    return text.strip()
 
 
 def _template_end(text: str, at: int) -> int:
@@ -46,11 +94,7 @@ def _arguments(body: str) -> list[str]:
 
 def plain_text(text: str) -> str:
     """Wiki markup off: text templates keep what they show, other templates, tags, tables and media go, links keep their text."""
-    for _ in range(3):
-        new = _TEXT_TEMPLATES.sub(lambda m: m[1].rpartition("|")[2], text)
-        if new == text:
-            break
-        text = new
+    text = expand_templates(re.sub(r"\{\{formatnum:([^{}]*)\}\}", r"\1", text))
     out, at = [], 0
     while (i := text.find("{{", at)) >= 0:
         out.append(text[at:i])

@@ -1,4 +1,4 @@
-"""Incremental set merge of a stream of (key, value) rows into a table, one batch at a time."""
+"""Incremental set merge of a stream of (key, value) rows into a table."""
 
 from __future__ import annotations
 
@@ -7,21 +7,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def merge_stream(rows: DataFrame, path: str, key: str, value: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append each batch's new (key, value) rows to the Parquet table at `path`; rows it has already are left out.
+    """Append the (key, value) rows that the Parquet table at `path` doesn't have yet; rows with a null are left out.
 
-    Each batch has a folder of its own (batch=N), replaced when the batch is run again, so a restart repeats nothing.
+    Which rows are there is kept in the query's state store, split by (key, value), so a batch costs what it brings and
+    not what the table holds. The file sink's log and the checkpoint make a restart repeat nothing.
     """
-
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(key, value).dropna().distinct()
-        try:
-            old = spark.read.parquet(path).where(f"batch <> {number}")
-            fresh = fresh.join(old.select(key, value), [key, value], "left_anti")
-        except Exception as e:  # the first batch: nothing there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    fresh = rows.select(key, value).dropna().dropDuplicates([key, value])
+    writer = fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

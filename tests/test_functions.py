@@ -57,7 +57,12 @@ def test_text(spark):
     assert one(ids.plain_id, " http://KB.example/entity/q12 ") == "Q12" and one(ids.plain_id, None) is None
     assert one(ids.plain_title, "mount_X  ") == "Mount X" and one(ids.plain_title, "") == "" and one(ids.plain_title, None) is None
     assert one(text.norm_text, "Café​  ooooh ＡＢ") == "café ooh ab" and one(lambda c: text.norm_text(c, True), "?!") == "?!" and one(lambda c: text.norm_text(c, article=True), "The Old and Mill") == "old mill"
-    assert one(text.clean_brackets, "[[A|b]] (x") == "A|b x" and one(text.clean_brackets, "See [[A]]") == "" and one(text.strip_tags, "a<br/>b  c") == "a b c"
+    for t, want in {"[[A|b]] (x": "[[A|b]] x", "See [[A]]": "", "a [[B#c]] d": "a  d", "x [[B#c": "x", "y]] z": "z", "(a) b)": "(a) b)", "a) b": "a b", "see": "", "[[a]]": "[[a]]", "#[[a]": "#"}.items():
+        assert one(text.clean_brackets, t) == want, t
+    assert one(text.norm_query, "Re: The  Mill and a Lake") == " mill lake" and one(text.norm_query, "re:x") == "x"
+    assert one(lambda c: text.remove_spans(c, [("<ref", "/ref>"), ("(", ")")]), "a<ref>b/ref> (c) (d") == "a  (d" and one(lambda c: text.remove_parts(c, ["<b>", "&"]), "a<b>c&") == "a c"
+    assert one(text.abbreviate, "Ada " + "x " * 3000) == "A. " + ("x " * 3000).strip()
+    assert one(text.strip_tags, "a<br/>b  c") == "a b c"
     assert one(text.abbreviate, "Ada Love King") == "A. Love King" and one(text.abbreviate, "Ada") is None
     assert one(text.strip_namespaces, "<http://kb.example/resource/X>") == "X"
     assert one(numbers.convert_num, "1,234.5") == 1234.5 and one(numbers.convert_num, "x") is None
