@@ -176,7 +176,7 @@ sng as (select line_no, k, pos, sub, e.key as k2, case json_type(e.value) when '
 sn as (select line_no, 'refsnak', k, pos, sub, k2, cast(a.key as integer) from sng, json_each(sng.v) a where json_type(a.value) = 'OBJECT' and json_type(a.value, '$.datavalue') <> 'NULL')
 select * from lab union all select * from sit union all select * from ali union all select line_no, 'claim', k, pos, -1, '', -1 from cl union all select * from qua union all select line_no, 'reference', k, pos, sub, '', -1 from rf union all select * from sn"""
 
-_JUDGED = r"""with raw as (select line_no, trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)) as t from entity_dump where raw_line is not null),
+JUDGED = r"""with raw as (select line_no, trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)) as t from entity_dump where raw_line is not null),
 ent as (select line_no, regexp_replace(t, '\s*,$', '') as l from raw where t not in ('', '[', ']')),
 jud as (select line_no, case when json_valid(l) and starts_with(l, '{') and not regexp_matches(l, ',\s*\}\s*$') then case when json_type(l, '$.id') = 'VARCHAR' and regexp_full_match(json_extract_string(l, '$.id'), '[QqPpLl][0-9]+') then null else 'id' end else 'json' end as reason from ent),
 ins as (select line_no, regexp_extract(raw_line, '^\s*INSERT INTO `(\w+)` VALUES', 1) as tbl, regexp_extract(raw_line, '^\s*INSERT INTO `\w+` VALUES\s*(.*)$', 1) as v from sql_dump where regexp_matches(raw_line, '^\s*INSERT INTO `(page|redirect|page_props)` VALUES')),
@@ -192,11 +192,11 @@ bad as (select line_no, tuple_no, shape, case when not shape then true else not
     when 'redirect' then regexp_full_match(c[2], '[0-9]+') and coalesce(u[3], '') <> ''
     else coalesce(u[2], '') <> '' and (u[2] <> 'wikibase_item' or regexp_full_match(coalesce(u[3], ''), '[Qq][0-9]+')) end, false) end as wrong from tst)"""
 
-_REJECTED = _JUDGED + r""" select 'entity_dump' as tab, line_no, 0 as tuple_no, reason from jud where reason is not null
+_REJECTED = JUDGED + r""" select 'entity_dump' as tab, line_no, 0 as tuple_no, reason from jud where reason is not null
 union all select 'sql_dump', line_no, 0, 'quoting' from quo where not fine
 union all select 'sql_dump', line_no, tuple_no, case when shape then 'value' else 'columns' end from bad where wrong"""
 
-_LOADED = _JUDGED + r""",
+_LOADED = JUDGED + r""",
 nam as (select 'page' as tbl, ['page_id', 'page_namespace', 'page_title', 'page_is_redirect', 'page_len', 'page_touched'] as ns union all select 'redirect', ['rd_from', 'rd_namespace', 'rd_title', 'rd_interwiki', 'rd_fragment'] union all select 'page_props', ['pp_page', 'pp_propname', 'pp_value', 'pp_sortkey']),
 fin as (select t.line_no, t.tuple_no, t.tbl, unnest(n.ns) as name, unnest(t.u) as value from tst t join nam n using (tbl) where (t.line_no, t.tuple_no) in (select (line_no, tuple_no) from bad where not wrong))
 select 'sql_dump' as tab, line_no, tuple_no, tbl, name, regexp_replace(value, '\\(.)', '\1', 'g') as value from fin

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factlake.functions import ids, numbers, similarity, text
 from factlake.operators import graph, labels, mapping, ranking, store
 from factlake.plans import views as V
+from factlake.plans.problems import JUDGED
 from factlake.session import checkpoint_root, cut
 from factlake.sources import entities, files, sql_dump, wikitext
 from factlake.tables import table
@@ -598,7 +599,7 @@ def xml_pages(spark: SparkSession, d: str) -> DataFrame:
     return files.read_pages(spark, path).select("title", "redirect", F.md5("text").alias("t"))
 
 
-@query()
+@query(JUDGED + " select tbl, 'quoting' as fault, cast(null as integer) as n_cells, count(*) as n from quo where not fine group by tbl union all select tbl, null, cast(len(c) as integer), count(*) from cel group by tbl, len(c)")
 def sql_rows(spark: SparkSession, d: str) -> DataFrame:
     """Tuples of every INSERT line by table, with their number of cells."""
     t = sql_dump.sql_tuples(table(spark, d, "sql_dump"))
