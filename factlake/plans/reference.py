@@ -57,6 +57,12 @@ def table_stats(spark: SparkSession, d: str) -> DataFrame:
     return store.stats({t: table(spark, d, t) for t in _STATS})
 
 
+@query()
+def table_info(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, columns, types and first row of the tables."""
+    return store.describe({t: table(spark, d, t) for t in _STATS})
+
+
 @query(V.sql("it", "select i.id, i.label, i.kind from it i where i.id in (select id from wd_item where deleted_at is not null)"))
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "wd_item").where("deleted_at is not null").select("id")
@@ -617,6 +623,13 @@ def wiki_plain_text(spark: SparkSession, d: str) -> DataFrame:
     return wikitext.plain_pages(table(spark, d, "wp_dump"), "page_id", "wiki_text").withColumnRenamed("key", "page_id")
 
 
+@query(V.sql("ea", "select id, part, k, value from ea"))
+def item_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, descriptions, aliases and sitelinks of every item of the entity dump."""
+    f = entities.read_entities(table(spark, d, "entity_dump"))
+    return f.where(F.col("part").isin("label", "description", "alias", "sitelink")).select("id", "part", "k", "value").distinct()
+
+
 @query()
 def entity_facts(spark: SparkSession, d: str) -> DataFrame:
     """Labels, descriptions, aliases, sitelinks and typed claims of the entity dump."""

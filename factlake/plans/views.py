@@ -127,6 +127,10 @@ _LITERALS = " union all ".join(
     for c, kind in cols.items()
 )
 
+#: Lines of the entity dump that load and are items or properties, as (l).
+_OK = r"""select l from (select regexp_replace(trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)), ',$', '') as l from entity_dump where raw_line is not null)
+            where case when json_valid(l) and starts_with(l, '{') and not regexp_matches(l, ',\s*\}\s*$') then regexp_full_match(coalesce(case when json_type(l, '$.id') = 'VARCHAR' then json_extract_string(l, '$.id') end, ''), '[QqPp][0-9]+') else false end"""
+
 _SQL = {
     "cl": f"select distinct {sql_id('head')} as head, prop, {sql_id('tail')} as tail from claims_ent where head is not null and tail is not null and prop is not null",
     "it": "select distinct id, lid, label, kind from wd_item",
@@ -140,11 +144,15 @@ _SQL = {
       case when type = 'quantity' then case coalesce(json_extract_string(v, '$.unit'), '1') when '1' then '-1' else regexp_extract(json_extract_string(v, '$.unit'), '[^/]*$') end end as unit
       from (select id, prop, json_extract_string(s, '$.mainsnak.datavalue.type') as type, json_extract(s, '$.mainsnak.datavalue.value') as v from (
         select id, prop, unnest(from_json(case json_type(g) when 'OBJECT' then json_array(g) else g end, '["json"]')) as s from (
-          select upper(json_extract_string(o.l, '$.id')) as id, e.key as prop, e.value as g from (
-            select l from (select regexp_replace(trim(raw_line, ' ' || chr(9) || chr(10) || chr(13)), ',$', '') as l from entity_dump where raw_line is not null)
-            where case when json_valid(l) and starts_with(l, '{') and not regexp_matches(l, ',\s*\}\s*$') then regexp_full_match(coalesce(case when json_type(l, '$.id') = 'VARCHAR' then json_extract_string(l, '$.id') end, ''), '[QqPp][0-9]+') else false end) o,
+          select upper(json_extract_string(o.l, '$.id')) as id, e.key as prop, e.value as g from (@OK) o,
           json_each(o.l, '$.claims') e where json_type(o.l, '$.claims') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')))
         where json_type(s) = 'OBJECT' and json_type(s, '$.mainsnak') = 'OBJECT' and json_type(s, '$.mainsnak.datavalue') = 'OBJECT')""",
+    "ea": r"""select distinct id, part, k, value from (
+      select upper(json_extract_string(o.l, '$.id')) as id, 'label' as part, e.key as k, json_extract_string(e.value, '$.value') as value from (@OK) o, json_each(o.l, '$.labels') e where json_type(o.l, '$.labels') = 'OBJECT' and json_type(e.value) = 'OBJECT'
+      union all select upper(json_extract_string(o.l, '$.id')), 'description', e.key, json_extract_string(e.value, '$.value') from (@OK) o, json_each(o.l, '$.descriptions') e where json_type(o.l, '$.descriptions') = 'OBJECT' and json_type(e.value) = 'OBJECT'
+      union all select upper(json_extract_string(o.l, '$.id')), 'sitelink', e.key, json_extract_string(e.value, '$.title') from (@OK) o, json_each(o.l, '$.sitelinks') e where json_type(o.l, '$.sitelinks') = 'OBJECT' and json_type(e.value) = 'OBJECT'
+      union all select id, 'alias', k, json_extract_string(s, '$.value') from (select upper(json_extract_string(o.l, '$.id')) as id, e.key as k, unnest(from_json(case json_type(e.value) when 'OBJECT' then json_array(e.value) else e.value end, '["json"]')) as s from (@OK) o, json_each(o.l, '$.aliases') e where json_type(o.l, '$.aliases') = 'OBJECT' and json_type(e.value) in ('OBJECT', 'ARRAY')) where json_type(s) = 'OBJECT')
+      where value is not null""",
     "nm": f"""select id, unnest(case when scope = 'en' then ['en', 'all'] else ['all'] end) as scope, label from (
       select id, case when lang = 'en' then 'en' else 'all' end as scope, label from lb union all select id, case when lang = 'en' then 'en' else 'all' end, label from al
       union all select id, 'en', label from it where label is not null
@@ -156,5 +164,5 @@ _SQL = {
 
 def sql(names: str, query: str, more: str = "", recursive: bool = False) -> str:
     """SQL with the views named (separated by spaces), further named queries, and the query itself."""
-    parts = [f"{n} as ({_SQL[n]})" for n in names.split()]
+    parts = [f"{n} as ({_SQL[n].replace('@OK', _OK)})" for n in names.split()]
     return f"with {'recursive ' if recursive else ''}{', '.join([*parts, *([more] if more else [])])} {query}" if parts or more else query
