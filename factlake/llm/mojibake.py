@@ -56,7 +56,9 @@ _MANY_BYTES = ("utf-8", "shift_jis", "euc_jp")
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_WORDS, MARGIN = 3_000, 4_000, 25_000, 8.0
 _BUCKETS = 1 << 17
 _ALPHA = 0.02
-_UNIT = re.compile(r"[　-鿿가-힯＀-￯]+|[^\x00-\x20　-鿿가-힯＀-￯]+")
+_ASIA = "　-鿿가-힯＀-￯"
+#: A stretch without ASCII spaces that holds a character beyond ASCII; East Asian ones by themselves.
+_UNIT = re.compile(rf"[{_ASIA}]+|(?<![^\x00-\x20{_ASIA}])(?>[!-\x7f]*)[^\x00-\x7f{_ASIA}][^\x00-\x20{_ASIA}]*")
 _CHUNK = 100_000
 
 
@@ -116,11 +118,9 @@ def units(text: str, split: bool = False) -> list[tuple[int, int]]:
     split: also at quotes and dashes, for garbled letters beside sound quotes.
     """
     if not split:
-        return [m.span() for m in _UNIT.finditer(text) if not m[0].isascii()]
+        return [m.span() for m in _UNIT.finditer(text)]
     out = []
     for m in _UNIT.finditer(text):
-        if m[0].isascii():
-            continue
         at = m.start()
         for k, part in enumerate(_QUOTES.split(m[0])):
             if not k % 2 and part and not part.isascii():
@@ -175,7 +175,7 @@ class Classifier:
     def __init__(self, names: list[str], weights: np.ndarray, pairs: set[str]):
         self.names, self.weights, self.pairs = names, weights, pairs
         self._best = (weights[:, 1:] - weights[:, :1]).max(1)  # what one feature can speak for any chain
-        self._known: dict[str, bool] = {}
+        self._known: dict[str, float] = {}
 
     def __getstate__(self):
         return self.names, self.weights, self.pairs
@@ -239,7 +239,7 @@ class Classifier:
         return np.concatenate(out) if out else np.zeros((0, *table.shape[1:]))
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Tell which pieces are likelier under a chain than as clean text; each different one is scored once.
+        """Find by how much pieces are likelier under any chain than as clean text, 0 if not; each different one is scored once.
 
         The sum of what each feature can speak for any chain bounds what they speak for one; most pieces are clean by it.
         """
@@ -247,10 +247,10 @@ class Classifier:
         if len(self._known) + len(new) > self.KNOWN:
             self._known.clear()
             new = list(set(pieces))
-        self._known.update(dict.fromkeys(new, False))
+        self._known.update(dict.fromkeys(new, 0.0))
         some = [p for p, x in zip(new, self._sums(new, self._best)) if x > 0]
         s = self.scores(some)
-        self._known.update((p, True) for p, x in zip(some, s) if x[1:].max() > x[0])
+        self._known.update((p, float(x[1:].max() - x[0])) for p, x in zip(some, s) if x[1:].max() > x[0])
 
     def judge(self, text: str, spans: list[tuple[int, int]], margin: float = MARGIN) -> tuple[str, int, int, dict[int, str]] | None:
         """(chain, first span, last span, restored spans by number) of the most likely garbled stretch of a text, or None.
@@ -260,8 +260,9 @@ class Classifier:
         scores = self.scores([text[a:b] for a, b in spans])
         gain = scores[:, 1:] - scores[:, :1]
         best = None
+        speaks = np.maximum(gain, 0).sum(0)
         for c in np.argsort(-gain.max(0)):
-            if gain[:, c].max() <= 0 or np.maximum(gain[:, c], 0).sum() < margin:
+            if speaks[c] < margin:
                 continue
             chain, v = self.names[c], gain[:, c].copy()
             back: dict[int, str] = {}
@@ -304,7 +305,7 @@ class Classifier:
             while True:
                 spans = [(a, b) for a, b in units(now, split) if now[a:b] not in lost]
                 self.learn([now[a:b] for a, b in spans])
-                if not any(self._known[now[a:b]] for a, b in spans) or not (hit := self.judge(now, spans, margin)):
+                if sum(self._known[now[a:b]] for a, b in spans) < margin or not (hit := self.judge(now, spans, margin)):
                     break
                 chain, i, j, back = hit
                 place = place or (spans[i][0], spans[j][1])
@@ -322,9 +323,11 @@ class Classifier:
 
     def repair_many(self, docs: list[tuple[int, str]]) -> list[tuple]:
         """(doc, chains, start, stop, restored, complete) of the garbled ones among (doc, text)."""
-        own = [{t[a:b] for a, b in units(t)} | ({t[a:b] for a, b in units(t, True)} if _QUOTES.search(t) else set()) for _, t in docs]
-        self.learn(set().union(*own))
-        return [(doc, *hit) for (doc, t), pieces in zip(docs, own) if any(map(self._known.get, pieces)) and (hit := self.repair(t))]
+        whole = [_UNIT.findall(t) for _, t in docs]
+        parts = [[p for u in us if _QUOTES.search(u) for p in _QUOTES.split(u)[::2] if p and not p.isascii()] if _QUOTES.search(t) else [] for (_, t), us in zip(docs, whole)]
+        self.learn(set().union(*whole, *parts))
+        speaks = lambda pieces: sum(map(self._known.get, pieces))
+        return [(doc, *hit) for (doc, t), us, ps in zip(docs, whole, parts) if (x := speaks(us)) >= MARGIN or ps and x + speaks(ps) >= MARGIN if (hit := self.repair(t))]
 
 
 OUT = "doc bigint, chain string, start int, stop int, restored string, complete boolean"
