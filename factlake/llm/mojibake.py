@@ -266,7 +266,9 @@ class Classifier:
                 continue
             chain, v = self.names[c], gain[:, c].copy()
             back: dict[int, str] = {}
-            if chain not in LOSSY:
+            if chain in LOSSY:  # it leaves a replacement character, or nothing is lost
+                v = np.where(["\ufffd" in text[a:b] for a, b in spans], v, np.minimum(v, -1.0))
+            else:
                 plus = np.nonzero(v > 0)[0]
                 found = {i: restore(text[spans[i][0] : spans[i][1]], chain) for i in plus}
                 one_byte = CHAINS[chain][0][0] not in _MANY_BYTES

@@ -401,6 +401,13 @@ def test_held_out(model):
     assert tried > 300 and right / tried > 0.95
 
 
+def test_capitals_are_not_lost_bytes(model):
+    """Clean words that are rare in the sample aren't taken for what a lossy chain leaves: nothing is replaced in them."""
+    for t in ("NÖRDLICHE ANLAGE BEI TUPASTODRU, ERWÄHNT IM JAHR 1361.", "ÉLÉMENT ÎLE", "ΝΗΣΟΣ ΒΙΒΛΙΟ", "ÄÖÜ ẞ"):
+        hit = model.repair(t)
+        assert hit is None or "lost" not in hit[0]
+
+
 def test_several_chains(model):
     """Stretches of different chains, twice garbled ones and lost bytes in one text: all that can be is put right."""
     a, b, c = "Brüdogé covers Köziná", "La commune de Zuféla à Pâlonê", "гавань около Тонипело"
