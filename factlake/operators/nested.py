@@ -77,8 +77,8 @@ SCHEMA = "rec string, line_no bigint, child string, keys array<string>, ords arr
 def node_hash(kind: str, body: str, children: list[tuple] = ()) -> bytes:
     """128 bits of a node: its kind, its own members in canonical form and, for every child, member, key, ordinal and hash."""
     h = blake2b(f"{kind} {body}".encode(), digest_size=16)
-    for place in sorted(children):  # members of an object may come in any order
-        h.update(repr(place).encode())
+    if children:  # members of an object may come in any order
+        h.update(repr(sorted(children)).encode())
     return h.digest()
 
 

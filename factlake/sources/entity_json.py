@@ -47,7 +47,16 @@ def _number_as_text(x):
     raise TypeError(type(x).__name__)
 
 
-_encode = json.JSONEncoder(ensure_ascii=True, sort_keys=True, separators=(",", ":"), default=_number_as_text).encode
+def _encoder():
+    """JSONEncoder(...).encode makes a new encoder of its own for every value; this one is made once."""
+    make = json.encoder.c_make_encoder
+    if make is None:
+        return json.JSONEncoder(sort_keys=True, separators=(",", ":"), default=_number_as_text).encode
+    run = make(None, _number_as_text, json.encoder.encode_basestring_ascii, None, ":", ",", True, False, True)
+    return lambda x: "".join(run(x, 0))
+
+
+_encode = _encoder()
 
 
 def canonical(x) -> str:
