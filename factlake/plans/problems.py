@@ -124,8 +124,9 @@ def p7_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per head, with a map of its attributes and their values for each type."""
-    return widen.wide(widen.compact(_deltas(spark, d)))
+    """One row per head, with a map of its attributes and their values for each type, written as JSON."""
+    w = widen.wide(widen.compact(_deltas(spark, d)))
+    return w.select("head", *[F.to_json(c).alias(c) for c in ("entity", "quantity", "time", "string")])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p2_found, p2_paths, p2_descendants, p2_spare, p3_found, p3_report, p6_found, p6_loaded, p7_found, p7_latest, p7_wide)}

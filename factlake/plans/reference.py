@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from factlake.functions import ids, numbers, similarity, text
 from factlake.operators import graph, labels, mapping, ranking, store
 from factlake.plans import views as V
 from factlake.plans.problems import JUDGED
-from factlake.session import checkpoint_root, cut
+from factlake.session import cut, own_folder
 from factlake.sources import entities, files, sql_dump, wikitext
 from factlake.tables import table
 
@@ -569,8 +570,8 @@ def literal_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str, d: str) -> str:
-    """A place in the shared folder of its own."""
-    return f"{checkpoint_root(spark)}/factlake/files/{name}-{abs(hash(d)) % 10**8}"
+    """A place of its own in the shared folder of this application."""
+    return f"{own_folder(spark)}/files-{name}-{uuid.uuid4().hex}"
 
 
 @query("select c_custkey, c_name, c_acctbal from customer")

@@ -47,7 +47,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL_ROOT[0]}"
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
     """The folder of this application; it goes when the driver's program ends, or by sweep()."""
     path = f"{checkpoint_root(spark)}/factlake/{spark.sparkContext.applicationId}"
     if path not in _USED:
@@ -58,7 +58,7 @@ def _own_folder(spark: SparkSession) -> str:
 
 def sweep(spark: SparkSession) -> None:
     """Delete everything that this application has written with cut(): once the results made so far have been read."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    p = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -72,7 +72,7 @@ def _sweep_at_exit(spark: SparkSession, owner: int) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: one pass, survives the loss of executors, ends the lineage."""
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._factlake_cut = path
