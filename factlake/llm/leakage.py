@@ -5,7 +5,7 @@ row, taken at every STEP-th word of a passage, so every run of MIN_WORDS words h
 extended to both sides as far as text and passage agree. Stretches found are laid over the words of their item; offsets
 are mapped back to the document as it was written.
 
-Seeds instead of all windows keep the automaton at about 35 bytes a character of test text. Tasks build it from the test
+Seeds instead of all windows keep the automaton under 40 bytes a character of test text. Tasks build it from the test
 text itself, which is all that is sent to them, and keep it for as long as they work on the same test text.
 """
 
@@ -26,7 +26,7 @@ from factlake.session import cut
 
 #: A stretch has at least MIN_WORDS words in a row; all stretches together make up at least MIN_SHARE of the item's words.
 MIN_WORDS, MIN_SHARE = 8, 0.25
-#: Characters of test text in one automaton (140 MB in a task). More test text is taken in further rounds, none is left out.
+#: Characters of test text in one automaton (at most 160 MB in a task). More test text is taken in further rounds, none is left out.
 BLOCK_CHARS = 4_000_000
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|\[\[(?:[^\[\]|]*\|)?|\]\([^()\s]*\)|&(?:nbsp|amp|lt|gt|quot|#[0-9]+|#x[0-9A-Fa-f]+);", re.DOTALL)
 
