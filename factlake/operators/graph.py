@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.operators.skew import SALTS, hot_hashes, salted_join
 from factlake.session import cut, cut_observed, drop_cut
 
+#: Edges, and characters of their ids, of a graph that PageRank iterates in one task.
+ONE_TASK_EDGES, ONE_TASK_CHARS = 8_000_000, 200_000_000
+
 
 def claims_of(claims: DataFrame, heads: DataFrame | None = None, prop: str | None = None) -> DataFrame:
     """Claims of some heads (column head), of one property, or both."""
@@ -117,15 +126,69 @@ def edge_weights(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").cast("bigint").alias("w"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = None, tol: float = 1e-6, reverse: bool = True, max_iter: int = 1000, personal: DataFrame | None = None) -> DataFrame:
+def _iterate(batches: Iterator[pa.RecordBatch], told: bool, alpha: float, iterations: int | None, tol: float, max_iter: int) -> Iterator[pa.RecordBatch]:
+    """pagerank() of all batches (src, dst, w) in this task; told: rows without a dst are personal weights of src."""
+    t = pa.Table.from_batches(batches)
+    is_edge = pc.is_valid(t["dst"])
+    own, t = t.filter(pc.invert(is_edge)), t.filter(is_edge)
+    m, w = len(t), t["w"].to_numpy()
+    both = pc.dictionary_encode(pa.chunked_array(t["src"].chunks + t["dst"].chunks, t.schema.field("src").type)).unify_dictionaries()
+    names, code = both.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in both.chunks])
+    del t, both
+    n, src, dst = len(names), code[:m], code[m:]
+    total = np.bincount(src, w, n)
+    gives, total = total > 0, np.where(total > 0, total, 1.0)
+    order = np.argsort(dst, kind="stable")
+    src, w, dst = src[order], w[order], dst[order]
+    heads = np.flatnonzero(np.diff(dst, prepend=-1))
+    into = dst[heads]
+    del code, order, dst
+    s = np.ones(n)
+    if told:
+        at = pc.index_in(own["src"], value_set=names)
+        known = pc.is_valid(at)
+        s = np.bincount(at.filter(known).to_numpy(), own["w"].filter(known).to_numpy(), n)
+    scale = s.sum() / n
+    if not scale:
+        return
+    x = s
+    for _ in range(iterations or max_iter):
+        dangling = x[~gives].sum() / scale
+        new = ((1 - alpha) * (n - dangling) + dangling) / n * s
+        new[into] += alpha * np.add.reduceat((x / total)[src] * w, heads)
+        change = np.sqrt((((new - x) / scale) ** 2).sum())
+        x = new
+        if iterations is None and change <= tol:
+            break
+    score = pa.array(x / (n * scale))
+    for i in range(0, n, 100_000):
+        yield pa.RecordBatch.from_arrays([names[i : i + 100_000], score[i : i + 100_000]], ["id", "score"])
+
+
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int | None = None, tol: float = 1e-6, reverse: bool = True, max_iter: int = 1000, personal: DataFrame | None = None, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, score) of weighted edges (src, dst, w); scores sum to 1.
 
     x <- alpha * A'D^-1 x + the rest by s, from x = s; ends when the 2-norm of the change is at most tol, or after
     `iterations` steps. s is even, or as `personal` (id, weight) says, where nodes not listed have none. reverse: rank
-    flows from dst to src. Edges are laid out by source once, those of hot sources by target too; each step shuffles
-    scores and what they give, in one shuffle each, and writes the scores to the shared folder.
+    flows from dst to src. A graph of up to `one_task` edges is read into one task as numbers and iterated there, since its
+    steps take less than a job does. Of a larger one edges are laid out by source once, those of hot sources by target too;
+    each step shuffles scores and what they give, in one shuffle each, and writes the scores to the shared folder.
     """
-    given = cut(edges.select(F.col("dst" if reverse else "src").alias("src"), F.col("src" if reverse else "dst").alias("dst"), "w"))
+    rows = edges.select(F.col("dst" if reverse else "src").alias("src"), F.col("src" if reverse else "dst").alias("dst"), "w")
+    odd = F.col("src").isNull() | F.col("dst").isNull() | ~F.coalesce(F.col("w") > 0, F.lit(False))
+    given, size = cut_observed(rows, n=F.count(F.lit(1)), odd=F.count(F.when(odd, 1)), chars=F.sum(F.length(F.col("src").cast("string")) + F.length(F.col("dst").cast("string"))))
+    if 0 < (size["n"] or 0) <= one_task and not size["odd"] and (size["chars"] or 0) <= ONE_TASK_CHARS:
+        e = given.select("src", "dst", F.col("w").cast("double").alias("w"))
+        if personal is not None:
+            own = personal.where("id is not null and weight is not null").select("id", F.col("weight").cast("double"))
+            e = e.unionByName(own.select(F.col("id").cast(e.schema["src"].dataType).alias("src"), F.lit(None).cast(e.schema["dst"].dataType).alias("dst"), F.col("weight").alias("w")))
+        told = personal is not None
+        steps = e.coalesce(1).mapInArrow(lambda batches: _iterate(batches, told, alpha, iterations, tol, max_iter), T.StructType([T.StructField("id", e.schema["src"].dataType), T.StructField("score", T.DoubleType())]))
+        x, seen = cut_observed(steps, n=F.count(F.lit(1)))
+        drop_cut(given)
+        if not seen["n"]:
+            raise ValueError("no weight in personal belongs to a node")
+        return x
     e = given
     out = e.groupBy("src").agg(F.sum("w").alias("total"))
     hot = hot_hashes(e, ["src"])
